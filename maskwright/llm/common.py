@@ -51,3 +51,9 @@ def take(df: DataFrame, **columns: str) -> DataFrame:
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the fold rule of labelled rows."""
     return F.crc32(column.cast("string").cast("binary")) % n
+
+
+def labelled_ids(labels: DataFrame, label_col: str, train: Column, limit: int) -> DataFrame:
+    """(id, label): at most ``limit`` labelled rows of the training folds, the first in hash order of the id."""
+    rows = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & train).select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("label"))
+    return rows.orderBy(F.xxhash64("id"), "id", "label").limit(limit)

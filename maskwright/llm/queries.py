@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, html, language, packing, quality, simhash, toxicity
 
 
 def _vocabulary() -> str:
@@ -26,5 +26,35 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), _vocabulary()).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op3_bpe": op3_bpe}
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents; tests compare with all pairs of a small table."""
+    return simhash.groups(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every whole page; tests compare with a plain parser of the page template."""
+    return html.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens; tests check the packing itself."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), _vocabulary())
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole document; tests measure the held-out accuracy."""
+    return language.judged(_table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every whole document; tests measure the held-out accuracy."""
+    return toxicity.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole document; tests measure the held-out accuracy."""
+    return quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_html": op4_html, "op6_packing": op6_packing, "op7_language": op7_language, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
 ORACLE: dict[str, str] = {}
