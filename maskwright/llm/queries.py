@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, language, packing, quality, simhash, toxicity
+from . import bpe, html, language, packing, pii, quality, simhash, toxicity
 
 
 def _vocabulary() -> str:
@@ -46,6 +46,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.judged(_table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document with its entities replaced by surrogates; tests check the surrogates themselves."""
+    return pii.replace(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every whole document; tests measure the held-out accuracy."""
     return toxicity.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -56,5 +61,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_html": op4_html, "op6_packing": op6_packing, "op7_language": op7_language, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
+QUERIES = {"op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_html": op4_html, "op6_packing": op6_packing, "op7_language": op7_language, "op8_pii": op8_pii, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
 ORACLE: dict[str, str] = {}
