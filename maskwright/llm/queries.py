@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, language, packing, pii, quality, simhash, toxicity
+from . import bpe, html, language, neighbours, packing, pii, quality, simhash, toxicity
 
 
 def _vocabulary() -> str:
@@ -26,6 +26,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), _vocabulary()).withColumnRenamed("id", "doc_id")
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all vectors; tests compare with all pairs of a small table."""
+    return neighbours.groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents; tests compare with all pairs of a small table."""
     return simhash.groups(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -61,5 +66,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_html": op4_html, "op6_packing": op6_packing, "op7_language": op7_language, "op8_pii": op8_pii, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
+QUERIES = {"op1_neighbours": op1_neighbours, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_html": op4_html, "op6_packing": op6_packing, "op7_language": op7_language, "op8_pii": op8_pii, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
 ORACLE: dict[str, str] = {}
