@@ -1,5 +1,9 @@
 """All registered queries of the masking operators, with their SQL oracles."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = None
+from __future__ import annotations
+
+from . import queries_spans, queries_tables
+
+QUERIES = queries_spans.QUERIES | queries_tables.QUERIES
+ORACLE = queries_spans.ORACLE | queries_tables.ORACLE
+FLAGSHIP = QUERIES["sanitize_documents"]

@@ -1,0 +1,4 @@
+"""Registered queries over tables."""
+
+QUERIES: dict = {}
+ORACLE: dict = {}
