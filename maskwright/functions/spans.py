@@ -27,6 +27,11 @@ def span(entity_type: Column, start: Column, end: Column, score: Column, text: C
     return F.struct(entity_type.alias("entity_type"), start.cast("int").alias("start"), end.cast("int").alias("end"), score.cast("double").alias("score"), text.alias("text"), F.lit(0).alias("seq"), F.lit(source).alias("source"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def safe(text: Column) -> Column:
     return F.when(text.contains(MARK), F.translate(text, MARK, SPARE)).otherwise(text)
 
@@ -42,9 +47,26 @@ def _matches(pieces: Column, entity_type: Column, source: str, score: float = 1.
     return F.coalesce(F.aggregate(pieces, start, step, lambda acc: acc["out"]), none())
 
 
+def _pieces(text: Column, pattern: str, dialect: str) -> Column:
+    return F.split(F.regexp_replace(text, java(pattern, dialect), f"{MARK}$0{MARK}"), MARK, -1)
+
+
 def regex_spans(text: Column, entity_type: str, pattern: str, dialect: str = "gateway", source: str = "regex", score: float = 1.0) -> Column:
     """All non-overlapping non-empty matches from left to right; null text has none. ``text`` must be ``safe``."""
-    return _matches(F.split(F.regexp_replace(text, java(pattern, dialect), f"{MARK}$0{MARK}"), MARK, -1), F.lit(entity_type), source, score)
+    return _matches(_pieces(text, pattern, dialect), F.lit(entity_type), source, score)
+
+
+def patterns_spans(text: Column, patterns: list[tuple[str, str, Callable[[Column], Column] | None]], dialect: str = "gateway", source: str = "regex") -> Column:
+    """Spans of many (entity type, pattern, gate) in order; a pattern runs only where its gate holds."""
+    if not patterns:
+        return none()
+
+    def found(t: Column) -> Column:
+        hits = [F.struct(F.lit(label).alias("label"), (_pieces(t, p, dialect) if gate is None else F.when(gate(t), _pieces(t, p, dialect))).alias("pieces")) for label, p, gate in patterns]
+        some = F.filter(F.array(*hits), lambda h: F.coalesce(F.size(h["pieces"]) > 1, F.lit(False)))
+        return F.flatten(F.transform(some, lambda h: _matches(h["pieces"], h["label"], source)))
+
+    return let(text, found)
 
 
 def dictionary_spans(text: Column, entity_type: str, words: list[str], ascii_boundary: bool = False, dialect: str = "gateway") -> Column:
@@ -77,7 +99,6 @@ def resolve_overlaps(spans: Column) -> Column:
     A running envelope (the span reaching furthest, of these the best score) stands for all earlier ones; equal
     spans never drop each other and partial overlaps stay.
     """
-    ordered = by_position(spans, lambda s, i: F.struct(s["start"], -s["end"], i))
     begin = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(-1.0).alias("score"), none().alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -86,7 +107,8 @@ def resolve_overlaps(spans: Column) -> Column:
         pick = lambda name: F.when(wider, s[name]).otherwise(acc[name]).alias(name)
         return F.struct(pick("start"), pick("end"), pick("score"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(s))).alias("out"))
 
-    return F.when(F.size(spans) < 2, spans).otherwise(F.aggregate(ordered, begin, step, lambda acc: acc["out"]))
+    order = lambda x: by_position(x, lambda s, i: F.struct(s["start"], -s["end"], i))
+    return let(spans, lambda x: F.when(F.size(x) < 2, x).otherwise(F.aggregate(order(x), begin, step, lambda acc: acc["out"])))
 
 
 def disjoint_spans(spans: Column) -> Column:
@@ -102,17 +124,22 @@ def disjoint_spans(spans: Column) -> Column:
 
 def dedup_last(spans: Column) -> Column:
     """Of spans with equal offsets only the last to arrive."""
-    place = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), i.alias("i")))
-    last = lambda s, i: ~F.exists(place, lambda p: (p["start"] == s["start"]) & (p["end"] == s["end"]) & (p["i"] > i))
-    return F.filter(spans, last)
+
+    def last(x: Column) -> Column:
+        return F.filter(x, lambda s, i: ~F.exists(F.slice(x, i + 2, F.size(x)), lambda p: (p["start"] == s["start"]) & (p["end"] == s["end"])))
+
+    return let(spans, last)
 
 
 def number_surfaces(spans: Column) -> Column:
     """array<struct<label, surface, n>>: surfaces of each label numbered from 1 by first (start, end)."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("label"), s["text"].alias("surface"))))
     keyed = F.transform(ordered, lambda x: F.struct(x["label"].alias("label"), x["surface"].alias("surface")))
-    distinct = F.array_distinct(keyed)
-    return F.transform(distinct, lambda d, i: F.struct(d["label"].alias("label"), d["surface"].alias("surface"), F.size(F.filter(F.slice(distinct, 1, i + 1), lambda e: e["label"] == d["label"])).alias("n")))
+
+    def number(distinct: Column) -> Column:
+        return F.transform(distinct, lambda d, i: F.struct(d["label"].alias("label"), d["surface"].alias("surface"), F.size(F.filter(F.slice(distinct, 1, i + 1), lambda e: e["label"] == d["label"])).alias("n")))
+
+    return let(F.array_distinct(keyed), number)
 
 
 def number_of(numbers: Column, label: Column, surface: Column) -> Column:

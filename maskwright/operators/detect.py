@@ -19,25 +19,23 @@ POS_TYPES = {"人名": "PERSON", "地名": "LOCATION", "組織": "ORG"}
 NER_TYPES = {"PER": "PERSON", "PERSON": "PERSON", "LOC": "LOCATION", "LOCATION": "LOCATION", "ORG": "ORG", "ORGANIZATION": "ORG"}
 
 
+def _gate(category: str, pattern: str, literals: tuple[str, ...]):
+    if literals:
+        return lambda t: reduce(lambda a, b: a | b, [t.contains(g) for g in literals])
+    if category in CLASS_GATES and not pattern.startswith("(?<!"):
+        return lambda t: t.rlike(CLASS_GATES[category])
+    return None
+
+
 def preset_spans(text: Column, disabled: list[str] | None = None, dialect: str = "gateway", only: list[str] | None = None) -> Column:
     """All enabled presets in order; a pattern runs only where the text holds its gate."""
-    found = []
-    for category, label, pattern, gate in PRESETS:
-        if category in (disabled or ()) or (only is not None and category not in only):
-            continue
-        hits = S.regex_spans(text, label, pattern, dialect)
-        if gate:
-            hits = F.when(reduce(lambda a, b: a | b, [text.contains(g) for g in gate]), hits).otherwise(S.none())
-        elif category in CLASS_GATES and not pattern.startswith("(?<!"):
-            hits = F.when(text.rlike(CLASS_GATES[category]), hits).otherwise(S.none())
-        found.append(hits)
-    return F.concat(*found) if found else S.none()
+    chosen = [(label, p, _gate(c, p, g)) for c, label, p, g in PRESETS if c not in (disabled or ()) and (only is None or c in only)]
+    return S.patterns_spans(text, chosen, dialect)
 
 
 def pattern_spans(text: Column, patterns: list[list[str]], dialect: str = "gateway") -> Column:
     """User patterns [type, regex]; entries with fewer than two items are left out."""
-    found = [S.regex_spans(text, p[0], p[1], dialect, source="user") for p in patterns if len(p) >= 2]
-    return F.concat(*found) if found else S.none()
+    return S.patterns_spans(text, [(p[0], p[1], None) for p in patterns if len(p) >= 2], dialect, source="user")
 
 
 def regex_detector(text: Column, cfg: MaskConfig) -> Column:
@@ -144,7 +142,8 @@ def default_chain(text: Column, cfg: MaskConfig, statistical: Column | None = No
     out = statistical if statistical is not None else S.none()
     more = ([tokens] if tokens is not None else []) + ([regex_detector(text, cfg)] if cfg.presets or cfg.regex_patterns else [])
     for source in more:
-        out = F.when(F.size(source) > 0, S.resolve_overlaps(F.concat(out, source))).otherwise(out)
+        both = F.struct(out.alias("a"), source.alias("b"))
+        out = S.let(both, lambda x: F.when(F.size(x["b"]) > 0, S.resolve_overlaps(F.concat(x["a"], x["b"]))).otherwise(x["a"]))
     return out
 
 
@@ -162,8 +161,8 @@ def language_chain(text: Column, cfg: MaskConfig, sources: dict[str, Column] | N
         cols = [regex if n == "regex" else every[n] for n in names if n != "regex" or cfg.presets or cfg.regex_patterns]
         if not cols:
             return S.none()
-        found = sum((F.when(F.size(c) > 0, 1).otherwise(0) for c in cols), F.lit(0))
-        return F.when(found > 1, S.resolve_overlaps(F.concat(*cols))).otherwise(F.concat(*cols))
+        some = F.filter(F.array(*cols), lambda c: F.size(c) > 0)
+        return S.let(some, lambda x: F.when(F.size(x) > 1, S.resolve_overlaps(F.flatten(x))).otherwise(F.flatten(x)))
 
     rest = chains.get("mixed", chains.get("en", []))
     options = {lang: chains.get(lang, rest) for lang in ("ja", "en", "mixed")}

@@ -20,9 +20,12 @@ def _spliced(text: Column, spans: Column, put) -> Column:
 
 def tag_mask(text: Column, spans: Column) -> Column:
     """<TYPE_N>, numbered by first occurrence of a surface; of equal spans the last one gives the type."""
-    numbers = S.number_surfaces(spans)
-    put = lambda s: F.concat(F.lit("<"), s["entity_type"], F.lit("_"), S.number_of(numbers, s["entity_type"], s["text"]).cast("string"), F.lit(">"))
-    return _spliced(text, S.dedup_last(spans), put)
+    return S.let(spans, lambda x: _tagged(text, S.dedup_last(x), S.number_surfaces(x)))
+
+
+def _tagged(text: Column, spans: Column, numbers: Column) -> Column:
+    put = lambda n, s: F.concat(F.lit("<"), s["entity_type"], F.lit("_"), S.number_of(n, s["entity_type"], s["text"]).cast("string"), F.lit(">"))
+    return S.let(numbers, lambda n: _spliced(text, spans, lambda s: put(n, s)))
 
 
 def partial_mask(text: Column, spans: Column) -> Column:
@@ -63,9 +66,7 @@ def apply_strategy(text: Column, spans: Column, strategy: str | Column) -> Colum
 def mask_triples(text: Column, triples: Column) -> Column:
     """Chosen array<struct<start,end,label>> as numbered tags; bad offsets are skipped, a missing label is MASKED."""
     spans = F.transform(triples, lambda t: S.span(F.coalesce(t["label"], F.lit("MASKED")), t["start"], t["end"], F.lit(1.0), F.substr(text, t["start"] + 1, t["end"] - t["start"])))
-    spans = S.valid_spans(spans, text)
-    numbers = S.number_surfaces(spans)
-    return _spliced(text, spans, lambda s: F.concat(F.lit("<"), s["entity_type"], F.lit("_"), S.number_of(numbers, s["entity_type"], s["text"]).cast("string"), F.lit(">")))
+    return S.let(S.valid_spans(spans, text), lambda x: _tagged(text, x, S.number_surfaces(x)))
 
 
 def sanitize(docs: DataFrame, cfg: MaskConfig | None = None, text_col: str = "text", statistical: str | None = None, tokens: str | None = None, demoted: str | None = None, strategy_col: str | None = None) -> DataFrame:
@@ -115,16 +116,15 @@ def unique_tags(replacements: Column) -> Column:
         ),
         lambda r: F.coalesce(r["original"] != "", F.lit(False)),
     )
-    first = F.filter(keyed, lambda r, i: F.array_position(F.transform(keyed, lambda x: x["original"]), r["original"]) == i + 1)
-    return F.transform(
-        first,
-        lambda r, i: F.struct(r["original"].alias("original"), F.concat(F.lit("<"), r["base"], F.lit("_"), F.size(F.filter(F.slice(first, 1, i + 1), lambda e: e["base"] == r["base"])).cast("string"), F.lit(">")).alias("replacement"), r["entity_type"].alias("entity_type")),
-    )
+    first = S.let(keyed, lambda k: F.filter(k, lambda r, i: F.array_position(F.transform(k, lambda x: x["original"]), r["original"]) == i + 1))
+    nth = lambda rows, r, i: F.size(F.filter(F.slice(rows, 1, i + 1), lambda e: e["base"] == r["base"])).cast("string")
+    tag = lambda rows, r, i: F.concat(F.lit("<"), r["base"], F.lit("_"), nth(rows, r, i), F.lit(">"))
+    return S.let(first, lambda rows: F.transform(rows, lambda r, i: F.struct(r["original"].alias("original"), tag(rows, r, i).alias("replacement"), r["entity_type"].alias("entity_type"))))
 
 
 def rewrite_with_tags(text: Column, replacements: Column) -> Column:
     """struct<rewritten_text, replacements>: every occurrence of each original tagged, longest first."""
-    tags = unique_tags(replacements)
     safe = S.safe(text)
-    hits = F.flatten(F.transform(tags, lambda r: S.literal_spans(safe, r["original"], r["replacement"])))
-    return F.struct(_spliced(text, S.disjoint_spans(hits), lambda s: s["entity_type"]).alias("rewritten_text"), tags.alias("replacements"))
+    hits = lambda tags: F.flatten(F.transform(tags, lambda r: S.literal_spans(safe, r["original"], r["replacement"])))
+    whole = lambda tags: F.struct(_spliced(text, S.disjoint_spans(hits(tags)), lambda s: s["entity_type"]).alias("rewritten_text"), tags.alias("replacements"))
+    return S.let(unique_tags(replacements), whole)
