@@ -10,9 +10,10 @@ import json
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskwright.functions import spans as S
 from maskwright.plans.config import MaskConfig
@@ -102,36 +103,42 @@ def _nested(body: Any) -> list[str]:
     return found
 
 
-def extract_inputs(body: Column, service: str) -> Column:
-    """array<string> of the texts of a body; empty for what is no JSON object."""
+def _texts(raw: Any, service: str) -> list[str]:
+    body = _parsed(raw)
+    found = [box[key] if isinstance(box, list) else str(box.get(key) or "") for box, key in slots(body, service)]
+    return found + (_nested(body) if service == "c" else [])
 
-    @F.pandas_udf("array<string>")
-    def run(bodies: pd.Series) -> pd.Series:
-        def one(raw: Any) -> list[str]:
-            b = _parsed(raw)
-            return [str(box[key]) if key in box or isinstance(box, list) else "" for box, key in slots(b, service)] + (_nested(b) if service == "c" else [])
 
-        return bodies.map(one)
+def extract_inputs(df: DataFrame, body_col: str, service: str, into: str = "texts") -> DataFrame:
+    """``df`` with the texts of each body as array<string>; empty for what is no JSON object."""
+    at = df.columns.index(body_col)
 
-    return run(body)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            texts = pa.array([_texts(raw, service) for raw in b.column(at).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, into])
 
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.StringType()))]))
 
-def replace_inputs(body: Column, masked: Column, service: str) -> Column:
-    """The body with its texts replaced in turn; all other keys stay."""
 
-    @F.pandas_udf("string")
-    def run(bodies: pd.Series, texts: pd.Series) -> pd.Series:
-        def one(raw: Any, new: Any) -> Any:
-            b = _parsed(raw)
-            if not isinstance(b, dict):
-                return raw
-            for (box, key), value in zip(list(slots(b, service)), new if new is not None else []):
-                box[key] = value
-            return json.dumps(b, ensure_ascii=False)
+def replace_inputs(df: DataFrame, body_col: str, masked_col: str, service: str, into: str = "masked_body") -> DataFrame:
+    """``df`` with the body whose texts are replaced in turn by those of an array; all other keys stay."""
+    at, new = df.columns.index(body_col), df.columns.index(masked_col)
 
-        return pd.Series([one(r, n) for r, n in zip(bodies, texts)])
+    def one(raw: Any, texts: list[str] | None) -> Any:
+        body = _parsed(raw)
+        if not isinstance(body, dict):
+            return raw
+        for (box, key), value in zip(list(slots(body, service)), texts or []):
+            box[key] = value
+        return json.dumps(body, ensure_ascii=False)
 
-    return run(body, masked)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            done = pa.array([one(raw, texts) for raw, texts in zip(b.column(at).to_pylist(), b.column(new).to_pylist())], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, done], names=[*b.schema.names, into])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.StringType())]))
 
 
 def masked_texts(texts: Column, cfg: MaskConfig) -> Column:
@@ -143,10 +150,10 @@ def masked_texts(texts: Column, cfg: MaskConfig) -> Column:
 def mask_payload(df: DataFrame, body_col: str, service: str = "openai", cfg: MaskConfig | None = None) -> DataFrame:
     """``df`` with ``texts``, ``masked_body`` and ``unreplaced`` (texts were found that can't be put back)."""
     cfg = cfg or MaskConfig()
-    out = df.withColumn("texts", extract_inputs(F.col(body_col), service))
+    out = extract_inputs(df, body_col, service)
     new = masked_texts(F.col("texts"), cfg) if cfg.filter_enabled else F.col("texts")
     nested = F.coalesce(F.get_json_object(F.col(body_col), "$['f.req']").isNotNull() & (F.size("texts") > 0), F.lit(False)) if service == "c" else F.lit(False)
-    return out.withColumn("masked_body", replace_inputs(F.col(body_col), new, service)).withColumn("unreplaced", nested)
+    return replace_inputs(out.withColumn("__masked", new), body_col, "__masked", service).drop("__masked").withColumn("unreplaced", nested)
 
 
 def text_segments(body: Column) -> Column:

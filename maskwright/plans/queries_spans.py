@@ -187,7 +187,7 @@ _DET = f"SELECT f.*, d.text AS whole FROM ({DOCS_FIL}) f JOIN documents d ON f.d
 
 
 @query(
-    f"SELECT doc_id, entity_type, start, \"end\", 1.0 AS score, text, CAST(length(whole[1:start]) - length(replace(whole[1:start], chr(10), '')) + 1 AS INTEGER) AS line, CAST(length(string_split(whole[1:start], chr(10))[-1]) + 1 AS INTEGER) AS \"column\", "
+    f"SELECT doc_id, entity_type, start, \"end\", CAST(1 AS DOUBLE) AS score, text, CAST(length(whole[1:start]) - length(replace(whole[1:start], chr(10), '')) + 1 AS INTEGER) AS line, CAST(length(string_split(whole[1:start], chr(10))[-1]) + 1 AS INTEGER) AS \"column\", "
     f"substr(whole, CAST(greatest(0, start - 20) + 1 AS INTEGER), CAST(start - greatest(0, start - 20) AS INTEGER)) AS context_before, substr(whole, CAST(\"end\" + 1 AS INTEGER), 20) AS context_after, CASE WHEN entity_type = 'IP_ADDRESS' THEN 'allowed' ELSE 'masked' END AS action, {O.severity('entity_type')} AS severity FROM ({_DET})"
 )
 def detections_documents(spark, sf_dir):
@@ -360,7 +360,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TTYPE = "CASE WHEN length(surface) % 3 = 0 THEN CASE WHEN length(surface) % 2 = 0 THEN CASE WHEN surface IN ('千葉', '神戸', '岡山', '福岡') THEN 'PROPER_NOUN_PERSON' ELSE 'PROPER_NOUN_LOCATION' END ELSE 'PROPER_NOUN_PERSON' END ELSE 'PROPER_NOUN' END"
 
 
-@query(f"SELECT doc_id, idx, {_TTYPE} AS entity_type, b AS start, CAST(b + length(surface) AS INTEGER) AS \"end\", 1.0 AS score, surface AS text FROM ({_TOK}) WHERE length(surface) % 3 <> 2")
+@query(f"SELECT doc_id, idx, {_TTYPE} AS entity_type, b AS start, CAST(b + length(surface) AS INTEGER) AS \"end\", CAST(1 AS DOUBLE) AS score, surface AS text FROM ({_TOK}) WHERE length(surface) % 3 <> 2")
 def token_spans(spark, sf_dir):
     """Spans of tokens with a part of speech, ambiguous places as surnames."""
     return detect.prefer_surname(detect.token_spans(tokens(spark, sf_dir)))
