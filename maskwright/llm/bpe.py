@@ -20,7 +20,9 @@ import re
 import struct
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import take
@@ -30,7 +32,10 @@ from .common import take
 PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-©«-±´-¸»¿-ɏ]*")
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 END = "</w>"
-CACHE = 400_000
+#: Words, and white-space runs, that a worker keeps.
+CACHE = 1_000_000
+#: Rows and bytes of texts worked on at once.
+ROWS, BYTES = 2048, 8 << 20
 
 
 def byte_letters() -> list[str]:
@@ -59,7 +64,6 @@ class TrieEncoder:
         self._spines()
         self.letters = dict(enumerate(byte_letters()))
         self.bytes = {i: struct.pack("<I", i) for i in self.vocab.values()}
-        self.stable: dict[tuple[int, int], bool] = {}
         self.chunks: dict[str, bytes] = {}
         self.packed: dict[str, bytes] = {}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -85,7 +89,11 @@ class TrieEncoder:
         self.starts = {t[:n] for t in [*self.inner, *self.final] for n in range(len(t))} | {""}
         self.numbers = {"": 0}
         self.suffixes = [""]
-        self.steps: dict[int, tuple[int, list, list]] = {}
+        #: By suffix and letter: what _step found.
+        self.steps: list[dict[str, tuple[int, list, list]]] = [{}]
+        #: By token and next token: whether they stay apart.
+        self.stable: list[dict[int, bool]] = [{} for _ in self.right]
+        self.known = 0
 
     def _step(self, suffix: int, letter: str) -> tuple[int, list[tuple[int, int]], list[tuple[int, int]]]:
         """From the longest suffix that begins a token, by one letter: the next such suffix, and the tokens
@@ -99,27 +107,25 @@ class TrieEncoder:
         if text not in self.numbers:
             self.numbers[text] = len(self.suffixes)
             self.suffixes.append(text)
-        if len(self.steps) > CACHE:
-            self.steps.clear()
-        self.steps[suffix << 9 | ord(letter)] = found = (self.numbers[text], inner, final)
+            self.steps.append({})
+        self.steps[suffix][letter] = found = (self.numbers[text], inner, final)
         return found
 
     def _follows(self, before: int, token: int) -> bool:
         """Whether two tokens stay apart when joined: no merge across the border comes before the merges that
         take its two sides away (of equal merges the one further left comes first)."""
-        key = before << 20 | token
-        if (known := self.stable.get(key)) is None:
-            known, pairs = True, self.pairs
-            for x, x_ends in self.right[before]:
-                for y, y_ends in self.left[token]:
-                    if (rank := pairs.get(x << 20 | y)) is not None and rank < x_ends and rank <= y_ends:
-                        known = False
-                        break
-                if not known:
-                    break
-            if len(self.stable) > 4 * CACHE:
-                self.stable.clear()
-            self.stable[key] = known
+        pairs = self.pairs
+        known = True
+        for x, x_ends in self.right[before]:
+            for y, y_ends in self.left[token]:
+                if (rank := pairs.get(x << 20 | y)) is not None and rank < x_ends and rank <= y_ends:
+                    known = False
+        self.known += 1
+        if self.known > 4 * CACHE:
+            self.known = 0
+            for d in self.stable:
+                d.clear()
+        self.stable[before][token] = known
         return known
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
@@ -137,13 +143,13 @@ class TrieEncoder:
             at = shared
             for letter in word[shared:]:
                 at += 1
-                step = steps.get(suffix << 9 | ord(letter)) or self._step(suffix, letter)
+                step = steps[suffix].get(letter) or self._step(suffix, letter)
                 suffix = step[0]
                 for token, n in step[1 + (at == len(word))]:
                     if n == at:
                         break
                     before = path[at - n - 1]
-                    if (known := stable.get(before << 20 | token)) is None:
+                    if (known := stable[before].get(token)) is None:
                         known = self._follows(before, token)
                     if known:
                         break
@@ -226,10 +232,15 @@ def encoder(path: str) -> TrieEncoder:
     return _ENCODERS[path]
 
 
-def batches(texts: list, size: int = 512) -> Iterator[list]:
-    """Slices that keep what is in work at once small."""
-    for k in range(0, len(texts), size):
-        yield texts[k : k + size]
+def portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ROWS rows, and BYTES of text unless one text alone is longer."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, min(at + ROWS, int(np.searchsorted(ends, before + BYTES, side="right"))))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
@@ -238,8 +249,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in parts:
-            for k in range(0, b.num_rows, 512):
-                s = b.slice(k, 512)
+            for s in portions(b, 1):
                 packed = enc.encode_batch(s.column(1).to_pylist())
                 cols = [s.column(0), pa.array([memoryview(x).cast("I").tolist() for x in packed], pa.list_(pa.int32()))]
                 if decoded:
@@ -257,8 +267,7 @@ def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in parts:
-            for k in range(0, b.num_rows, 512):
-                s = b.slice(k, 512)
+            for s in portions(b, 1):
                 packed = enc.encode_batch(s.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [

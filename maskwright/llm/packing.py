@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import encoder, portions
 from .common import partitions, stored, take
 
 
@@ -33,8 +33,7 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in parts:
-            for at in range(0, b.num_rows, 512):
-                s = b.slice(at, 512)
+            for s in portions(b, 1):
                 who, rows = [], []
                 for k, x in enumerate(enc.encode_batch(s.column(1).to_pylist())):
                     ids = memoryview(x + end)
