@@ -13,10 +13,11 @@ SCHEMA = "audit_id string, request_type string, filter_enabled boolean, detected
 def audit_records(docs: DataFrame, request_type: str = "text", enabled: bool = True, upstream: str | None = None, created_at: Column | None = None, status: str = "ok") -> DataFrame:
     """A record for each masked document; ``append_seq`` grows with time and within a run."""
     now = F.current_timestamp() if created_at is None else created_at
+    place = F.lit(0) if docs.isStreaming else F.pmod(F.monotonically_increasing_id(), F.lit(1_000_000))
     return docs.select(
         F.uuid().alias("audit_id"), F.lit(request_type).alias("request_type"), F.lit(enabled).alias("filter_enabled"), F.size("spans").alias("detected_count"), entity_summary(F.col("spans")).alias("entity_summary"),
         F.lit(upstream).cast("string").alias("upstream_target"), F.lit(status).alias("status"), F.lit(None).cast("int").alias("elapsed_ms"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("created_at"),
-        (F.unix_micros(now.cast("timestamp")) + F.pmod(F.monotonically_increasing_id(), F.lit(1_000_000))).alias("append_seq"),
+        (F.unix_micros(now.cast("timestamp")) + place).alias("append_seq"),
     )
 
 
