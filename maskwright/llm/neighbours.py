@@ -289,12 +289,14 @@ def _compared(pairs: DataFrame, members: DataFrame, cosine: float) -> DataFrame:
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({"id": [], "a": [], "b": [], "n": []}).astype("int64")
-        hit = _unit(x["v"]) @ _unit(y["v"]).T >= cosine
-        out = pd.DataFrame({"id": np.concatenate([x["id"], y["id"]]), "n": np.concatenate([hit @ y["n"].to_numpy(), x["n"].to_numpy() @ hit])})
+        hit = _unit(x["v"]) @ _unit(y["v_"]).T >= cosine
+        out = pd.DataFrame({"id": np.concatenate([x["id"], y["id_"]]), "n": np.concatenate([hit @ y["n_"].to_numpy(), x["n"].to_numpy() @ hit])})
         return out[out["n"] > 0].assign(a=x["a"].iloc[0], b=x["b"].iloc[0])[["id", "a", "b", "n"]]
 
     keys = ["a", "b", "ka", "kb"]
-    return pick("a", "ka").groupBy(*keys).cogroup(pick("b", "kb").groupBy(*keys)).applyInPandas(compare, "id long, a long, b long, n long")
+    other = pick("b", "kb")
+    other = other.select(*[F.col(c).alias(f"{c}_") for c in other.columns])
+    return pick("a", "ka").groupBy(*keys).cogroup(other.groupBy(*[f"{k}_" for k in keys])).applyInPandas(compare, "id long, a long, b long, n long")
 
 
 def _audited(nodes: DataFrame, found: DataFrame, cosine: float) -> float:
