@@ -89,9 +89,16 @@ def text_column() -> Column:
     return F.concat_ws("\n", *[F.element_at(lines, ((F.col("o_orderkey") + s) % len(LINES) + 1).cast("int")) for s in STEPS])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small input in few files dealt out to all cores, before its rows are made larger; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def memos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): four lines for each order."""
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), text_column().alias("text"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    return spread(orders).select(F.col("o_orderkey").alias("doc_id"), text_column().alias("text"))
 
 
 _PICK = " || chr(10) || ".join(f"l[CAST((o_orderkey + {s}) % {len(LINES)} + 1 AS INTEGER)]" for s in STEPS)

@@ -28,11 +28,12 @@ def matches(source: str, patterns: list[tuple[str, str]], id_col: str = "doc_id"
     each = []
     for n, (label, pattern) in enumerate(patterns):
         each.append(
-            f"SELECT {id_col} AS doc_id, {n} * 1000000 + i AS seq, {quoted(label)} AS entity_type, p, i FROM (SELECT {id_col}, p, unnest(range(2, len(p) + 1, 2)) AS i FROM (SELECT {id_col}, {parts(text, pattern)} AS p FROM {source}))"
+            f"SELECT doc_id, {n} * 1000000 + i AS seq, {quoted(label)} AS entity_type, p, i FROM (SELECT doc_id, p, unnest(range(2, len(p) + 1, 2)) AS i FROM (SELECT doc_id, {parts('text', pattern)} AS p FROM src))"
         )
     every = " UNION ALL ".join(each)
     begin = "CAST(coalesce(list_sum(list_transform(p[1:i - 1], lambda x: length(x))), 0) AS INTEGER)"
-    return f'SELECT doc_id, seq, entity_type, {begin} AS start, {begin} + CAST(length(p[i]) AS INTEGER) AS "end", p[i] AS text FROM ({every}) WHERE length(p[i]) > 0'
+    once = f"WITH src AS MATERIALIZED (SELECT {id_col} AS doc_id, {text} AS text FROM {source})"
+    return f'{once} SELECT doc_id, seq, entity_type, {begin} AS start, {begin} + CAST(length(p[i]) AS INTEGER) AS "end", p[i] AS text FROM ({every}) WHERE length(p[i]) > 0'
 
 
 def presets(only: list[str] | None = None, disabled: list[str] | None = None) -> list[tuple[str, str]]:

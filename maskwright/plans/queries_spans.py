@@ -16,7 +16,7 @@ from maskwright.sources import audit
 from . import oracle as O
 from .config import MaskConfig
 from .memos import SQL as MEMOS
-from .memos import memos, quoted
+from .memos import memos, quoted, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,7 +42,7 @@ def query(sql: str | None = None):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def exploded(df: DataFrame) -> DataFrame:
