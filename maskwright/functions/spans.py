@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .patterns import alternation, java
@@ -32,6 +32,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def unfolded(df: DataFrame, array: Column | str, *keep: str, place: str | None = None) -> DataFrame:
+    """``keep`` and the fields of each struct of an array, with its place if named.
+
+    The outer generator with a filter behind it: before an inner one Spark would put a filter on the array's
+    size, and so work the whole array out again.
+    """
+    item = F.posexplode_outer(array).alias(place or "__place", "__item")
+    out = df.select(*keep, item).where(F.col("__item").isNotNull())
+    return out.select(*keep, *([place] if place else []), "__item.*")
+
+
 def safe(text: Column) -> Column:
     return F.when(text.contains(MARK), F.translate(text, MARK, SPARE)).otherwise(text)
 

@@ -98,7 +98,7 @@ def recompute(rows: DataFrame, docs: DataFrame, entries: DataFrame, id_col: str
     more = hits.select(id_col, "k", "j", "s.entity_type", "s.start", "s.end", "s.text", F.lit("masked").alias("action"))
     item = F.struct("k", "j", S.span(F.col("entity_type"), F.col("start"), F.col("end"), F.lit(1.0), F.col("text")).alias("s"), "action")
     every = base.unionByName(more).groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("x"))
-    spans = every.select(id_col, "x", F.posexplode(S.resolve_overlaps(S.numbered(F.transform("x", lambda x: x["s"])))).alias("seq", "s"))
+    spans = every.select(id_col, "x", F.posexplode_outer(S.resolve_overlaps(S.numbered(F.transform("x", lambda x: x["s"])))).alias("seq", "s")).where(F.col("s").isNotNull())
     detections = spans.select(id_col, "seq", "s.entity_type", "s.start", "s.end", "s.text", F.element_at("x", F.col("s.seq") + 1)["action"].alias("action"))
     return aggregate_entities(detections, id_col)
 

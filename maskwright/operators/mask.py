@@ -94,7 +94,7 @@ def sanitize(docs: DataFrame, cfg: MaskConfig | None = None, text_col: str = "te
 
 def placeholder_map(docs: DataFrame, id_col: str = "doc_id", spans_col: str = "spans") -> DataFrame:
     """(doc_id, placeholder, surface): what makes the tags of a document restorable."""
-    numbers = docs.select(id_col, F.inline(S.number_surfaces(F.col(spans_col))))
+    numbers = S.unfolded(docs, S.number_surfaces(F.col(spans_col)), id_col)
     return numbers.select(id_col, F.concat(F.lit("<"), "label", F.lit("_"), F.col("n").cast("string"), F.lit(">")).alias("placeholder"), "surface")
 
 

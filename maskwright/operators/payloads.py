@@ -186,7 +186,7 @@ def mask_conversations(df: DataFrame, spans_of, roles: tuple[str, ...] = ("user"
     rows = df.withColumn("spans", F.when(own, S.numbered(spans_of(S.safe(F.col("text"))))).otherwise(S.none()))
     if scope == "turn":
         return rows.withColumn("masked", F.when(F.size("spans") > 0, mask.tag_mask(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
-    each = rows.select("conv_id", "turn", F.explode("spans").alias("s")).select("conv_id", "turn", "s.entity_type", "s.text", "s.start", "s.end")
+    each = rows.select("conv_id", "turn", F.explode_outer("spans").alias("s")).where(F.col("s").isNotNull()).select("conv_id", "turn", "s.entity_type", "s.text", "s.start", "s.end")
     first = each.groupBy("conv_id", "entity_type", "text").agg(F.min(F.struct("turn", "start", "end")).alias("at"))
     numbered = first.withColumn("n", F.dense_rank().over(Window.partitionBy("conv_id", "entity_type").orderBy("at")))
     table = numbered.groupBy("conv_id").agg(F.collect_list(F.struct(F.col("entity_type").alias("label"), F.col("text").alias("surface"), "n")).alias("numbers"))

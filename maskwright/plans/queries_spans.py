@@ -46,7 +46,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exploded(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", F.inline("spans")).select("doc_id", "entity_type", "start", "end", "text")
+    return S.unfolded(df, "spans", "doc_id").select("doc_id", "entity_type", "start", "end", "text")
 
 
 ALL = f"({MEMOS})"
