@@ -39,8 +39,8 @@ def aggregate_entities(detections: DataFrame, id_col: str = "doc_id") -> DataFra
 
 def entity_summary(spans: Column) -> Column:
     """map<type, count> of a span array."""
-    types = F.transform(spans, lambda s: s["entity_type"])
-    return F.map_from_entries(F.transform(F.array_distinct(types), lambda t: F.struct(t.alias("key"), F.size(F.filter(types, lambda u: u == t)).alias("value"))))
+    counted = lambda types: F.map_from_entries(F.transform(F.array_distinct(types), lambda t: F.struct(t.alias("key"), F.size(F.filter(types, lambda u: u == t)).alias("value"))))
+    return S.let(F.transform(spans, lambda s: s["entity_type"]), counted)
 
 
 def category_rollup(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:

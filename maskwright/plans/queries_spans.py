@@ -230,7 +230,7 @@ def detection_count(spark, sf_dir):
 @query(f"SELECT doc_id, entity_type, CAST(count(*) AS INTEGER) AS n FROM ({FIL}) GROUP BY doc_id, entity_type")
 def entity_summary(spark, sf_dir):
     out = mask.sanitize(memos(spark, sf_dir)).withColumn("m", aggregate.entity_summary(F.col("spans")))
-    return out.select("doc_id", F.explode("m").alias("entity_type", "n"))
+    return out.select("doc_id", F.explode_outer("m").alias("entity_type", "n")).where(F.col("n").isNotNull())
 
 
 @query(f"SELECT m.doc_id, 'memo' AS request_type, true AS filter_enabled, CAST(coalesce(n, 0) AS INTEGER) AS detected_count, CAST(coalesce(emails, 0) AS INTEGER) AS emails, 'ok' AS status FROM ({MEMOS}) m LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (entity_type = 'EMAIL_ADDRESS') AS emails FROM ({FIL}) GROUP BY doc_id) c ON m.doc_id = c.doc_id")
