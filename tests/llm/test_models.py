@@ -43,6 +43,17 @@ def test_toxicity_held_out(spark):
     assert right > 0.85 and area > 0.75  # some 300 labelled rows only
 
 
+def test_toxicity_features_count_returns(monkeypatch):
+    """Against plain counting, also where a text is cut into slices: no n-gram counts twice there."""
+    text = "ab abc abc -- Zz!" + " longer text, cut in slices" * 40
+    whole = np.concatenate(list(toxicity.buckets(text)))
+    count = Counter(whole.tolist())
+    expected = {b for b in count} | {b + toxicity.BUCKETS for b, n in count.items() if n >= 2}
+    assert set(toxicity.features([whole]).tolist()) == expected and len(toxicity.features([])) == 0
+    monkeypatch.setattr(toxicity, "_PART", 50)
+    assert Counter(np.concatenate(list(toxicity.buckets(text))).tolist()) == count
+
+
 def test_language_held_out(spark):
     rows = QUERIES["op7_language"](spark, SF).where("held_out").join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     assert (rows["lang"] == rows["lang_pred"]).mean() > 0.97
