@@ -164,8 +164,11 @@ def searched(x: np.ndarray, edges: list[list[int]], radius: np.ndarray, limit: f
         yield q[rows[keep]], nodes[keep]
 
 
-def _split(active: DataFrame, half: float, overlap: int) -> tuple[DataFrame, DataFrame | None, bool]:
-    """One level: crowded shards dealt to their clusters. Returns all nodes, ball members, and whether one was crowded."""
+def _split(active: DataFrame, nodes: DataFrame, half: float, overlap: int) -> tuple[DataFrame, DataFrame | None, bool]:
+    """One level: crowded shards dealt to their clusters. Returns all nodes, ball members, and whether one was crowded.
+
+    A vector in several shards may lie in balls of more than one. It belongs to one of them (the smallest node id), leaves
+    all its shards for it, and the ball takes its place in each of them."""
     sizes = active.groupBy("shard").count()
     crowded = cut(sizes.where(F.col("count") > SHARD).select("shard", F.col("count").alias("size")))
     if crowded.isEmpty():
@@ -180,52 +183,46 @@ def _split(active: DataFrame, half: float, overlap: int) -> tuple[DataFrame, Dat
     models = cut(sample.groupBy("shard").applyInPandas(fit, "shard long, balls binary, centres binary"))
     salts = F.greatest(F.lit(1), F.ceil(F.col("size") / 256)).cast("int")
     parts = models.join(crowded, "shard").select("shard", "balls", "centres", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    dealt = active.join(crowded.select("shard", "size"), "shard").withColumn("salt", F.pmod(F.xxhash64("id", "shard"), salts).cast("int")).drop("size")
+    salted = lambda df: df.join(crowded, "shard").withColumn("salt", F.pmod(F.xxhash64("id", "shard"), salts).cast("int")).drop("size").groupBy("shard", "salt")
+
+    def claim(key: tuple, rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        balls = np.frombuffer(model["balls"].iloc[0]) if len(rows) else np.zeros(0)
+        if not len(balls):
+            return pd.DataFrame({"id": [], "parent": [], "ball": [], "gap": []})
+        balls = balls.reshape(-1, len(rows["v"].iloc[0]))
+        s = _unit(rows["v"]) @ balls.T
+        ok = (s.max(axis=1) >= np.cos(half - 1e-6)) & ~rows["is_ball"].to_numpy(bool)
+        return pd.DataFrame({"id": rows["id"], "parent": key[0], "ball": s.argmax(axis=1), "gap": _angle(s.max(axis=1))})[ok]
+
+    def centred(rows: pd.DataFrame, dims: pd.DataFrame) -> pd.DataFrame:
+        balls = np.frombuffer(rows["balls"].iloc[0]).reshape(-1, int(dims["dim"].iloc[0]))
+        return pd.DataFrame({"parent": rows["shard"].iloc[0], "ball": np.arange(len(balls)), "v": pd.Series(balls.tolist(), dtype=object)})
+
+    ball_id = F.xxhash64(F.lit("ball"), "parent", "ball")
+    claims = salted(active).cogroup(parts.groupBy("shard", "salt")).applyInPandas(claim, "id long, parent long, ball int, gap double")
+    owners = stored(claims.groupBy("id").agg(F.min(F.struct(ball_id.alias("node"), "gap")).alias("o")).select("id", "o.node", "o.gap"), "owners")
+    members = owners.join(nodes.select("id", "v", "n"), "id").select("node", "id", "v", "n", "gap")
+    dims = sample.groupBy("shard").agg(F.max(F.size("v")).alias("dim"))
+    spots = models.groupBy("shard").cogroup(dims.groupBy("shard")).applyInPandas(centred, "parent long, ball int, v array<double>").select(ball_id.alias("id"), "v")
+    moved = active.join(owners.select("id", "node"), "id").select("shard", F.col("node").alias("id")).distinct()
+    moved = moved.join(spots, "id").select("shard", "id", "v", F.lit(0).cast("long").alias("n"), F.lit(True).alias("is_ball"))
+    active = stored(active.join(owners.select("id"), "id", "left_anti").select("shard", "id", "v", "n", "is_ball").unionByName(moved), "level")
 
     def deal(key: tuple, rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
-        names = ["shard", "id", "v", "n", "is_ball", "ball", "gap"]
-        if not len(rows):
-            rows = rows.assign(v=[])
-        dim = len(rows["v"].iloc[0]) if len(rows) else 0
-        if dim:
-            balls, centres = (np.frombuffer(model[c].iloc[0]).reshape(-1, dim) for c in ("balls", "centres"))
+        if len(rows):
             x = _unit(rows["v"])
-            owner = np.full(len(x), -1)
-            gap = np.zeros(len(x))
-            if len(balls):
-                s = x @ balls.T
-                ok = (s.max(axis=1) >= np.cos(half - 1e-6)) & ~rows["is_ball"].to_numpy(bool)
-                owner, gap = np.where(ok, s.argmax(axis=1), -1), _angle(s.max(axis=1))
-            ids, ns, flags, vs = rows["id"].to_numpy(), rows["n"].to_numpy(), rows["is_ball"].to_numpy(bool), rows["v"].tolist()
-            nodes, where = [(ids[k], vs[k], ns[k], flags[k]) for k in np.flatnonzero(owner < 0)], x[owner < 0]
-            for k in np.flatnonzero(owner >= 0):
-                out.append((key[0], ids[k], vs[k], ns[k], False, int(owner[k]), float(gap[k])))
-            if key[1] == 0 and len(balls):  # the balls themselves go on as nodes
-                nodes += [(b, balls[b].tolist(), 0, True) for b in range(len(balls))]
-                where = np.concatenate([where, balls])
-                fresh = len(nodes) - len(balls)
-            else:
-                fresh = len(nodes)
-            if len(nodes):
-                s = where @ centres.T
-                order = np.argsort(-s, axis=1)[:, : max(1, min(overlap, len(centres) // 2))]
-                for k, (i, v, n, flag) in enumerate(nodes):
-                    for c in order[k]:
-                        if s[k, c] >= s[k, order[k, 0]] - MARGIN:
-                            out.append((int(c), i, v, n, flag, -2 if k >= fresh else -1, 0.0))
-        return pd.DataFrame(out, columns=names).assign(parent=key[0])
-
-    found = stored(
-        dealt.groupBy("shard", "salt").cogroup(parts.groupBy("shard", "salt")).applyInPandas(deal, "shard long, id long, v array<double>, n long, is_ball boolean, ball int, gap double, parent long"), "level"
-    )
-    ball_id = lambda c: F.xxhash64(F.lit("ball"), "parent", c)
-    members = found.where("ball >= 0").select(ball_id("ball").alias("node"), "id", "v", "n", "gap")
-    nodes = found.where("ball < 0").select(
-        F.xxhash64(F.lit("shard"), "parent", "shard").alias("shard"), F.when(F.col("ball") == -2, ball_id(F.col("id").cast("int"))).otherwise(F.col("id")).alias("id"), "v", "n", "is_ball"
-    )
+            centres = np.frombuffer(model["centres"].iloc[0]).reshape(-1, x.shape[1])
+            s = x @ centres.T
+            order = np.argsort(-s, axis=1)[:, : max(1, min(overlap, len(centres) // 2))]
+            for k, row in enumerate(zip(rows["id"], rows["v"].tolist(), rows["n"], rows["is_ball"])):
+                out += [(int(c), *row) for c in order[k] if s[k, c] >= s[k, order[k, 0]] - MARGIN]
+        return pd.DataFrame(out, columns=["shard", "id", "v", "n", "is_ball"]).assign(parent=key[0])
+
+    found = salted(active).cogroup(parts.groupBy("shard", "salt")).applyInPandas(deal, "shard long, id long, v array<double>, n long, is_ball boolean, parent long")
+    dealt = found.select(F.xxhash64(F.lit("shard"), "parent", "shard").alias("shard"), "id", "v", "n", "is_ball")
     calm = active.join(crowded, "shard", "left_anti").select("shard", "id", "v", "n", "is_ball")
-    return stored(calm.unionByName(nodes), "nodes"), members, True
+    return stored(calm.unionByName(dealt), "nodes"), members, True
 
 
 def _links(shards: DataFrame, limit: float) -> DataFrame:
@@ -336,14 +333,14 @@ def groups(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_c
     while True:
         active, members, again = nodes.select("shard", "id", "v", "n", F.lit(False).alias("is_ball")), None, True
         while again:
-            active, more, again = _split(active, limit / 2, overlap)
+            active, more, again = _split(active, nodes, limit / 2, overlap)
             members = more if members is None else members.unionByName(more) if more is not None else members
         if members is None:
             members = nodes.limit(0).select(F.col("id").alias("node"), "id", "v", "n", F.lit(0.0).alias("gap"))
         members = stored(members, "members")
         balls = cut(members.groupBy("node").agg(F.min("id").alias("lead"), F.sum("n").alias("total"), F.max("gap").alias("radius")))
         shards = stored(
-            active.join(balls, active["id"] == balls["node"], "left").where(~F.col("is_ball") | F.col("lead").isNotNull())
+            active.join(balls, active["id"] == balls["node"], "left")
             .select("shard", F.coalesce("lead", "id").alias("id"), "v", F.coalesce("total", "n").alias("n"), F.coalesce("radius", F.lit(0.0)).alias("radius")),
             "shards",
         )

@@ -158,6 +158,27 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
     assert neighbours.groups(df.limit(0)).count() == 0
 
 
+def matrix_groups(x, cosine=0.93):
+    """brute_groups for plain vectors of one label, by one product."""
+    x = x.astype(np.float32).astype(float)
+    x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    hit = x @ x.T >= cosine
+    low = np.arange(len(x))
+    while (less := np.where(hit, low, len(x)).min(axis=1)).tolist() != low.tolist():
+        low = less
+    return list(zip(range(len(x)), (hit.sum(axis=1) - 1).tolist(), low.tolist()))
+
+
+def test_vectors_in_balls_of_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 128)
+    rng = np.random.default_rng(11)
+    near = np.repeat(rng.normal(size=(100, 16)), 30, axis=0)
+    x = near + 0.12 * rng.normal(size=near.shape)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in neighbours.groups(df).collect())
+    assert got == matrix_groups(x)
+
+
 def test_vectors_of_the_table(spark):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in QUERIES["op1_neighbours"](spark, SMALL).collect()) == brute_groups(rows)
