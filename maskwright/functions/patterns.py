@@ -141,9 +141,10 @@ PRESETS: list[tuple[str, str, str, tuple[str, ...]]] = [
     ("WESTERN_FIRST_NAME", "WESTERN_FIRST_NAME", alternation(FIRST_NAMES, True), ()),
 ]
 
-#: What a text must hold for a pattern without literal gate, as a cheap single-class scan.
+#: What a text must hold for a pattern without literal gate, as a cheap single-class scan. Digits are those of the
+#: pattern: any Unicode digit, full-width ones too.
 CLASS_GATES = {
-    "MY_NUMBER": "[0-9]{4}", "DRIVERS_LICENSE": "[0-9]{2}", "PASSPORT": "[A-Z]{2}[0-9]{7}", "KATAKANA_NAME": "[ァ-ヶー]{4}", "JP_SURNAME": "[一-龥]", "WORLD_COUNTRY": "[ァ-ヶ一-龥]",
+    "MY_NUMBER": r"(?U)\d{4}", "DRIVERS_LICENSE": r"(?U)\d{2}", "PASSPORT": r"(?U)[A-Z]{2}\d{7}", "KATAKANA_NAME": "[ァ-ヶー]{4}", "JP_SURNAME": "[一-龥]", "WORLD_COUNTRY": "[ァ-ヶ一-龥]",
 }
 CATEGORIES = list(dict.fromkeys(p[0] for p in PRESETS))
 

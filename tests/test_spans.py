@@ -50,6 +50,16 @@ def test_presets_are_those_of_re(docs):
     assert found == want
 
 
+def test_gates_take_the_digits_of_their_patterns(spark):
+    texts = ["番号 １２３４５６７８９０１２ です", "番号 １２３４ ５６７８ ９０１２", "免許証 １２-３４-５６７８９０-１２", "旅券 TK１２３４５６７ です", "旅券 TK1234567 です", "免許証 12-34-567890-12", "１２", "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {}
+    for gated in (True, False):
+        spans = detect.preset_spans(F.col("text"), only=["MY_NUMBER", "DRIVERS_LICENSE", "PASSPORT"]) if gated else S.patterns_spans(F.col("text"), [(t, p, None) for c, t, p, _ in PRESETS if c in ("MY_NUMBER", "DRIVERS_LICENSE", "PASSPORT")], "gateway")
+        found[gated] = sorted((r["doc_id"], r["entity_type"], r["text"]) for r in docs.select("doc_id", F.inline(spans)).collect())
+    assert found[True] == found[False] and {0, 1, 2, 3, 4, 5} == {k for k, _, _ in found[True]}
+
+
 def test_golden_cases(docs):
     out = {r["doc_id"]: r for r in mask.sanitize(docs).collect()}
     for k, (label, surface) in EXPECTED.items():
