@@ -11,7 +11,9 @@
    the first hits on expands everything within the radius. Hits are verified by the exact cosine in double
    precision. A pair found in several shards counts in the smallest shard that both share.
 5. Where a ball's radius leaves open which members are linked, the members are compared exactly, in blocks.
-6. Recall is audited by brute force for a sample of nodes; below ``RECALL`` the overlap is doubled.
+6. The share of its links that each node of a sample has is audited by brute force. Where the mean is below ``RECALL``
+   or one node's share below ``WORST``, the overlap and its margin are doubled once; if that is still too little, all
+   pairs of each label are compared, in blocks.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those without a
 label, link with nothing; vectors of different length never link; equal vectors link; repeated rows of a vec_id
@@ -38,6 +40,7 @@ DEGREE = 16
 BEAM = 12
 ALPHA = 1.2
 RECALL = 0.98
+WORST = 0.5
 AUDIT = 128
 
 
@@ -164,7 +167,7 @@ def searched(x: np.ndarray, edges: list[list[int]], radius: np.ndarray, limit: f
         yield q[rows[keep]], nodes[keep]
 
 
-def _split(active: DataFrame, nodes: DataFrame, half: float, overlap: int) -> tuple[DataFrame, DataFrame | None, bool]:
+def _split(active: DataFrame, nodes: DataFrame, half: float, overlap: int, margin: float) -> tuple[DataFrame, DataFrame | None, bool]:
     """One level: crowded shards dealt to their clusters. Returns all nodes, ball members, and whether one was crowded.
 
     A vector in several shards may lie in balls of more than one. It belongs to one of them (the smallest node id), leaves
@@ -216,7 +219,7 @@ def _split(active: DataFrame, nodes: DataFrame, half: float, overlap: int) -> tu
             s = x @ centres.T
             order = np.argsort(-s, axis=1)[:, : max(1, min(overlap, len(centres) // 2))]
             for k, row in enumerate(zip(rows["id"], rows["v"].tolist(), rows["n"], rows["is_ball"])):
-                out += [(int(c), *row) for c in order[k] if s[k, c] >= s[k, order[k, 0]] - MARGIN]
+                out += [(int(c), *row) for c in order[k] if s[k, c] >= s[k, order[k, 0]] - margin]
         return pd.DataFrame(out, columns=["shard", "id", "v", "n", "is_ball"]).assign(parent=key[0])
 
     found = salted(active).cogroup(parts.groupBy("shard", "salt")).applyInPandas(deal, "shard long, id long, v array<double>, n long, is_ball boolean, parent long")
@@ -296,11 +299,11 @@ def _compared(pairs: DataFrame, members: DataFrame, cosine: float) -> DataFrame:
     return pick("a", "ka").groupBy(*keys).cogroup(other.groupBy(*[f"{k}_" for k in keys])).applyInPandas(compare, "id long, a long, b long, n long")
 
 
-def _audited(nodes: DataFrame, found: DataFrame, cosine: float) -> float:
-    """Recall of the link counts against brute force, for at most AUDIT vectors against all vectors of their label."""
+def _audited(nodes: DataFrame, found: DataFrame, cosine: float) -> tuple[float, float]:
+    """Mean and smallest share of its links that a vector has, of at most AUDIT vectors with links, by brute force."""
     picked = nodes.groupBy(F.pmod(F.xxhash64("id"), F.lit(AUDIT)).alias("slot")).agg(F.min_by(F.struct("id", "shard", "v"), F.xxhash64("id", F.lit(1))).alias("q")).select("q.*").collect()
     if not picked:
-        return 1.0
+        return 1.0, 1.0
     ids, labels = np.array([p["id"] for p in picked]), np.array([p["shard"] for p in picked])
     sides = {k: _unit(pd.Series([p["v"] for p in picked if p["shard"] == k])) for k in set(labels.tolist())}
     shared = nodes.sparkSession.sparkContext.broadcast((ids, labels, sides))
@@ -316,8 +319,42 @@ def _audited(nodes: DataFrame, found: DataFrame, cosine: float) -> float:
                     yield pd.DataFrame({"id": mine, "true": hit @ own["n"].to_numpy()})
 
     true = nodes.select("shard", "id", "v", "n").mapInPandas(count, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
-    got = true.join(found, "id", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("n", F.lit(0)))).alias("f")).first()
-    return 1.0 if not got["t"] else got["f"] / got["t"]
+    right, n = F.col("true"), F.coalesce("n", F.lit(0))
+    share = true.where(F.col("true") > 0).join(found, "id", "left").select((F.least(right, n) / F.greatest(right, n)).alias("share"))
+    got = share.agg(F.avg("share").alias("mean"), F.min("share").alias("worst")).first()
+    return (1.0, 1.0) if got["mean"] is None else (got["mean"], got["worst"])
+
+
+def _exact(nodes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """(id, n) and links (a, b) of all pairs of each label, in blocks."""
+    total = nodes.groupBy("shard").agg(F.ceil(F.count("*") / 1024).cast("int").alias("blocks"))
+    inside = nodes.join(total, "shard").withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks"))).select("shard", "block", "id", "v", "n")
+    cells = total.select("shard", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("ka")).select("shard", "ka", F.explode(F.sequence(F.col("ka"), F.col("blocks") - 1)).alias("kb"))
+    pick = lambda k: inside.withColumnRenamed("block", k).join(cells, ["shard", k])
+
+    def compare(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": [], "n": []})
+        hit = _unit(x["v"]) @ _unit(y["v_"]).T >= cosine
+        a, b = x["id"].to_numpy(), y["id_"].to_numpy()
+        hit &= a[:, None] != b[None]
+        sides = [(a, hit @ y["n_"].to_numpy())] + ([] if key[1] == key[2] else [(b, x["n"].to_numpy() @ hit)])
+        out = [pd.DataFrame({"a": i, "b": i, "n": n})[n > 0] for i, n in sides]
+        low = np.where(hit.any(axis=0), b, np.iinfo(np.int64).max)  # smallest id that a column reaches within the block
+        while True:
+            left = np.where(hit, low[None], np.iinfo(np.int64).max).min(axis=1)
+            left = np.minimum(left, a)
+            less = np.minimum(low, np.where(hit, left[:, None], np.iinfo(np.int64).max).min(axis=0))
+            if (less == low).all():
+                break
+            low = less
+        for ids, to, ok in ((a, left, hit.any(axis=1)), (b, low, hit.any(axis=0))):
+            out.append(pd.DataFrame({"a": ids, "b": to, "n": 0})[ok & (ids != to)])
+        return pd.concat(out)
+
+    other = pick("kb").select(F.col("shard").alias("shard_"), F.col("ka").alias("ka_"), F.col("kb").alias("kb_"), F.col("id").alias("id_"), F.col("v").alias("v_"), F.col("n").alias("n_"))
+    found = stored(pick("ka").groupBy("shard", "ka", "kb").cogroup(other.groupBy("shard_", "ka_", "kb_")).applyInPandas(compare, "a long, b long, n long"), "exact")
+    return found.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n")), found.where("a != b").select("a", "b")
 
 
 def groups(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", overlap: int = OVERLAP) -> DataFrame:
@@ -330,10 +367,11 @@ def groups(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_c
     valid = keyed.where(F.col("shard").isNotNull() & F.col("vec_id").isNotNull())
     nodes = stored(valid.groupBy("shard", "h1", "h2").agg(F.min("vec_id").alias("id"), F.first("v").alias("v"), F.count("*").alias("n")), "vectors")
 
+    margin = MARGIN
     while True:
         active, members, again = nodes.select("shard", "id", "v", "n", F.lit(False).alias("is_ball")), None, True
         while again:
-            active, more, again = _split(active, nodes, limit / 2, overlap)
+            active, more, again = _split(active, nodes, limit / 2, overlap, margin)
             members = more if members is None else members.unionByName(more) if more is not None else members
         if members is None:
             members = nodes.limit(0).select(F.col("id").alias("node"), "id", "v", "n", F.lit(0.0).alias("gap"))
@@ -361,9 +399,14 @@ def groups(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_c
         else:
             place = place.withColumn("more", F.lit(0))
         place = stored(place.select("id", "node", "own", (F.coalesce("total", "own") - F.col("own") + F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n")), "place")
-        if overlap >= 4 * OVERLAP or _audited(nodes, place.select("id", "n"), cosine) >= RECALL:
+        mean, worst = _audited(nodes, place.select("id", "n"), cosine)
+        if mean >= RECALL and worst >= WORST:
+            break
+        if overlap >= 2 * OVERLAP:
+            counts, links = _exact(nodes, cosine)
+            place = nodes.select("id", F.col("id").alias("node"), F.col("n").alias("own")).join(counts, "id", "left").select("id", "node", "own", F.coalesce("n", F.lit(0)).alias("n"))
             break
-        overlap *= 2
+        overlap, margin = 2 * overlap, 2 * margin
     group = components(links, "a", "b")
     classes = cut(place.join(group, place["node"] == group["node"], "left").select("id", (F.col("own") - 1 + F.col("n")).alias("n_links"), F.coalesce("component", place["node"]).alias("component_id")))
     named = cut(nodes.select("id", "shard", "h1", "h2").join(classes, "id"))

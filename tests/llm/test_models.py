@@ -179,6 +179,16 @@ def test_vectors_in_balls_of_several_shards(spark, monkeypatch):
     assert got == matrix_groups(x)
 
 
+def test_vectors_lost_by_the_search(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    near = np.concatenate([np.repeat(rng.normal(size=(1, 16)), 300, axis=0), np.repeat(rng.normal(size=(300, 16)), 2, axis=0)])
+    x = near + 0.05 * rng.normal(size=near.shape)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    kept = neighbours._links  # a search that finds the links of the tight group only
+    monkeypatch.setattr(neighbours, "_links", lambda shards, limit: kept(shards, limit).where("a < 300 and b < 300"))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in neighbours.groups(df).collect()) == matrix_groups(x)
+
+
 def test_vectors_of_the_table(spark):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in QUERIES["op1_neighbours"](spark, SMALL).collect()) == brute_groups(rows)
