@@ -104,6 +104,15 @@ def test_html_repetition_decides_open_blocks(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_copies_are_not_boilerplate(spark):
+    menu, story = (" ".join(f"{w}{k}" for k in range(20)) for w in ("menu", "story"))
+    rows = [(k, "http://a.example/x", f"<div>{menu}</div><div>{story if k < 3 else f'own{k} words'}</div>") for k in range(8)]
+    rows += [(10, "http://b.example/1", f"<div>{story}</div>"), (11, "http://b.example/2", f"<div>{story}</div>"), (12, "http://c.example/", f"<div class='content with-sidebar'><article><p>{story}</p></article><p>side</p></div>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert got == {k: story if k < 3 or k > 8 else f"own{k} words" for k, _, _ in rows}
+
+
 def test_suffix_ranks():
     rng = np.random.default_rng(2)
     codes = rng.integers(0, 3, 300).astype(np.uint64)
