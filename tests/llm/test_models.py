@@ -31,6 +31,13 @@ def held_out(spark, name, column):
     return (rows["predicted"] == rows[column]).mean(), rows
 
 
+def test_top_word_of_whole_texts():
+    at = quality.FEATURES.index("top_word") - len(quality.FEATURES)
+    stuffed = " ".join(f"w{k} stuffing" for k in range(100))
+    for text, share in ((stuffed, 0.5), ("a bb ccc longest longest", 0.4), ("", 0), (None, 0)):
+        assert quality.features(text)[at] == share
+
+
 def test_quality_held_out(spark):
     assert held_out(spark, "op10_quality", "quality")[0] > 0.93
 
