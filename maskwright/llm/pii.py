@@ -5,10 +5,13 @@ Every entity gets a keyed replacement of its own type, script, gender and format
 secrets character class by character class; names by given names of the same gender and script and by built
 surnames. The replacement depends on the key and on the entity alone, so all mentions in all documents agree.
 Distinct entities are then checked over the whole table: where two share a replacement, or one equals an entity
-that occurs, all but one are drawn again, until none is left. This needs the entities only, not the texts.
+that occurs, all but one are drawn again, until none is left; every further draw is longer, so a free one exists however
+many entities there are. This needs the entities only, not the texts. A name that a title or a given name marks
+is carried through its document: where its surname or its given name stands alone there, it is replaced alike.
 
 Defined results: a null text stays null with no entities; the two noncharacters used as marks become U+FFFD if a
-text holds them; equal entities in different letter case (addresses) count as one; other columns pass through.
+text holds them; equal entities in different letter case (addresses) count as one; rows that repeat an id, and rows
+without one, are each replaced on their own; other columns pass through, but one named ``n_entities`` gives way to ours.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, partitions
 
 #: Given names by script and gender.
 GIVEN = {
@@ -28,7 +31,7 @@ GIVEN = {
     ("cyrillic", "f"): "Анна Елена Ольга Наталья Татьяна Ирина Мария Светлана Екатерина Юлия".split(),
 }
 #: Forms of address by gender.
-TITLES = {"m": "Mr Herr Monsieur Señor".split(), "f": "Mrs Ms Frau Madame Señora".split()}
+TITLES = {"m": "Mr Herr Monsieur Señor".split(), "f": "Mrs Ms Frau Madame Señora".split(), "": "Dr Prof Mx".split()}
 SYLLABLES = {"latin": "ba be bi bo da de di do fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne ra re sa se ta to".split(), "cyrillic": "ба бе ва ве га го да де за зи ка ко ла ле ли ло ма ми мо на не но ра ре ро са се со та те ти то".split()}
 OPEN, CLOSE = "﷐", "﷑"
 
@@ -48,6 +51,8 @@ KINDS = {
     "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_TITLES})\.? (?:(?:{_GIVEN}) )?|(?:{_GIVEN}) ){_SURNAME}(?!\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Draws after which numbers, whose format leaves no room, get a further group of digits.
+WIDE = 8
 
 
 def _number(*parts: Column | str) -> Column:
@@ -121,11 +126,12 @@ def _ip(value: Column, seed: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, turn, out)
 
 
-def _surname(value: Column, seed: Column) -> Column:
+def _surname(value: Column, seed: Column, attempt: Column) -> Column:
+    """Four syllables, and one more with each further draw."""
     out = F.lit("")
     for script, syllables in SYLLABLES.items():
         names = F.array(*map(F.lit, syllables))
-        built = F.aggregate(F.sequence(F.lit(1), F.lit(4)), F.lit(""), lambda a, i: F.concat(a, F.element_at(names, (_number(seed, i) % len(syllables) + 1).cast("int"))))
+        built = F.aggregate(F.sequence(F.lit(1), attempt + 4), F.lit(""), lambda a, i: F.concat(a, F.element_at(names, (_number(seed, i) % len(syllables) + 1).cast("int"))))
         out = F.when(value.rlike(r"\p{IsCyrillic}") if script == "cyrillic" else ~value.rlike(r"\p{IsCyrillic}"), F.initcap(built)).otherwise(out)
     return out
 
@@ -141,9 +147,11 @@ def _given(value: Column, key: str) -> Column:
     return out
 
 
-def _entity(value: Column) -> Column:
-    """(kind, entity, before, middle, value): what is replaced in a match and by what identity."""
-    kind = reduce(lambda c, k: F.when(value.rlike(f"^(?:{KINDS[k]})$"), k).otherwise(c), reversed(KINDS), F.lit("name"))
+def _entity(value: Column, surnames: Column) -> Column:
+    """(kind, entity, before, value): what is replaced in a match and by what identity. A name that stands alone is one
+    of the ``surnames`` of its document, or else a given name."""
+    alone = F.when(value.rlike(f"^(?:{_GIVEN})$") & ~F.array_contains(surnames, value), "given").otherwise("name")
+    kind = reduce(lambda c, k: F.when(value.rlike(f"^(?:{KINDS[k]})$"), k).otherwise(c), reversed(KINDS), alone)
     before = F.when(value.rlike(f"^(?:{KINDS['secret']})$"), F.regexp_extract(value, r"^(.*?[=:]\s*[\"']?)", 1)).when(value.rlike(rf"^(?:{KINDS['name']})$"), F.regexp_extract(value, r"^(.*) ", 1)).otherwise("")
     rest = F.when(value.rlike(rf"^(?:{KINDS['name']})$"), F.regexp_extract(value, r" (\S+)$", 1)).otherwise(F.substr(value, F.length(before) + 1, F.length(value)))
     return F.struct(kind.alias("kind"), F.when(kind == "email", F.lower(rest)).otherwise(rest).alias("entity"), before.alias("before"), rest.alias("value"))
@@ -162,7 +170,7 @@ def surrogate(kind: Column, value: Column, entity: Column, key: str, attempt: Co
     pem = F.regexp_extract(value, r"^(-----[^\n-]*-----)", 1), F.regexp_extract(value, r"(-----END[^\n-]*-----)$", 1)
     inner = F.substr(value, F.length(pem[0]) + 1, F.length(value) - F.length(pem[0]) - F.length(pem[1]))
     key_head = F.regexp_extract(value, r"^(AKIA|ASIA|gh[pousr]_|sk-|xox[baprs]-|eyJ)", 1)
-    return (
+    fixed = (
         F.when(kind == "email", email)
         .when(kind == "phone", F.concat(phone_code, _refilled(phone_rest, _permuted(_digits(phone_rest), cipher))))
         .when(kind == "card", _card(value, cipher))
@@ -171,30 +179,59 @@ def surrogate(kind: Column, value: Column, entity: Column, key: str, attempt: Co
         .when(kind == "iban", F.concat(F.substr(value, F.lit(1), F.lit(2)), _shaped(F.substr(value, F.lit(3), F.length(value)), seed)))
         .when(kind == "private_key", F.concat(pem[0], _shaped(inner, seed), pem[1]))
         .when(kind == "key", F.concat(key_head, _shaped(F.substr(value, F.length(key_head) + 1, F.length(value)), seed)))
-        .when(kind == "name", _surname(value, seed))
+        .when(kind == "name", _surname(value, seed, attempt))
+        .when(kind == "given", _given(value, key))
         .otherwise(_shaped(value, seed))
     )
+    # a further draw is longer, where the format allows it at once, else after WIDE draws in the same format
+    extra = F.when(kind.isin("name", "given"), 0).when(kind.isin("phone", "card", "ssn", "ip"), F.greatest(F.lit(0), attempt - WIDE)).otherwise(attempt)
+    more = F.when(kind == "email", F.lit("a")).when(kind.isin("phone", "card", "ssn", "ip"), F.lit("0")).otherwise(F.lit("x"))
+    drawn = _shaped(F.repeat(more, extra.cast("int")), F.concat(seed, F.lit("more")))
+    tail = F.when(kind.isin("phone", "card", "ssn", "ip"), F.concat(F.lit("-"), drawn)).otherwise(drawn)
+    return F.when(extra <= 0, fixed).when(kind == "email", F.concat(drawn, fixed)).when(kind == "private_key", F.concat(pem[0], _shaped(inner, seed), drawn, pem[1])).otherwise(F.concat(fixed, tail))
 
 
 def _parts(text: Column) -> Column:
-    """The text cut at its entities: every second part is one."""
-    plain = F.when(text.contains(OPEN) | text.contains(CLOSE), F.translate(text, OPEN + CLOSE, "��")).otherwise(text)
-    return F.split(F.regexp_replace(plain, PATTERN, f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
+    """struct<parts, surnames>: the text cut at its entities, every second part being one, and the surnames that occur."""
+    plain = F.when(text.contains(OPEN) | text.contains(CLOSE), F.translate(text, OPEN + CLOSE, "\ufffd\ufffd")).otherwise(text)
+    cut_at = lambda t, pattern: F.split(F.regexp_replace(t, pattern, F.lit(f"{OPEN}$0{CLOSE}")), f"[{OPEN}{CLOSE}]", -1)
+    named = lambda parts: F.filter(parts, lambda p, i: (i % 2 == 1) & p.rlike(f"^(?:{KINDS['name']})$"))
+
+    def carried(parts: Column, names: Column) -> Column:
+        """Mentions of the names by themselves, in what lies between the entities."""
+        surnames = F.array_distinct(F.transform(names, lambda n: F.regexp_extract(n, r" (\S+)$", 1)))
+        given = F.transform(names, lambda n: F.regexp_extract(n, rf"(?:^|\s)({_GIVEN}) ", 1))
+        words = F.filter(F.array_distinct(F.concat(surnames, given)), lambda w: w != "")
+        pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L})"))
+        return F.struct(F.flatten(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.array(p)).otherwise(cut_at(p, pattern)))).alias("parts"), surnames.alias("surnames"))
+
+    def of(parts: Column) -> Column:
+        none = F.struct(parts.alias("parts"), F.array().cast("array<string>").alias("surnames"))
+        return F.when(F.size(parts) < 2, none).otherwise(_bound(named(parts), lambda n: F.when(F.size(n) == 0, none).otherwise(carried(parts, n))))
+
+    return _bound(cut_at(plain, F.lit(PATTERN)), of)
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def entities(df: DataFrame, text_col: str = "text", *keep: str) -> DataFrame:
     """(keep..., kind, entity, before, value) for each mention."""
-    found = F.filter(_parts(F.col(text_col)), lambda p, i: i % 2 == 1)
-    return df.select(*keep, F.explode(found).alias("__match")).select(*keep, F.inline(F.array(_entity(F.col("__match")))))
+    found = _bound(_parts(F.col(text_col)), lambda x: F.transform(F.filter(x["parts"], lambda p, i: i % 2 == 1), lambda p: _entity(p, x["surnames"])))
+    rows = df.select(*keep, F.explode_outer(found).alias("__match")).where(F.col("__match").isNotNull())
+    return rows.select(*keep, "__match.*")
 
 
-def draws(mentions: DataFrame, key: str, most: int = 20) -> DataFrame:
+def draws(mentions: DataFrame, key: str) -> DataFrame:
     """(kind, entity, attempt > 0): the entities whose first surrogate was taken, with the draw that is free."""
+    spread = partitions(mentions.sparkSession)
     same = lambda c: F.lower(c) if isinstance(c, Column) else F.lower(F.col(c))
-    rows = cut(mentions.select("kind", "entity").distinct())
+    rows = cut(mentions.where("kind != 'given'").select("kind", "entity").distinct().repartition(spread))
     state = rows.withColumn("attempt", F.lit(0)).withColumn("new", surrogate(F.col("kind"), F.col("entity"), F.col("entity"), key, F.col("attempt")))
     taken = rows.select("kind", same("entity").alias("other")).distinct()
-    for _ in range(most):
+    while True:
         state = cut(state)
         rank = F.row_number().over(Window.partitionBy("kind", same("new")).orderBy("attempt", "entity"))
         bad = cut(
@@ -202,14 +239,16 @@ def draws(mentions: DataFrame, key: str, most: int = 20) -> DataFrame:
             .where((F.col("rank") > 1) | F.col("real")).select(state["kind"], "entity", F.lit(True).alias("again"))
         )
         if bad.isEmpty():
-            break
-        state = state.join(bad, ["kind", "entity"], "left").withColumn("attempt", F.col("attempt") + F.when(F.col("again"), 1).otherwise(0))
-        state = state.select("kind", "entity", "attempt", surrogate(F.col("kind"), F.col("entity"), F.col("entity"), key, F.col("attempt")).alias("new"))
-    return cut(state.where(F.col("attempt") > 0).select("kind", "entity", "attempt"))
+            return cut(state.where(F.col("attempt") > 0).select("kind", "entity", "attempt"))
+        state = state.join(bad, ["kind", "entity"], "left").repartition(spread)
+        attempt = F.col("attempt") + F.when(F.col("again"), 1).otherwise(0)
+        fresh = F.when(F.col("again"), surrogate(F.col("kind"), F.col("entity"), F.col("entity"), key, F.col("attempt") + 1)).otherwise(F.col("new"))
+        state = state.select("kind", "entity", attempt.alias("attempt"), fresh.alias("new"))
 
 
 def replace(df: DataFrame, key: str = "demonstration-key", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with its text column replaced, and ``n_entities``."""
+    df = df.drop("n_entities")
     again = draws(entities(df, text_col), key)
     if again.isEmpty():
         rows, attempt_of = df, lambda e: F.lit(0)
@@ -221,10 +260,11 @@ def replace(df: DataFrame, key: str = "demonstration-key", id_col: str = "doc_id
 
     def put(e: Column) -> Column:
         words = F.split(e["before"], " ")
-        before = F.when(e["kind"] == "name", F.concat(F.array_join(F.transform(words, lambda w: _given(w, key)), " "), F.lit(" "))).otherwise(e["before"])
+        before = F.when((e["kind"] == "name") & (e["before"] != ""), F.concat(F.array_join(F.transform(words, lambda w: _given(w, key)), " "), F.lit(" "))).otherwise(e["before"])
         return F.concat(before, surrogate(e["kind"], e["value"], e["entity"], key, attempt_of(e)))
 
-    new = F.transform(F.col("__parts"), lambda p, i: F.when(i % 2 == 1, F.element_at(F.transform(F.array(_entity(p)), put), 1)).otherwise(p))
+    parts, surnames = F.col("__parts.parts"), F.col("__parts.surnames")
+    new = F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.element_at(F.transform(F.array(_entity(p, surnames)), put), 1)).otherwise(p))
     out = rows.withColumn("__parts", _parts(F.col(text_col)))
-    columns = [F.when(F.size("__parts") == 1, F.col("__parts")[0]).otherwise(F.array_join(new, "")).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in df.columns]
-    return out.select(*columns, F.coalesce(((F.size("__parts") - 1) / 2).cast("int"), F.lit(0)).alias("n_entities"))
+    columns = [F.when(F.size(parts) == 1, parts[0]).otherwise(F.array_join(new, "")).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in df.columns]
+    return out.select(*columns, F.coalesce(((F.size(parts) - 1) / 2).cast("int"), F.lit(0)).alias("n_entities"))
