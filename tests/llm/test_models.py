@@ -120,6 +120,59 @@ def test_html_copies_are_not_boilerplate(spark):
     assert got == {k: story if k < 3 or k > 8 else f"own{k} words" for k, _, _ in rows}
 
 
+def test_html_odd_structures(spark):
+    rows = [
+        (1, "http://a.example/", "<body><form><article><p>Real story text.</p></article><label>Name</label></form></body>", "Real story text."),
+        (2, "http://a.example/", '<article><h1>T</h1><p class="legal-analysis">Court ruled today.</p><div class="social-policy">On policy.</div><div class="ad">Buy.</div></article>', "T\nCourt ruled today.\nOn policy."),
+        (3, "http://a.example/", "<article>" + "<p>long text here</p>" * 20_000 + "</article>", "\n".join(["long text here"] * 20_000)),
+        (None, "http://a.example/", "<p>no id</p>", "no id"), (None, None, None, ""), (None, "http://a.example/", "<p>no id either</p>", "no id either"),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    assert Counter((r["page_id"], r["text"]) for r in html.extract(df).collect()) == Counter((r[0], r[3]) for r in rows)
+
+
+def test_html_repeated_ids_keep_their_own_text(spark):
+    menu = " ".join(f"menu{k}" for k in range(20))
+    rows = [(k, "http://a.example/", f"<div>{menu}</div><div>own{k}</div>") for k in range(1, 5)] + [(1, "http://a.example/", "<div>" + " ".join(f"unique{k}" for k in range(30)) + "</div>")]
+    got = {(r["page_id"], r["text"]) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {(k, f"own{k}") for k in range(1, 5)} | {(1, " ".join(f"unique{k}" for k in range(30)))}
+
+
+def brute_open_text(pages):
+    """What stays of plain pages of one host: tokens outside all 16-token windows that 3 pages and half of them hold."""
+    where = {}
+    for k, tokens in pages.items():
+        for a in range(len(tokens) - html.RUN + 1):
+            where.setdefault(tuple(tokens[a : a + html.RUN]), set()).add(k)
+    out = {}
+    for k, tokens in pages.items():
+        gone = set()
+        for a in range(len(tokens) - html.RUN + 1):
+            if len(where[tuple(tokens[a : a + html.RUN])]) >= max(html.LEAST, html.SHARE * len(pages)):
+                gone |= set(range(a, a + html.RUN))
+        out[k] = " ".join(t for a, t in enumerate(tokens) if a not in gone)
+    return out
+
+
+def test_html_runs_of_a_whole_host_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(html, "BATCH", 7)  # so that the host's array is made of many parts
+    rng = np.random.default_rng(4)
+    shared = [[f"s{j}x{k}" for k in range(n)] for j, n in enumerate((15, 16, 40, 90))]
+    pages = {}
+    for k in range(60):
+        tokens = []
+        for j in rng.permutation(4):
+            lo = int(rng.integers(0, 4)) if j > 1 else 0
+            tokens += shared[j][lo:] if rng.random() < (0.8, 0.7, 0.6, 0.3)[j] else []
+            tokens += [f"own{k}w{j}n{n}" for n in range(int(rng.integers(0, 30)))]
+        pages[k] = tokens
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", f"<div>{' '.join(t)}</div>") for k, t in pages.items()], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert got == brute_open_text(pages)
+    monkeypatch.setattr(html, "LEAST", 10**6)  # the array decides: without it all text stays
+    assert {r["page_id"]: r["text"] for r in html.extract(df).collect()} == {k: " ".join(t) for k, t in pages.items()}
+
+
 def test_suffix_ranks():
     rng = np.random.default_rng(2)
     codes = rng.integers(0, 3, 300).astype(np.uint64)
