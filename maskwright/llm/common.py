@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where none is set (tests, local mode)."""
+    """The folder of ``spark.checkpoint.dir``. Where none is set, one of our own in local mode (tests), and an error on a
+    cluster, whose machines don't see each other's folders."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         path = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="maskwright-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{path}")

@@ -4,8 +4,8 @@ A byte embedding, filters of several widths, max pooling over a window and a sof
 windows of labelled texts. Prediction cuts each whole text into windows of one length, runs them in batches and
 adds up the windows' log-probabilities, weighted by their bytes.
 
-Trained on at most ``PER_LANGUAGE`` texts for each label and ``WINDOWS`` windows of each, which does not grow
-with the input. Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing was
+Trained on all windows of at most ``PER_LANGUAGE`` texts for each label, which does not grow with the number of
+texts. Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing was
 learned; equal texts get equal results.
 """
 
@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, take
 
 FOLDS, HELD_OUT = 5, 0
-PER_LANGUAGE = 500
-WINDOWS = 6
+PER_LANGUAGE = 300
 LENGTH = 256
 WIDTHS = (2, 3, 4)
 BATCH = 64
@@ -79,8 +78,28 @@ def windows(text: str) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(n, LENGTH), size
 
 
+def gradients(net: Network, xb: np.ndarray, yb: np.ndarray) -> list[np.ndarray]:
+    """Of the mean cross-entropy, by parameter; the max pooling passes them only to the winning patches."""
+    rows, filters = np.arange(len(xb)), net.filters[0].shape[1]
+    pooled, places, patches = net.pooled(xb)
+    d = np.exp(net.logs(pooled))
+    d[rows, yb] -= 1
+    d /= len(xb)
+    back = (d @ net.out.T) * (pooled > 0)
+    g_embed, g_filters, g_bias = np.zeros_like(net.embed), [], []
+    for j, (width, w) in enumerate(zip(WIDTHS, net.filters)):
+        part = back[:, j * filters : (j + 1) * filters]
+        won = patches[j][rows[:, None], places[j]]  # (rows, filters, width * dim)
+        g_filters.append(np.einsum("nf,nfd->df", part, won))
+        g_bias.append(part.sum(axis=0))
+        pieces = (part[:, :, None] * w.T[None]).reshape(len(xb), filters, width, -1)
+        at = xb[rows[:, None, None], places[j][:, :, None] + np.arange(width)]
+        np.add.at(g_embed, at.ravel(), pieces.reshape(-1, pieces.shape[-1]))
+    return [g_embed, *g_filters, *g_bias, pooled.T @ d, d.sum(axis=0)]
+
+
 def fit(x: np.ndarray, y: np.ndarray, languages: list[str], dim: int = 8, filters: int = 12, epochs: int = 4, rate: float = 4e-3, seed: int = 7) -> Network:
-    """Adam on the cross-entropy of windows; the max pooling passes gradients only to the winning patches."""
+    """Adam on the cross-entropy of windows."""
     rng = np.random.default_rng(seed)
     net = Network(
         languages, rng.normal(0, 0.5, (256, dim)).astype(np.float32), [rng.normal(0, 1 / np.sqrt(w * dim), (w * dim, filters)).astype(np.float32) for w in WIDTHS],
@@ -92,23 +111,8 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], dim: int = 8, filter
         order = rng.permutation(len(x))
         for k in range(0, len(x), BATCH):
             rows = order[k : k + BATCH]
-            xb, yb = x[rows], y[rows]
-            pooled, places, patches = net.pooled(xb)
-            d = np.exp(net.logs(pooled))
-            d[np.arange(len(rows)), yb] -= 1
-            d /= len(rows)
-            back = (d @ net.out.T) * (pooled > 0)
-            g_embed, g_filters, g_bias = np.zeros_like(net.embed), [], []
-            for j, (width, w) in enumerate(zip(WIDTHS, net.filters)):
-                part = back[:, j * filters : (j + 1) * filters]
-                won = patches[j][np.arange(len(rows))[:, None], places[j]]  # (rows, filters, width * dim)
-                g_filters.append(np.einsum("nf,nfd->df", part, won))
-                g_bias.append(part.sum(axis=0))
-                pieces = (part[:, :, None] * w.T[None]).reshape(len(rows), filters, width, dim)
-                at = xb[np.arange(len(rows))[:, None, None], places[j][:, :, None] + np.arange(width)]
-                np.add.at(g_embed, at.ravel(), pieces.reshape(-1, dim))
             t += 1
-            for p, g, a, b in zip(params, [g_embed, *g_filters, *g_bias, pooled.T @ d, d.sum(axis=0)], m, v):
+            for p, g, a, b in zip(params, gradients(net, x[rows], y[rows]), m, v):
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
                 p -= (rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
@@ -132,9 +136,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network | None:
                 if not any(map(str.isalpha, text)):
                     continue
                 x, _ = windows(text)
-                for k in np.unique(np.linspace(0, len(x) - 1, WINDOWS).astype(int)):
-                    labels.append(label)
-                    found.append(x[k].tobytes())
+                labels += [label] * len(x)
+                found += [w.tobytes() for w in x]
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(found, pa.binary())], names=["label", "bytes"])
 
     found = texts.mapInArrow(run, "label string, bytes binary").toPandas().sort_values(["label", "bytes"])

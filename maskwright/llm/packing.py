@@ -9,7 +9,8 @@ are numbered on Spark, in salted parts so that a common length is no hot group,
 repeat of which pattern the piece lies.
 
 Defined results: a null text counts as empty and gives one piece with the end token only; only documents longer
-than the capacity are cut; equal texts are packed each on their own; an empty table gives no rows.
+than the capacity are cut; equal texts are packed each on their own; an empty table gives no rows; columns of ``items``
+may have any names, but ones named ``sequence_id`` and ``offset`` give way to ours.
 """
 
 from __future__ import annotations
@@ -23,7 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder, portions
-from .common import partitions, stored, take
+from .common import stored, take
+
+
+#: Pieces for each salt; a length that all pieces share is numbered in groups of about so many rows.
+PART = 200_000
 
 
 def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -97,17 +102,23 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[tuple[int,
 def pack(items: DataFrame, capacity: int = 2048, length_col: str = "length") -> DataFrame:
     """``items`` (a stored table with a length from 1 to ``capacity`` in each row) with sequence_id and offset."""
     spark = items.sparkSession
-    salts = max(8, partitions(spark))
-    keys = [c for c in items.columns if c != length_col]
-    dealt = items.withColumn("__salt", F.pmod(F.xxhash64(*keys) if keys else F.xxhash64(length_col), F.lit(salts)))
-    counts = stored(dealt.groupBy(F.col(length_col).alias("__length"), "__salt").agg(F.count("*").alias("__n")), "lengths")
-    histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("__length").agg(F.sum("__n")).collect()}  # at most capacity rows
-    before = Window.partitionBy("__length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__length", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")).withColumnRenamed("__salt", "__salt2")
-    within = Window.partitionBy(length_col, "__salt").orderBy(*keys)
-    ranked = dealt.withColumn("__rank", F.row_number().over(within) - 1)
-    ranked = ranked.join(offsets, (F.col(length_col) == F.col("__length")) & (F.col("__salt") == F.col("__salt2")))
-    ranked = ranked.select(*items.columns, (F.col("__rank") + F.col("__before")).alias("__rank"))
+    items = items.drop("sequence_id", "offset")
+    columns, where = items.columns, items.columns.index(length_col)
+    names = [f"c{k}" for k in range(len(columns))]  # names of our own, whatever the caller's are
+    plain = items.toDF(*names)
+    length, keys = f"c{where}", [f"c{k}" for k in range(len(columns)) if k != where]
+    salts = max(8, -(-items.count() // PART))
+    dealt = plain.withColumn("salt", F.pmod(F.xxhash64(*keys) if keys else F.xxhash64(length, F.monotonically_increasing_id()), F.lit(salts)))
+    if not keys:
+        dealt = stored(dealt, "dealt")
+    counts = stored(dealt.groupBy(F.col(length).alias("length"), F.col("salt").alias("part")).agg(F.count("*").alias("n")), "lengths")
+    histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most capacity rows
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy(length, "salt").orderBy(*(keys or [length]))
+    ranked = dealt.withColumn("rank", F.row_number().over(within) - 1)
+    ranked = ranked.join(offsets, (F.col(length) == F.col("length")) & (F.col("salt") == F.col("part")))
+    ranked = ranked.select(*names, (F.col("rank") + F.col("before")).alias("rank"))
 
     used: dict[int, int] = {}
     slots, first = [], 0
@@ -119,8 +130,6 @@ def pack(items: DataFrame, capacity: int = 2048, length_col: str = "length") ->
             at += length * times
         first += repeats
     table = spark.sparkContext.broadcast(np.array(sorted(slots), np.int64).reshape(-1, 5))
-    columns = items.columns
-    where = columns.index(length_col)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table.value
@@ -129,11 +138,11 @@ def pack(items: DataFrame, capacity: int = 2048, length_col: str = "length") ->
             k = np.searchsorted(t[:, 0], length << 44 | rank, side="right") - 1
             own = rank - t[k, 4]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[: len(columns)], pa.array(t[k, 2] + own // t[k, 1]), pa.array(t[k, 3] + own % t[k, 1] * length)], names=[*columns, "sequence_id", "offset"]
+                [*b.columns[: len(columns)], pa.array(t[k, 2] + own // t[k, 1]), pa.array(t[k, 3] + own % t[k, 1] * length)], names=[*names, "sequence_id", "offset"]
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + ", sequence_id long, offset long"
+    return ranked.mapInArrow(run, schema).toDF(*columns, "sequence_id", "offset")
 
 
 def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:

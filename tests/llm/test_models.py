@@ -55,7 +55,7 @@ def test_toxicity_features_count_returns(monkeypatch):
     text = "ab abc abc -- Zz!" + " longer text, cut in slices" * 40
     whole = np.concatenate(list(toxicity.buckets(text)))
     count = Counter(whole.tolist())
-    expected = {b for b in count} | {b + toxicity.BUCKETS for b, n in count.items() if n >= 2}
+    expected = {b + k * toxicity.BUCKETS for b, n in count.items() for k, least in enumerate(toxicity.LEVELS) if n >= least}
     assert set(toxicity.features([whole]).tolist()) == expected and len(toxicity.features([])) == 0
     monkeypatch.setattr(toxicity, "_PART", 50)
     assert Counter(np.concatenate(list(toxicity.buckets(text))).tolist()) == count
@@ -89,6 +89,119 @@ def test_boosting_learns_a_rule():
     assert ((quality.fit(x, y).score(x) > 0.5) == (y == 1)).mean() > 0.97
 
 
+def test_flattened_walk_against_recursion():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 5))
+    model = quality.fit(x, (x[:, 1] * x[:, 3] > 0).astype(float), trees=12, depth=3)
+
+    def walk(tree, node, row):
+        if node >= 7:
+            return model.leaf[tree, node - 7]
+        return walk(tree, 2 * node + (2 if row[model.feature[tree, node]] > model.cut[tree, node] else 1), row)
+
+    slow = [model.base + sum(walk(t, 0, row) for t in range(len(model.leaf))) for row in x]
+    assert len(model.leaf) == 12 and np.allclose(model.raw(x), slow)
+
+
+def test_first_tree_takes_the_best_split():
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 9, (120, 3)).astype(float), (rng.random(120) < 0.4).astype(float)
+    model = quality.fit(x, y, trees=1, depth=1)
+    g, h = y.mean() - y, np.full(120, y.mean() * (1 - y.mean()))
+    gains = {(f, c): sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (x[:, f] <= c, x[:, f] > c)) for f in range(3) for c in range(9) if min(h[x[:, f] <= c].sum(), h[x[:, f] > c].sum()) >= 3}
+    assert (model.feature[0, 0], model.cut[0, 0]) == max(gains, key=gains.get)
+    left = x[:, model.feature[0, 0]] <= model.cut[0, 0]
+    assert np.allclose(model.leaf[0], [-0.2 * g[m].sum() / (h[m].sum() + 1) for m in (left, ~left)])
+
+
+def small_network(seed=1):
+    rng = np.random.default_rng(seed)
+    draw = lambda *shape: rng.normal(size=shape)
+    return language.Network(["a", "b", "c"], draw(256, 4), [draw(w * 4, 3) for w in language.WIDTHS], [draw(3) for _ in language.WIDTHS], draw(9, 3), draw(3)), rng
+
+
+def test_convolution_against_loops():
+    net, rng = small_network()
+    x = rng.integers(0, 256, (5, language.LENGTH)).astype(np.uint8)
+    slow = np.zeros((5, 9))
+    for n in range(5):
+        for j, width in enumerate(language.WIDTHS):
+            for f in range(3):
+                sums = [sum(net.embed[x[n, at + k]] @ net.filters[j].reshape(width, 4, 3)[k, :, f] for k in range(width)) for at in range(language.LENGTH - width + 1)]
+                slow[n, 3 * j + f] = max(0, max(sums) + net.bias[j][f])
+    assert np.allclose(net.maxima(x), slow) and np.allclose(net.pooled(x)[0], slow)
+    p = np.exp(slow @ net.out + net.out_bias)
+    assert np.allclose(np.exp(net.logs(slow)), p / p.sum(axis=1, keepdims=True))
+
+
+def test_gradient_against_differences():
+    net, rng = small_network(4)
+    x, y = rng.integers(0, 256, (6, language.LENGTH)).astype(np.uint8), rng.integers(0, 3, 6)
+    loss = lambda: -net.logs(net.maxima(x))[np.arange(6), y].mean()
+    params = [net.embed, *net.filters, *net.bias, net.out, net.out_bias]
+    for p, g in zip(params, language.gradients(net, x, y)):
+        for at in rng.permutation(p.size)[:6]:
+            kept, tiny = p.flat[at], 1e-6
+            p.flat[at] = kept + tiny
+            up = loss()
+            p.flat[at] = kept - tiny
+            down = loss()
+            p.flat[at] = kept
+            assert abs((up - down) / (2 * tiny) - g.flat[at]) < 1e-4
+
+
+def test_training_reads_every_window(spark):
+    """A language that shows in the last window of long texts only is learned there."""
+    head = "aaaa bbbb " * 400
+    rows = [(k, head + ("zzzz yyyy " if k % 2 else "qqqq wwww ") * 26, "xx" if k % 2 else "yy") for k in range(60)]
+    found = []
+    kept = language.fit
+    language.fit = lambda x, y, languages, **more: found.append((x, y)) or kept(x, y, languages, **more)
+    try:
+        language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    finally:
+        language.fit = kept
+    assert any(b"zzzz" in w.tobytes() for w in found[0][0]) and len(found[0][0]) % len(language.windows(rows[0][1])[0]) == 0
+
+
+def test_regression_against_newton():
+    rng = np.random.default_rng(6)
+    dense = (rng.random((200, 8)) < 0.4).astype(float)
+    y = (rng.random(200) < 1 / (1 + np.exp(-(dense @ rng.normal(size=8) - 0.5)))).astype(float)
+    ratio = np.concatenate([[0.0], rng.normal(size=8)])
+    w, b = toxicity._regression([np.flatnonzero(r) + 1 for r in dense], y, ratio, rounds=4000, ridge=1e-2)
+    x = np.column_stack([dense * ratio[1:], np.ones(200)])
+    penalty = np.diag([1e-2] * 8 + [0])
+    exact = np.zeros(9)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ exact))
+        exact -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / 200 + penalty, x.T @ (p - y) / 200 + penalty @ exact)
+    assert np.allclose([*w[1:], b], exact, atol=1e-3)
+
+
+def test_ratios_against_plain_counts(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(rng.choice(["good", "fine", "bad", "vile"], 6, p=[0.4, 0.4, 0.1, 0.1] if k % 3 else [0.1, 0.1, 0.4, 0.4])), int(k % 3 == 0)) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, df)
+    import zlib
+
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    count, size = [Counter(), Counter()], Counter(r[2] for r in train)
+    for _, text, label in train:
+        count[label].update(set(toxicity.features(list(toxicity.buckets(text))).tolist()))
+    known = {f for c in count for f in c if count[0][f] + count[1][f] >= 3}
+    assert set(np.flatnonzero(model.slot).tolist()) == known  # fewer than the vocabulary holds, so all stay
+    chosen = sorted(known)
+    ratio = np.array([0.0] + [np.log((count[1][f] + 1) / (size[1] + 2)) - np.log((count[0][f] + 1) / (size[0] + 2)) for f in chosen])
+    hits = [model.slot[sorted(f for f in set(toxicity.features(list(toxicity.buckets(t))).tolist()) & known)] for _, t, _ in train]
+    w, b = toxicity._regression(hits, np.array([r[2] for r in train], float), ratio)
+    for _, text, _ in rows:
+        own = [f for f in toxicity.features(list(toxicity.buckets(text))).tolist() if f in known]
+        slow = 1 / (1 + np.exp(-np.clip(sum(ratio[chosen.index(f) + 1] * w[chosen.index(f) + 1] for f in own) + b, -30, 30)))
+        assert abs(model.score(text) - slow) < 1e-6
+
+
 def plain_article(page):
     body = re.search(r"<article>(.*)</article>", page, re.S)[1]
     blocks = re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", re.sub(r"</?(?:p|h1)>", "\0", body))).split("\0")

@@ -69,7 +69,11 @@ def test_bpe_random_words(library):
 def test_bpe_query_on_all_documents(spark, library):
     got = {r["doc_id"]: r for r in QUERIES["op3_bpe"](spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    assert len(got) == len(docs) and all(got[d["doc_id"]]["ids_sha256"] == sha256(ids_of(library, d["text"])).hexdigest() for d in docs)
+    assert len(got) == len(docs)
+    for d in docs:
+        ids, r = ids_of(library, d["text"]), got[d["doc_id"]]
+        text = library.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids) // 4, sha256(ids).hexdigest(), sha256(text.encode()).hexdigest())
 
 
 def check_packing(rows, capacity):
@@ -97,6 +101,27 @@ def test_packing(spark, odd, library):
     assert packing.pack_documents(odd.limit(0), vocabulary()).count() == 0
 
 
+def test_packing_query_on_all_documents(spark, library):
+    rows = QUERIES["op6_packing"](spark, SF).collect()
+    want = Counter()
+    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = ids_of(library, d["text"]) + b"\0\0\0\0"
+        for n, k in enumerate(range(0, len(ids), 4 * 2048)):
+            want[d["doc_id"], n, k // 4, len(ids[k : k + 8192]) // 4, zlib.crc32(ids[k : k + 8192])] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    least = -(-sum(r["length"] for r in rows) // 2048)
+    assert least <= check_packing(rows, 2048) <= least * 1.01 + 1
+
+
+def test_packing_of_any_columns(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 50)  # many salts
+    df = spark.createDataFrame([(k % 5, 7 if k % 3 else 40, "x", 1, 2) for k in range(400)], "salt int, length long, rank string, sequence_id int, part int").cache()
+    rows = packing.pack(df, 100).collect()
+    assert len(rows) == 400 and check_packing(rows, 100) == -(-sum(r["length"] for r in rows) // 100) and Counter(r["salt"] for r in rows) == Counter(k % 5 for k in range(400))
+    bare = packing.pack(df.select("length"), 100).collect()
+    assert len(bare) == 400 and check_packing(bare, 100) == check_packing(rows, 100)
+
+
 def test_packing_is_tight(spark):
     rows = packing.pack(spark.createDataFrame([(k, 1 + (k * k) % 97) for k in range(800)], "id int, length long").cache(), 100).collect()
     assert len(rows) == 800 and check_packing(rows, 100) <= -(-sum(r["length"] for r in rows) // 100) * 1.02
@@ -149,6 +174,26 @@ def test_simhash_odd_rows(spark, odd):
     assert simhash.groups(odd.limit(0)).count() == 0
 
 
+def test_simhash_rows_without_ids(spark):
+    rows = [(None, "alone and without any id here"), (None, "a group of text copies one"), (3, "a group of text copies one"), (None, "other text twice in a row"), (None, "other text twice in a row"), (7, "one"), (7, "two"), (7, "two")]
+    df = spark.createDataFrame([(i, t, 5, 6) for i, t in rows], "doc_id long, text string, fp int, row int")
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()), key=str)
+    assert kept == sorted([(None, rows[0][1]), (3, rows[1][1]), (None, rows[3][1]), (7, "one"), (7, "two")], key=str)
+    found = sorted(((r["id"], r["component_id"]) for r in simhash.groups(df).collect()), key=str)
+    assert found == sorted([(None, None), (None, 3), (3, 3), (None, None), (None, None), (7, 7), (7, 7), (7, 7)], key=str)
+    assert simhash.keep_one(df.limit(0)).columns == df.columns
+
+
+def test_shards_crowded_at_every_level(spark, monkeypatch):
+    """All fingerprints agree but in few bits, so that blocks of the others never part them."""
+    monkeypatch.setattr(simhash, "SHARD", 40)
+    r = random.Random(9)
+    prints = dict(enumerate(sorted({sum(1 << b for b in r.sample(range(0, 60, 5), r.randint(0, 9))) for _ in range(500)})))
+    df = spark.createDataFrame(list(prints.items()), "id long, fp long")
+    found = {x["node"]: x["component"] for x in components(simhash.links(df, 2), "a", "b").collect()}
+    assert {i: found.get(i, i) for i in prints} == classes(prints, 2)
+
+
 def test_crowded_shards_are_dealt_again(spark, monkeypatch):
     r = random.Random(5)
     monkeypatch.setattr(simhash, "SHARD", 20)
