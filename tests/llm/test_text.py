@@ -117,7 +117,7 @@ def test_packing_of_any_columns(spark, monkeypatch):
     monkeypatch.setattr(packing, "PART", 50)  # many salts
     df = spark.createDataFrame([(k % 5, 7 if k % 3 else 40, "x", 1, 2) for k in range(400)], "salt int, length long, rank string, sequence_id int, part int").cache()
     rows = packing.pack(df, 100).collect()
-    assert len(rows) == 400 and check_packing(rows, 100) == 77 and Counter(r["salt"] for r in rows) == Counter(k % 5 for k in range(400))
+    assert len(rows) == 400 and check_packing(rows, 100) == 84 and Counter(r["salt"] for r in rows) == Counter(k % 5 for k in range(400))
     bare = packing.pack(df.select("length"), 100).collect()
     assert len(bare) == 400 and check_packing(bare, 100) == check_packing(rows, 100)
 
