@@ -2,22 +2,26 @@
 
 1. Exact copies collapse to one node with a count.
 2. Nodes with equal labels are clustered level by level until no shard is above ``SHARD`` nodes. Each level fits
-   centroids on a bounded sample of each crowded shard and deals a node to its nearest centroids (overlap). Dense
-   spots of the sample become balls: nodes so near a centre that any two of them are linked for sure (half the
-   angle of the threshold). A ball goes on as one node with a radius, so a huge group of near copies is never
-   compared with itself and its links are counted, not listed.
-3. Every shard builds a graph by robust pruning; a node's adjacency lists of all its shards are united.
-4. In every shard a search for each node starts at the medoid (and at the node itself), walks greedily, and from
-   the first hits on expands everything within the radius. Hits are verified by the exact cosine in double
-   precision. A pair found in several shards counts in the smallest shard that both share.
+   centroids on a bounded sample of each crowded shard and deals a node to its nearest centroids; over all levels and
+   shards a node keeps its ``overlap`` nearest ones only, so copies do not multiply. Dense spots of the sample become
+   balls: nodes so near a centre that any two of them are linked for sure (half the angle of the threshold). A ball
+   goes on as one node with a radius, so a huge group of near copies is never compared with itself and its links are
+   counted, not listed.
+3. Every shard builds a graph by robust pruning. A search for each node starts at the shard's medoid (and at the node
+   itself), walks greedily, and from the first hits on expands everything within the radius. Hits are verified by the
+   exact cosine in double precision. A pair found in several shards counts in the smallest shard that both share.
+4. The adjacency lists of a node's shards are united, and the range expansion goes on over edges that leave a shard:
+   from a hit of a query to the hit's neighbours that share no shard with the query, until nothing new is within the
+   radius. Of the lists only edges of at most twice the radius are of use here: two vectors near the same query are no
+   further apart.
 5. Where a ball's radius leaves open which members are linked, the members are compared exactly, in blocks.
-6. The share of its links that each node of a sample has is audited by brute force. Where the mean is below ``RECALL``
-   or one node's share below ``WORST``, the overlap and its margin are doubled once; if that is still too little, all
-   pairs of each label are compared, in blocks.
+6. The share of its links that each node of a sample has is audited by brute force, in every round, and returned. Where
+   the mean is below ``RECALL`` or one node's share below ``WORST``, the overlap and its margin are doubled once; if that
+   is still too little, all pairs of each label are compared, in blocks.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those without a
 label, link with nothing; vectors of different length never link; equal vectors link; repeated rows of a vec_id
-count as one vector each.
+count as one vector each; a row without a vec_id links with nothing and has a null component_id.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, stored, take
@@ -41,6 +45,8 @@ BEAM = 12
 ALPHA = 1.2
 RECALL = 0.98
 WORST = 0.5
+#: Levels after which nodes go to one cluster only, so that splitting ends.
+DEEP = 8
 AUDIT = 128
 
 
@@ -167,113 +173,156 @@ def searched(x: np.ndarray, edges: list[list[int]], radius: np.ndarray, limit: f
         yield q[rows[keep]], nodes[keep]
 
 
-def _split(active: DataFrame, nodes: DataFrame, half: float, overlap: int, margin: float) -> tuple[DataFrame, DataFrame | None, bool]:
-    """One level: crowded shards dealt to their clusters. Returns all nodes, ball members, and whether one was crowded.
+def _ranked(place: DataFrame, most: int) -> DataFrame:
+    """The ``most`` nearest shards of each node."""
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "shard"))
+    return place.groupBy("id", "shard").agg(F.max("sim").alias("sim")).withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
 
-    A vector in several shards may lie in balls of more than one. It belongs to one of them (the smallest node id), leaves
-    all its shards for it, and the ball takes its place in each of them."""
-    sizes = active.groupBy("shard").count()
-    crowded = cut(sizes.where(F.col("count") > SHARD).select("shard", F.col("count").alias("size")))
+
+def _split(place: DataFrame, points: DataFrame, half: float, overlap: int, margin: float) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """One level: nodes of crowded shards (place: id, shard, sim; points: id, v, n, is_ball) dealt to their clusters.
+
+    Returns places, points and ball members (node, id, gap), or nothing if no shard is crowded. A vector in several
+    shards may lie in balls of more than one. It belongs to one of them (the smallest node id), leaves all its shards
+    for it, and the ball takes its place in each of them."""
+    crowded = cut(place.groupBy("shard").agg(F.count("*").alias("size")).where(F.col("size") > SHARD))
     if crowded.isEmpty():
-        return active, None, False
-    sample = active.join(crowded, "shard").groupBy("shard", "size", F.pmod(F.xxhash64("id"), F.lit(SAMPLE)).alias("slot")).agg(F.min_by("v", "id").alias("v"))
+        return None
+    active = place.select("id", "shard").join(crowded, "shard").join(points, "id")
+    sample = active.groupBy("shard", "size", F.pmod(F.xxhash64("id"), F.lit(SAMPLE)).alias("slot")).agg(F.min_by("v", "id").alias("v"))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         k = int(np.clip(-(-4 * rows["size"].iloc[0] // SHARD), 8, 32))
         balls, centres = clusters(_unit(rows.sort_values("slot")["v"]), k, half)
-        return pd.DataFrame({"shard": rows["shard"].iloc[0], "balls": [balls.tobytes()], "centres": [centres.tobytes()]})
-
-    models = cut(sample.groupBy("shard").applyInPandas(fit, "shard long, balls binary, centres binary"))
-    salts = F.greatest(F.lit(1), F.ceil(F.col("size") / 256)).cast("int")
-    parts = models.join(crowded, "shard").select("shard", "balls", "centres", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    salted = lambda df: df.join(crowded, "shard").withColumn("salt", F.pmod(F.xxhash64("id", "shard"), salts).cast("int")).drop("size").groupBy("shard", "salt")
-
-    def claim(key: tuple, rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        balls = np.frombuffer(model["balls"].iloc[0]) if len(rows) else np.zeros(0)
-        if not len(balls):
-            return pd.DataFrame({"id": [], "parent": [], "ball": [], "gap": []})
-        balls = balls.reshape(-1, len(rows["v"].iloc[0]))
-        s = _unit(rows["v"]) @ balls.T
-        ok = (s.max(axis=1) >= np.cos(half - 1e-6)) & ~rows["is_ball"].to_numpy(bool)
-        return pd.DataFrame({"id": rows["id"], "parent": key[0], "ball": s.argmax(axis=1), "gap": _angle(s.max(axis=1))})[ok]
-
-    def centred(rows: pd.DataFrame, dims: pd.DataFrame) -> pd.DataFrame:
-        balls = np.frombuffer(rows["balls"].iloc[0]).reshape(-1, int(dims["dim"].iloc[0]))
-        return pd.DataFrame({"parent": rows["shard"].iloc[0], "ball": np.arange(len(balls)), "v": pd.Series(balls.tolist(), dtype=object)})
+        return pd.DataFrame({"shard": rows["shard"].iloc[0], "balls": [balls.tobytes()], "centres": [centres.tobytes()], "dim": centres.shape[1]})
 
-    ball_id = F.xxhash64(F.lit("ball"), "parent", "ball")
-    claims = salted(active).cogroup(parts.groupBy("shard", "salt")).applyInPandas(claim, "id long, parent long, ball int, gap double")
-    owners = stored(claims.groupBy("id").agg(F.min(F.struct(ball_id.alias("node"), "gap")).alias("o")).select("id", "o.node", "o.gap"), "owners")
-    members = owners.join(nodes.select("id", "v", "n"), "id").select("node", "id", "v", "n", "gap")
-    dims = sample.groupBy("shard").agg(F.max(F.size("v")).alias("dim"))
-    spots = models.groupBy("shard").cogroup(dims.groupBy("shard")).applyInPandas(centred, "parent long, ball int, v array<double>").select(ball_id.alias("id"), "v")
-    moved = active.join(owners.select("id", "node"), "id").select("shard", F.col("node").alias("id")).distinct()
-    moved = moved.join(spots, "id").select("shard", "id", "v", F.lit(0).cast("long").alias("n"), F.lit(True).alias("is_ball"))
-    active = stored(active.join(owners.select("id"), "id", "left_anti").select("shard", "id", "v", "n", "is_ball").unionByName(moved), "level")
+    models = cut(sample.groupBy("shard").applyInPandas(fit, "shard long, balls binary, centres binary, dim int"))
+    salts = F.greatest(F.lit(1), F.ceil(F.col("size") / 2048)).cast("int")
+    parts = models.join(crowded, "shard").select("shard", "balls", "centres", "dim", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("id", "shard"), salts).cast("int")).drop("size").groupBy("shard", "salt")
 
     def deal(key: tuple, rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(rows):
-            x = _unit(rows["v"])
-            centres = np.frombuffer(model["centres"].iloc[0]).reshape(-1, x.shape[1])
-            s = x @ centres.T
-            order = np.argsort(-s, axis=1)[:, : max(1, min(overlap, len(centres) // 2))]
-            for k, row in enumerate(zip(rows["id"], rows["v"].tolist(), rows["n"], rows["is_ball"])):
-                out += [(int(c), *row) for c in order[k] if s[k, c] >= s[k, order[k, 0]] - margin]
-        return pd.DataFrame(out, columns=["shard", "id", "v", "n", "is_ball"]).assign(parent=key[0])
-
-    found = salted(active).cogroup(parts.groupBy("shard", "salt")).applyInPandas(deal, "shard long, id long, v array<double>, n long, is_ball boolean, parent long")
-    dealt = found.select(F.xxhash64(F.lit("shard"), "parent", "shard").alias("shard"), "id", "v", "n", "is_ball")
-    calm = active.join(crowded, "shard", "left_anti").select("shard", "id", "v", "n", "is_ball")
-    return stored(calm.unionByName(dealt), "nodes"), members, True
+        """Claims of balls (child -1, near: the angle) and the nearest centroids (child, near: the cosine)."""
+        if not len(rows):
+            return pd.DataFrame({"id": [], "parent": [], "child": [], "ball": [], "near": []})
+        dim = int(model["dim"].iloc[0])
+        balls, centres = (np.frombuffer(model[c].iloc[0]).reshape(-1, dim) for c in ("balls", "centres"))
+        x, ids = _unit(rows["v"]), rows["id"].to_numpy()
+        out = []
+        if len(balls):
+            s = x @ balls.T
+            ok = (s.max(axis=1) >= np.cos(half - 1e-6)) & ~rows["is_ball"].to_numpy(bool)
+            out.append(pd.DataFrame({"id": ids, "parent": key[0], "child": -1, "ball": s.argmax(axis=1), "near": _angle(s.max(axis=1))})[ok])
+        s = x @ centres.T
+        most = max(1, min(overlap, len(centres) // 2))
+        order = np.argsort(-s, axis=1, kind="stable")[:, :most]
+        near = np.take_along_axis(s, order, 1)
+        row, col = np.nonzero(near >= near[:, :1] - margin)
+        out.append(pd.DataFrame({"id": ids[row], "parent": key[0], "child": order[row, col], "ball": -1, "near": near[row, col]}))
+        return pd.concat(out)
 
+    def centred(rows: pd.DataFrame) -> pd.DataFrame:
+        balls = np.frombuffer(rows["balls"].iloc[0]).reshape(-1, int(rows["dim"].iloc[0])).astype(np.float32)
+        return pd.DataFrame({"parent": rows["shard"].iloc[0], "ball": np.arange(len(balls)), "v": pd.Series(balls.tolist(), dtype=object)})
 
-def _links(shards: DataFrame, limit: float) -> DataFrame:
-    """(kind, a, b, n): 0 = a has n links more, 1 = a and b are linked, 2 = members of a and b must be compared."""
+    shape = "id long, parent long, child int, ball int, near double"
+    ball_id = F.xxhash64(F.lit("ball"), "parent", "ball")
+    dealt = lambda found: found.where("child >= 0").select("id", F.xxhash64(F.lit("shard"), "parent", "child").alias("shard"), F.col("near").alias("sim"))
+    found = stored(salted(active).cogroup(parts.groupBy("shard", "salt")).applyInPandas(deal, shape), "dealt")
+    owners = stored(found.where("child < 0").groupBy("id").agg(F.min(F.struct(ball_id.alias("node"), F.col("near").alias("gap"))).alias("o")).select("id", "o.node", "o.gap"), "owners")
+    calm = place.join(crowded.select("shard"), "shard", "left_anti").select("id", "shard", "sim")
+    rest = calm.unionByName(dealt(found)).join(owners.select("id"), "id", "left_anti")
+    if not owners.isEmpty():
+        spots = models.groupBy("shard").applyInPandas(centred, "parent long, ball int, v array<float>").select(ball_id.alias("id"), F.col("v").cast(points.schema["v"].dataType).alias("v"))
+        spots = cut(spots.join(owners.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", "v", F.lit(0).cast("long").alias("n"), F.lit(True).alias("is_ball")))
+        moved = cut(place.join(owners.select("id", "node"), "id").groupBy("shard", F.col("node").alias("id")).agg(F.max("sim").alias("sim")))
+        again = salted(moved.select("id", "shard").join(crowded, "shard").join(spots, "id")).cogroup(parts.groupBy("shard", "salt")).applyInPandas(deal, shape)
+        rest = rest.unionByName(moved.join(crowded.select("shard"), "shard", "left_anti").select("id", "shard", "sim")).unionByName(dealt(again))
+        points = points.join(owners.select("id"), "id", "left_anti").unionByName(spots)
+    return stored(_ranked(rest, overlap), "place"), stored(points, "points"), owners.select("node", "id", "gap")
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = rows["id"].to_numpy()
-        edges = pruned(_unit(rows["v"]))
-        return pd.DataFrame({"shard": rows["shard"], "id": ids, "near": [ids[sorted(e)].tolist() for e in edges]})
 
-    flat = shards.groupBy("shard").applyInPandas(build, "shard long, id long, near array<long>")
-    united = flat.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.collect_set("shard").alias("shards"))
+def _links(shards: DataFrame, limit: float) -> DataFrame:
+    """(kind, a, b, n) from rows (shard, id, v, n, radius, shards) of each shard.
+
+    0: a has n links more; 1: a and b are linked; 2: members of a and b must be compared; 3: an edge of the graph, at most
+    twice the radius long; 4: b is a hit of a and lies in a shard where a is not."""
 
     def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ids, n, r = rows["id"].to_numpy(), rows["n"].to_numpy(), rows["radius"].to_numpy()
-        x, where = _unit(rows["v"]), {i: k for k, i in enumerate(ids.tolist())}
-        edges = [[where[i] for i in near.tolist() if i in where] for near in rows["near"]]
-        shared = [set(s.tolist()) for s in rows["shards"]]
-        root = list(range(len(ids)))
-
-        def top(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        counts, out = np.zeros(len(ids), np.int64), []
+        rows = rows.sort_values("id")
+        ids, n, r, x = rows["id"].to_numpy(), rows["n"].to_numpy(), rows["radius"].to_numpy(), _unit(rows["v"])
+        edges = [sorted(e) for e in pruned(x)]
+        out: list[tuple[int, np.ndarray, np.ndarray]] = []
+        a = np.repeat(np.arange(len(ids)), list(map(len, edges)))
+        b = np.fromiter((j for e in edges for j in e), np.int64, len(a))
+        near = _angle(np.einsum("ij,ij->i", x[a], x[b])) <= 2 * limit + r[a] + r[b] + 1e-7
+        out.append((3, a[near], b[near]))
+        homes = rows["shards"].map(np.asarray).tolist()
+        single = np.array([len(h) == 1 for h in homes])
+        names, inverse = np.unique(np.concatenate(homes), return_inverse=True)
+        member = np.zeros((len(ids), len(names)), bool)
+        member[np.repeat(np.arange(len(ids)), list(map(len, homes))), inverse] = True
+        counts, low = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        sures: list[np.ndarray] = []
         for a, b in searched(x, edges, r, limit):
-            angle = _angle(np.einsum("ij,ij->i", x[a], x[b]))
-            exact = np.einsum("ij,ij->i", x[a], x[b]) >= np.cos(limit)
-            slack = r[a] + r[b]
-            sure = np.where(slack > 0, angle + slack <= limit - 1e-7, exact)
-            open_ = (slack > 0) & ~sure & (angle - slack <= limit + 1e-7)
-            for i, j, s, o in zip(a.tolist(), b.tolist(), sure.tolist(), open_.tolist()):
-                if not (s or o) or (len(shared[i]) > 1 and len(shared[j]) > 1 and min(shared[i] & shared[j]) != key[0]):
-                    continue
-                if s:
-                    counts[i] += n[j]
-                    p, q = top(i), top(j)
-                    if p != q:
-                        root[q] = p
-                        out.append((1, ids[i], ids[j], 0))
-                elif ids[i] < ids[j]:
-                    out.append((2, ids[i], ids[j], 0))
-        out += [(0, i, i, c) for i, c in zip(ids.tolist(), counts.tolist()) if c]
-        return pd.DataFrame(out, columns=["kind", "a", "b", "n"])
-
-    return stored(shards.join(united, "id").groupBy("shard").applyInPandas(search, "kind int, a long, b long, n long"), "links")
+            cosines = np.einsum("ij,ij->i", x[a], x[b])
+            angle, slack = _angle(cosines), r[a] + r[b]
+            sure = np.where(slack > 0, angle + slack <= limit - 1e-7, cosines >= np.cos(limit))
+            maybe = (slack > 0) & ~sure & (angle - slack <= limit + 1e-7)
+            hit = sure | maybe
+            a, b, sure, maybe = a[hit], b[hit], sure[hit], maybe[hit]
+            beyond = (~single[b]).nonzero()[0]
+            beyond = beyond[(member[b[beyond]] & ~member[a[beyond]]).any(axis=1)]
+            out.append((4, a[beyond], b[beyond]))
+            first = np.ones(len(a), bool)
+            both = (~single[a] & ~single[b]).nonzero()[0]
+            first[both] = names[(member[a[both]] & member[b[both]]).argmax(axis=1)] == key[0]
+            np.add.at(counts, a[sure & first], n[b[sure & first]])
+            sures.append(np.stack([a[sure], b[sure]]))
+            open_ = maybe & first & (ids[a] < ids[b])
+            out.append((2, a[open_], b[open_]))
+        a, b = np.concatenate([np.zeros((2, 0), np.int64), *sures], axis=1)
+        while True:  # the smallest node that each one reaches: one link for each node stands for all
+            before = low.copy()
+            np.minimum.at(low, a, low[b])
+            if (before == low).all():
+                break
+        tied = np.flatnonzero(low < np.arange(len(ids)))
+        out.append((1, tied, low[tied]))
+        frames = [pd.DataFrame({"kind": k, "a": ids[i], "b": ids[j], "n": 0}) for k, i, j in out]
+        some = np.flatnonzero(counts)
+        return pd.concat([*frames, pd.DataFrame({"kind": 0, "a": ids[some], "b": ids[some], "n": counts[some]})])
+
+    return stored(shards.groupBy("shard").applyInPandas(search, "kind int, a long, b long, n long"), "links")
+
+
+def _across(found: DataFrame, nodes: DataFrame, limit: float) -> DataFrame:
+    """(kind, a, b): pairs (a < b) that share no shard, found by range expansion over the united adjacency lists;
+    kind as in ``_links``. ``nodes``: (id, v, radius, shards)."""
+    edges = stored(found.where("kind = 3").select(F.col("a").alias("hit"), F.col("b").alias("c")).distinct(), "edges")
+    front = found.where("kind = 4").select(F.col("a").alias("q"), F.col("b").alias("hit")).distinct()
+    side = lambda name: nodes.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("v", "radius", "shards")])
+
+    def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            if len(rows):
+                c = np.einsum("ij,ij->i", _unit(rows["v_a"]), _unit(rows["v_b"]))
+                slack, angle = (rows["radius_a"] + rows["radius_b"]).to_numpy(), _angle(c)
+                sure = np.where(slack > 0, angle + slack <= limit - 1e-7, c >= np.cos(limit))
+                maybe = (slack > 0) & ~sure & (angle - slack <= limit + 1e-7)
+                yield pd.DataFrame({"kind": np.where(sure, 1, 2), "a": rows["a"], "b": rows["b"]})[sure | maybe]
+
+    every: DataFrame | None = None
+    while True:
+        pairs = front.join(edges, "hit").where("q != c").select(F.least("q", "c").alias("a"), F.greatest("q", "c").alias("b")).distinct()
+        if every is not None:
+            pairs = pairs.join(every.select("a", "b"), ["a", "b"], "left_anti")
+        far = pairs.join(side("a"), "a").join(side("b"), "b").where(~F.arrays_overlap("shards_a", "shards_b"))
+        new = stored(far.select("a", "b", "v_a", "v_b", "radius_a", "radius_b").mapInPandas(verify, "kind int, a long, b long"), "across")
+        if new.isEmpty():
+            return new if every is None else every
+        front = new.select(F.col("a").alias("q"), F.col("b").alias("hit")).union(new.select("b", "a"))
+        every = new if every is None else stored(every.unionByName(new), "across")
 
 
 def _compared(pairs: DataFrame, members: DataFrame, cosine: float) -> DataFrame:
@@ -358,39 +407,46 @@ def _exact(nodes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
 
 
 def groups(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", overlap: int = OVERLAP) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row."""
+    """(vec_id, n_links, component_id, kept, audited_recall) for every row; the last is the mean share of its links that a
+    vector of the audit's sample has."""
     limit = float(np.arccos(cosine))
     rows = take(df, vec_id=id_col, v=vector_col, label=label_col)
     fine = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
     fine &= ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    keyed = rows.select("vec_id", F.col("v").cast("array<double>").alias("v"), F.when(fine, F.xxhash64("label", F.size("v"))).alias("shard")).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
+    real = "array<float>" if "float" in rows.schema["v"].dataType.simpleString() else "array<double>"  # as given: half the bytes
+    keyed = rows.select("vec_id", F.col("v").cast(real).alias("v"), F.when(fine, F.xxhash64("label", F.size("v"))).alias("shard")).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
     valid = keyed.where(F.col("shard").isNotNull() & F.col("vec_id").isNotNull())
     nodes = stored(valid.groupBy("shard", "h1", "h2").agg(F.min("vec_id").alias("id"), F.first("v").alias("v"), F.count("*").alias("n")), "vectors")
 
     margin = MARGIN
     while True:
-        active, members, again = nodes.select("shard", "id", "v", "n", F.lit(False).alias("is_ball")), None, True
-        while again:
-            active, more, again = _split(active, nodes, limit / 2, overlap, margin)
-            members = more if members is None else members.unionByName(more) if more is not None else members
-        if members is None:
-            members = nodes.limit(0).select(F.col("id").alias("node"), "id", "v", "n", F.lit(0.0).alias("gap"))
-        members = stored(members, "members")
+        place, points = nodes.select("id", "shard", F.lit(1.0).alias("sim")), nodes.select("id", "v", "n", F.lit(False).alias("is_ball"))
+        members = nodes.limit(0).select(F.col("id").alias("node"), "id", F.lit(0.0).alias("gap"))
+        level = 0
+        while (more := _split(place, points, limit / 2, overlap if level < DEEP else 1, margin)) is not None:
+            place, points, level = more[0], more[1], level + 1
+            members = members.unionByName(more[2])
+        members = stored(members.join(nodes.select("id", "n"), "id"), "members")
         balls = cut(members.groupBy("node").agg(F.min("id").alias("lead"), F.sum("n").alias("total"), F.max("gap").alias("radius")))
-        shards = stored(
-            active.join(balls, active["id"] == balls["node"], "left")
-            .select("shard", F.coalesce("lead", "id").alias("id"), "v", F.coalesce("total", "n").alias("n"), F.coalesce("radius", F.lit(0.0)).alias("radius")),
-            "shards",
-        )
-        found = _links(shards, limit)
-        inside = members.join(balls, "node").select(F.col("lead").alias("node"), "id", "v", "n", "total")
-        counts = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-        links = found.where("kind = 1").select("a", "b")
+        homes = place.groupBy("id").agg(F.collect_set("shard").alias("shards"))
+        whole = points.join(homes, "id").join(balls, points["id"] == balls["node"], "left")
+        whole = stored(whole.select(F.coalesce("lead", "id").alias("id"), "v", F.coalesce("total", "n").alias("n"), F.coalesce("radius", F.lit(0.0)).alias("radius"), "shards"), "points")
+        found = _links(whole.select(F.explode("shards").alias("shard"), "*"), limit)
+        beyond = cut(_across(found, whole, limit))
+        inside = members.join(balls, "node").select(F.col("lead").alias("node"), "id", "n", "total")
+        counts = found.where("kind = 0").select(F.col("a").alias("node"), "n")
+        sure = beyond.where("kind = 1")
+        sizes = whole.select("id", "n")
+        for one, other in (("a", "b"), ("b", "a")):
+            counts = counts.unionByName(sure.join(sizes, sure[other] == sizes["id"]).select(F.col(one).alias("node"), "n"))
+        counts = counts.groupBy("node").agg(F.sum("n").alias("n"))
+        links = found.where("kind = 1").select("a", "b").union(sure.select("a", "b"))
         extra = None
-        unsure = cut(found.where("kind = 2").select("a", "b").distinct())
+        unsure = cut(found.where("kind = 2").select("a", "b").union(beyond.where("kind = 2").select("a", "b")).distinct())
         if not unsure.isEmpty():
             alone = nodes.join(inside.select("id"), "id", "left_anti").select(F.col("id").alias("node"), "id", "v", "n")
-            extra = stored(_compared(unsure, inside.select("node", "id", "v", "n").unionByName(alone), cosine), "compared")
+            grouped = inside.select("node", "id").join(nodes.select("id", "v", "n"), "id").select("node", "id", "v", "n")
+            extra = stored(_compared(unsure, grouped.unionByName(alone), cosine), "compared")
             links = links.union(extra.select("a", "b").distinct())
         place = nodes.select("id", F.col("n").alias("own")).join(inside.select("id", F.col("node").alias("ball"), "total"), "id", "left").withColumn("node", F.coalesce("ball", "id"))
         place = place.join(counts, "node", "left")
@@ -405,10 +461,13 @@ def groups(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_c
         if overlap >= 2 * OVERLAP:
             counts, links = _exact(nodes, cosine)
             place = nodes.select("id", F.col("id").alias("node"), F.col("n").alias("own")).join(counts, "id", "left").select("id", "node", "own", F.coalesce("n", F.lit(0)).alias("n"))
+            mean = 1.0
             break
         overlap, margin = 2 * overlap, 2 * margin
     group = components(links, "a", "b")
     classes = cut(place.join(group, place["node"] == group["node"], "left").select("id", (F.col("own") - 1 + F.col("n")).alias("n_links"), F.coalesce("component", place["node"]).alias("component_id")))
     named = cut(nodes.select("id", "shard", "h1", "h2").join(classes, "id"))
     out = keyed.select("vec_id", "shard", "h1", "h2").join(named.drop("id"), ["shard", "h1", "h2"], "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    own = F.col("vec_id").isNotNull()
+    out = out.select("vec_id", F.when(own, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(own, F.coalesce("component_id", "vec_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id")).withColumn("audited_recall", F.lit(float(mean)))

@@ -361,6 +361,41 @@ def test_vectors_in_balls_of_several_shards(spark, monkeypatch):
     assert got == matrix_groups(x)
 
 
+@pytest.mark.parametrize(("shard", "levels"), [(512, 1), (64, 2)])
+def test_vectors_over_several_levels(spark, monkeypatch, shard, levels):
+    """Groups of any tightness in few dimensions, so that many links lie near the threshold and across shards."""
+    monkeypatch.setattr(neighbours, "SHARD", shard)
+    monkeypatch.setattr(neighbours, "_exact", None)  # the graph itself must find them
+    deep, split = [], neighbours._split
+    monkeypatch.setattr(neighbours, "_split", lambda *a: deep.append(split(*a)) or deep[-1])
+    rng = np.random.default_rng(21)
+    near = np.repeat(rng.normal(size=(600, 16)), 5, axis=0)
+    x = near + rng.choice([0.05, 0.15, 0.3], size=(3000, 1)) * rng.normal(size=near.shape)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    rows = neighbours.groups(df).collect()
+    got, want = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in rows), matrix_groups(x)
+    assert sum(d is not None for d in deep) >= levels and rows[0]["audited_recall"] >= neighbours.RECALL
+    assert sum(g[1] for g in got) >= 0.998 * sum(w[1] for w in want) and np.mean([g == w for g, w in zip(got, want)]) > 0.99
+
+
+def test_links_across_shards(spark):
+    """A chain over two shards that share one vector: expansion along the united lists finds the pair that shares none."""
+    angle = lambda d: [float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))]
+    rows = [(1, 1, angle(0), [1]), (1, 2, angle(10), [1, 2]), (2, 2, angle(10), [1, 2]), (2, 3, angle(20), [2]), (2, 4, angle(40), [2])]
+    shards = spark.createDataFrame([(s, i, v, 1, 0.0, homes) for s, i, v, homes in rows], "shard long, id long, v array<double>, n long, radius double, shards array<long>")
+    limit = float(np.arccos(0.93))
+    found = neighbours._links(shards, limit)
+    nodes = shards.dropDuplicates(["id"]).select("id", "v", "radius", "shards")
+    assert {(r["kind"], r["a"], r["b"]) for r in neighbours._across(found, nodes, limit).collect()} == {(1, 1, 3)}
+    assert {r["a"]: r["n"] for r in found.where("kind = 0").groupBy("a").agg(F.sum("n").alias("n")).collect()} == {1: 1, 2: 2, 3: 2, 4: 1}
+
+
+def test_vectors_without_ids(spark):
+    rows = [(None, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1), (None, None, None)]
+    got = {(r["vec_id"], r["n_links"], r["component_id"]) for r in neighbours.groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {(None, 0, None), (1, 1, 1), (2, 1, 1)}
+
+
 def test_vectors_lost_by_the_search(spark, monkeypatch):
     rng = np.random.default_rng(12)
     near = np.concatenate([np.repeat(rng.normal(size=(1, 16)), 300, axis=0), np.repeat(rng.normal(size=(300, 16)), 2, axis=0)])
