@@ -225,29 +225,80 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
 
 
-def brute_search(texts, queries, k=10):
-    tf = {i: Counter(search.words(t)) for i, t in texts.items()}
-    size = {i: c.total() for i, c in tf.items()}
-    n, mean, df = len(tf), sum(size.values()) / len(tf), Counter(w for c in tf.values() for w in c)
+def brute_search(rows, k=10):
+    """(query row, [(score, id, row)]) of rows (id, text) whose id is divisible by 20, each row on its own."""
+    tf = [Counter(search.words(t)) for _, t in rows]
+    size = [c.total() for c in tf]
+    n, mean, df = len(tf), sum(size) / len(tf), Counter(w for c in tf for w in c)
+    holders = {}
+    for i, c in enumerate(tf):
+        for w in c:
+            holders.setdefault(w, []).append(i)
     out = {}
-    for q in queries:
-        scores = {}
+    for q, (i, _) in enumerate(rows):
+        if i is None or i % 20:
+            continue
+        scores = Counter()
         for w, m in tf[q].items():
-            for i, c in tf.items():
-                if w in c:
-                    scores[i] = scores.get(i, 0) + m * log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size[i] / mean))
-        out[q] = sorted(scores.values(), reverse=True)[:k]
+            for d in holders[w]:
+                c = tf[d][w]
+                scores[d] += m * log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * size[d] / mean))
+        out[q] = sorted((-s, rows[d][0] is None, rows[d][0] or 0) for d, s in scores.items())[:k]
     return out
 
 
-def test_search_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(search, "SHARD_DOCS", 70)
-    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
-    texts = {d["doc_id"]: d["text"] for d in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    rows = QUERIES["op5_search"](spark, SF).orderBy("query_id", "rank").collect()
-    want = brute_search(texts, [i for i in texts if i % 20 == 0])
-    for q, scores in want.items():
-        assert np.allclose([r["score"] for r in rows if r["query_id"] == q], scores, rtol=1e-5)
+def same_ranks(got, want):
+    """Ids and scores of ranked lists, where lists of queries with one id come in any order; near-ties may swap."""
+    lists = {}
+    for r in got:
+        lists.setdefault(r["query_id"], {}).setdefault(r["rank"], []).append((r["doc_id"], r["score"]))
+    for q, best in want.items():
+        for rank, (score, missing, i) in enumerate(best, 1):
+            own = lists[q].get(rank, [])
+            assert any(np.isclose(s, -score, rtol=1e-12) for _, s in own), (q, rank)
+            alike = [x for x in best if np.isclose(x[0], score, rtol=1e-9)]
+            if len(alike) == 1 or all(x[0] == score for x in alike):
+                assert any(d == (None if missing else i) for d, _ in own), (q, rank)
+
+
+@pytest.mark.parametrize("dense", [0.04, 0.3])
+def test_search_against_brute_force(spark, monkeypatch, dense):
+    monkeypatch.setattr(search, "POSTINGS", 9000)  # several shards a task, several blocks of queries
+    monkeypatch.setattr(search, "QUERY_POSTINGS", 1000)
+    texts = [(d["doc_id"], d["text"]) for d in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    rows = QUERIES["op5_search"](spark, SF).collect()
+    want = {texts[q][0]: best for q, best in brute_search(texts).items()}
+    same_ranks(rows, want)
+    assert len(rows) == sum(map(len, want.values())) and {r["query_id"] for r in rows} == set(want)
+    assert len({(r["query_id"], r["rank"]) for r in rows}) == len(rows)
+
+
+def test_search_repeated_and_missing_ids(spark, monkeypatch):
+    monkeypatch.setattr(search, "POSTINGS", 10)
+    rows = [(20, "alpha beta gamma"), (20, "alpha delta"), (20, "alpha delta"), (None, "beta gamma epsilon"), (3, "delta " * 3), (None, "alpha"), (40, ""), (60, None)]
+    got = search.top_k(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, row int"), F.col("id") % 20 == 0).collect()
+    want = brute_search(rows)
+    lists = Counter((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in got)
+    assert lists == Counter((rows[q][0], rank, None if b[1] else b[2], round(-b[0], 9)) for q, best in want.items() for rank, b in enumerate(best, 1))
+
+
+def test_search_prunes_blocks(monkeypatch):
+    """With a threshold, blocks are left closed and nothing is lost."""
+    rng = np.random.default_rng(5)
+    docs = [Counter(rng.choice(60, 30) + (0 if k < 400 else 60)) for k in range(800)]
+    flat = [np.array(sorted(c)) for c in docs]
+    tf = [np.array([c[t] for t in f]) for c, f in zip(docs, flat)]
+    n = len(docs)
+    part = (np.arange(n), np.arange(n), np.ones(n, bool), np.full(n, 30.0), np.array(list(map(len, flat))), np.concatenate(flat), np.concatenate(tf))
+    shard = search.Shard([part], 30.0)
+    query = np.arange(0, 20)
+    slow = {d: sum(docs[d][t] * 2.2 / (docs[d][t] + 1.2) for t in query if t in docs[d]) for d in range(n)}
+    limit = sorted(slow.values())[-10]
+    local = np.searchsorted(shard.names, query)
+    found = shard.opened(np.zeros(20, int), local, np.ones(20), 1, np.array([limit]), np.array([1e-6]), 10)[0]
+    assert {int(shard.row[d]) for d in found} == {d for d, s in slow.items() if s >= limit * (1 - 1e-9)}
+    bound = shard.dense_max[shard.dense_of[local]].sum(axis=0)
+    assert (bound < limit).sum() >= 2  # the blocks of the other half
 
 
 def test_search_odd_rows(spark, odd):
