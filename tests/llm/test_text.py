@@ -295,10 +295,10 @@ def test_search_prunes_blocks(monkeypatch):
     slow = {d: sum(docs[d][t] * 2.2 / (docs[d][t] + 1.2) for t in query if t in docs[d]) for d in range(n)}
     limit = sorted(slow.values())[-10]
     local = np.searchsorted(shard.names, query)
-    found = shard.opened(np.zeros(20, int), local, np.ones(20), 1, np.array([limit]), np.array([1e-6]), 10)[0]
+    batch = search.Batch(shard, np.zeros(20, int), local, np.ones(20), np.array([limit]))
+    found = dict(batch.candidates(np.array([0]), 10))[0]
     assert {int(shard.row[d]) for d in found} == {d for d, s in slow.items() if s >= limit * (1 - 1e-9)}
-    bound = shard.dense_max[shard.dense_of[local]].sum(axis=0)
-    assert (bound < limit).sum() >= 2  # the blocks of the other half
+    assert (~batch.live).sum() >= 2  # the blocks of the other half
 
 
 def test_search_odd_rows(spark, odd):
