@@ -34,6 +34,7 @@ SEVERITIES = {
 }
 USER_CATEGORIES = [*CATEGORIES, "OTHER"]
 ORDER = ("critical", "high", "medium", "low")
+# What a firm and a full address look like, and word parts of phrases.
 FORMAL_COMPANY = "株式会社|㈱|有限会社|㈲|合同会社|合資会社"
 FULL_EMAIL = r"[^\s@]+@[^\s@]+\.[a-zA-Z]{2,}"
 PHRASES = "ます ません ください いたします 致します 願い 注意 確認 ご了承 申し訳 ありがと よろしく とおり ように ような については ところ ため こと もの それ これ あれ".split()

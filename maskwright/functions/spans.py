@@ -4,6 +4,10 @@ A span is a struct (entity_type, start, end, score, text, seq, source); offsets
 are exclusive. Matches are found by wrapping every match in a mark, splitting at the marks and summing lengths:
 every second piece is a match. A noncharacter serves as mark; one that occurs in a text is swapped for another
 one first, so lengths stay right.
+
+A text may hold many thousands of spans, so nothing here compares spans pairwise or copies what it has so far for each
+span: running values are carried over slices of an array (``scanned``), equal keys are brought together by sorting, and
+parts of a text are cut from blocks of it (``blocks``, ``between``).
 """
 
 from __future__ import annotations
@@ -43,19 +47,59 @@ def unfolded(df: DataFrame, array: Column | str, *keep: str, place: str | None =
     return out.select(*keep, *([place] if place else []), "__item.*")
 
 
+SLICE = 64
+BLOCK = 2048
+
+
+def scanned(items: Column, zero: Column, step: Callable[[Column, Column], Column], give: Callable[[Column, Column], Column]) -> Column:
+    """``give(carry, item)`` for each item of an array, the carry going on with ``step(carry, item)``.
+
+    Slice by slice: first the carry at the start of each, then the results within each, so that growing arrays are
+    copied within slices only.
+    """
+
+    def of(x: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.greatest(F.floor((F.size(x) - 1) / SLICE).cast("int"), F.lit(0)))
+        part = lambda k: F.slice(x, k * SLICE + 1, SLICE)
+        carries = F.aggregate(numbers, F.array(zero), lambda acc, k: F.concat(acc, F.array(F.aggregate(part(k), F.element_at(acc, -1), step))))
+        return let(carries, lambda c: F.flatten(F.transform(numbers, lambda k: within(part(k), c[k]))))
+
+    def within(s: Column, carry: Column) -> Column:
+        first = F.struct(carry.alias("carry"), F.array_compact(F.array(F.when(F.lit(False), give(carry, s[0])))).alias("out"))
+        grown = lambda acc, x: F.struct(step(acc["carry"], x).alias("carry"), F.concat(acc["out"], F.array(give(acc["carry"], x))).alias("out"))
+        return F.aggregate(s, first, grown, lambda acc: acc["out"])
+
+    return let(items, of)
+
+
+def blocks(text: Column) -> Column:
+    """The text in blocks of ``BLOCK`` characters, for ``between``."""
+    return let(text, lambda t: F.transform(F.sequence(F.lit(0), F.floor(F.length(t) / BLOCK).cast("int")), lambda k: F.substr(t, k * BLOCK + 1, F.lit(BLOCK))))
+
+
+def between(cut: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` to before ``end`` of a text in blocks; empty if there are none."""
+
+    def part(a: Column, b: Column) -> Column:
+        one = lambda k: F.substr(cut[k], F.greatest(a - k * BLOCK, F.lit(0)) + 1, F.least(b - k * BLOCK, F.lit(BLOCK)) - F.greatest(a - k * BLOCK, F.lit(0)))
+        first, last = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+        return F.when(b <= a, "").when(first == last, one(first)).otherwise(F.array_join(F.transform(F.sequence(first, F.greatest(first, last)), one), ""))
+
+    return part(F.greatest(start, F.lit(0)), F.least(end, (F.size(cut) - 1) * BLOCK + F.length(F.element_at(cut, -1))))
+
+
 def safe(text: Column) -> Column:
     return F.when(text.contains(MARK), F.translate(text, MARK, SPARE)).otherwise(text)
 
 
 def _matches(pieces: Column, entity_type: Column, source: str, score: float = 1.0) -> Column:
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), none().alias("out"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        found = F.array(span(entity_type, acc["at"], end, F.lit(score), piece, source))
-        return F.struct(end.alias("at"), (~acc["match"]).alias("match"), F.when(acc["match"] & (piece != ""), F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+    def found(p: Column) -> Column:
+        starts = scanned(p, F.lit(0), lambda at, x: at + F.length(x), lambda at, x: at)
+        one = lambda at: F.transform(F.sequence(F.lit(1), F.size(p) - 1, F.lit(2)), lambda i: span(entity_type, at[i], at[i] + F.length(p[i]), F.lit(score), p[i], source))
+        return F.when(F.size(p) > 1, F.filter(let(starts, one), lambda s: s["end"] > s["start"])).otherwise(none())
 
-    return F.coalesce(F.aggregate(pieces, start, step, lambda acc: acc["out"]), none())
+    return F.coalesce(let(pieces, found), none())
 
 
 def _pieces(text: Column, pattern: str, dialect: str) -> Column:
@@ -91,12 +135,12 @@ def literal_spans(text: Column, value: Column, entity_type: Column, source: str
 
 def numbered(spans: Column) -> Column:
     """``seq`` set to the place in the array: the order of arrival."""
-    return F.transform(spans, lambda s, i: s.withField("seq", i))
+    return F.transform(spans, lambda s, i: F.struct(*[s[n].alias(n) for n in ("entity_type", "start", "end", "score", "text")], i.alias("seq"), s["source"].alias("source")))
 
 
 def by_position(spans: Column, key: Callable[[Column, Column], Column]) -> Column:
     """The spans ordered by a key of (span, place)."""
-    return F.transform(F.array_sort(F.transform(spans, lambda s, i: F.struct(key(s, i).alias("k"), s.alias("s")))), lambda x: x["s"])
+    return F.transform(F.sort_array(F.transform(spans, lambda s, i: F.struct(key(s, i).alias("k"), s.alias("s")))), lambda x: x["s"])
 
 
 def valid_spans(spans: Column, text: Column) -> Column:
@@ -110,49 +154,84 @@ def resolve_overlaps(spans: Column) -> Column:
     A running envelope (the span reaching furthest, of these the best score) stands for all earlier ones; equal
     spans never drop each other and partial overlaps stay.
     """
-    begin = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(-1.0).alias("score"), none().alias("out"))
+    begin = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(-1.0).alias("score"))
+    inside = lambda acc, s: (acc["end"] >= s["end"]) & (acc["score"] >= s["score"]) & ((acc["start"] < s["start"]) | (acc["end"] > s["end"]))
 
     def step(acc: Column, s: Column) -> Column:
-        inside = (acc["end"] >= s["end"]) & (acc["score"] >= s["score"]) & ((acc["start"] < s["start"]) | (acc["end"] > s["end"]))
-        wider = ~inside & ((s["end"] > acc["end"]) | ((s["end"] == acc["end"]) & (s["score"] > acc["score"])))
-        pick = lambda name: F.when(wider, s[name]).otherwise(acc[name]).alias(name)
-        return F.struct(pick("start"), pick("end"), pick("score"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(s))).alias("out"))
+        wider = ~inside(acc, s) & ((s["end"] > acc["end"]) | ((s["end"] == acc["end"]) & (s["score"] > acc["score"])))
+        return F.struct(*[F.when(wider, s[name]).otherwise(acc[name]).alias(name) for name in ("start", "end", "score")])
 
     order = lambda x: by_position(x, lambda s, i: F.struct(s["start"], -s["end"], i))
-    return let(spans, lambda x: F.when(F.size(x) < 2, x).otherwise(F.aggregate(order(x), begin, step, lambda acc: acc["out"])))
+    return let(spans, lambda x: F.when(F.size(x) < 2, x).otherwise(_kept(order(x), begin, step, lambda acc, s: ~inside(acc, s))))
 
 
-def disjoint_spans(spans: Column) -> Column:
-    """Longest first at each start, then only spans that begin behind the last kept one."""
-    ordered = by_position(spans, lambda s, i: F.struct(s["start"], s["start"] - s["end"], i))
+def _kept(spans: Column, zero: Column, step: Callable[[Column, Column], Column], keep: Callable[[Column, Column], Column]) -> Column:
+    """The spans for which ``keep(carry, span)`` holds."""
+    flags = lambda x: let(scanned(x, zero, step, keep), lambda f: F.filter(x, lambda s, i: f[i]))
+    return let(spans, flags)
 
-    def step(acc: Column, s: Column) -> Column:
-        ok = s["start"] >= acc["end"]
-        return F.struct(F.when(ok, s["end"]).otherwise(acc["end"]).alias("end"), F.when(ok, F.concat(acc["out"], F.array(s))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(ordered, F.struct(F.lit(-1).alias("end"), none().alias("out")), step, lambda acc: acc["out"])
+def disjoint_spans(spans: Column) -> Column:
+    """Longest first at each start, then only spans that begin behind the last kept one."""
+    ordered = lambda x: by_position(x, lambda s, i: F.struct(s["start"], s["start"] - s["end"], i))
+    step = lambda end, s: F.when(s["start"] >= end, s["end"]).otherwise(end)
+    return let(spans, lambda x: F.when(F.size(x) < 2, x).otherwise(_kept(ordered(x), F.lit(-1), step, lambda end, s: s["start"] >= end)))
 
 
 def dedup_last(spans: Column) -> Column:
     """Of spans with equal offsets only the last to arrive."""
 
     def last(x: Column) -> Column:
-        return F.filter(x, lambda s, i: ~F.exists(F.slice(x, i + 2, F.size(x)), lambda p: (p["start"] == s["start"]) & (p["end"] == s["end"])))
+        keys = F.sort_array(F.transform(x, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), (-i).alias("i"))))
+        first = lambda k: F.filter(k, lambda y, j: (j == 0) | (k[F.greatest(j - 1, F.lit(0))]["start"] != y["start"]) | (k[F.greatest(j - 1, F.lit(0))]["end"] != y["end"]))
+        return F.transform(F.sort_array(F.transform(let(keys, first), lambda y: -y["i"])), lambda i: x[i])
 
-    return let(spans, last)
+    return let(spans, lambda x: F.when(F.size(x) < 2, x).otherwise(last(x)))
+
+
+def _ranked(spans: Column) -> Column:
+    """array<struct<label, surface, n, i, first>>: each span (place i) with the number of its surface within its label,
+    by first (start, end); one span of each surface is its first."""
+    keys = F.sort_array(F.transform(spans, lambda s, i: F.struct(s["entity_type"].alias("label"), s["text"].alias("surface"), s["start"].alias("start"), s["end"].alias("end"), i.alias("i"))))
+    nothing = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("label", "string"), ("surface", "string"), ("start", "int"), ("end", "int"))])
+    same = lambda acc, x: acc["label"].eqNullSafe(x["label"]) & acc["surface"].eqNullSafe(x["surface"]) & acc["start"].isNotNull()
+    lead = lambda acc, x: F.struct(x["label"].alias("label"), x["surface"].alias("surface"), *[F.when(same(acc, x), acc[n]).otherwise(x[n]).alias(n) for n in ("start", "end")])
+    placed = lambda acc, x: let(lead(acc, x), lambda y: F.struct(y["label"].alias("label"), y["start"].alias("start"), y["end"].alias("end"), y["surface"].alias("surface"), x["i"].alias("i")))
+    groups = F.sort_array(scanned(keys, nothing, lead, placed))
+    zero = F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("surface"), F.lit(0).alias("n"))
+    fresh = lambda acc, x: (acc["n"] == 0) | ~acc["label"].eqNullSafe(x["label"]) | ~acc["surface"].eqNullSafe(x["surface"])
+    n = lambda acc, x: F.when((acc["n"] > 0) & acc["label"].eqNullSafe(x["label"]), acc["n"] + F.when(fresh(acc, x), 1).otherwise(0)).otherwise(1)
+    count = lambda acc, x: F.struct(x["label"].alias("label"), x["surface"].alias("surface"), n(acc, x).alias("n"))
+    return scanned(groups, zero, count, lambda acc, x: F.struct(x["label"].alias("label"), x["surface"].alias("surface"), n(acc, x).alias("n"), x["i"].alias("i"), fresh(acc, x).alias("first"), x["start"].alias("start"), x["end"].alias("end")))
 
 
 def number_surfaces(spans: Column) -> Column:
-    """array<struct<label, surface, n>>: surfaces of each label numbered from 1 by first (start, end)."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("label"), s["text"].alias("surface"))))
-    keyed = F.transform(ordered, lambda x: F.struct(x["label"].alias("label"), x["surface"].alias("surface")))
+    """array<struct<label, surface, n>>: surfaces of each label numbered from 1 by first (start, end), in this order."""
+    firsts = F.filter(_ranked(spans), lambda x: x["first"])
+    ordered = F.sort_array(F.transform(firsts, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["label"].alias("label"), x["surface"].alias("surface"), x["n"].alias("n"))))
+    return F.transform(ordered, lambda x: F.struct(x["label"].alias("label"), x["surface"].alias("surface"), x["n"].alias("n")))
+
 
-    def number(distinct: Column) -> Column:
-        return F.transform(distinct, lambda d, i: F.struct(d["label"].alias("label"), d["surface"].alias("surface"), F.size(F.filter(F.slice(distinct, 1, i + 1), lambda e: e["label"] == d["label"])).alias("n")))
+def surface_numbers(spans: Column) -> Column:
+    """array<int>: for each span in turn the number of its surface within its label."""
+    return F.transform(F.sort_array(F.transform(_ranked(spans), lambda x: F.struct(x["i"].alias("i"), x["n"].alias("n")))), lambda x: x["n"])
 
-    return let(F.array_distinct(keyed), number)
 
+def spliced(text: Column, spans: Column, put: Callable[[Column], Column]) -> Column:
+    """The text with ``put(span)`` in place of each span, as if replaced from right to left by offsets of the original text
+    (of equal starts the first in the array first).
+
+    Where a span reaches into what was already replaced behind it, it swallows so many characters of that: so many are
+    still to be left out is what is carried from part to part.
+    """
+
+    def parts(t: Column, x: Column) -> Column:
+        cut = blocks(t)
+        nth = lambda i: x[F.least(i + 1, F.size(x) - 1)]
+        to = lambda s, i: F.when(i + 1 < F.size(x), nth(i)["start"]).otherwise(F.greatest(F.length(t), s["end"]))
+        item = lambda c: F.transform(x, lambda s, i: F.struct(F.concat(put(s), between(c, s["end"], to(s, i))).alias("text"), F.greatest(s["end"] - to(s, i), F.lit(0)).alias("over")))
+        out = lambda items: scanned(items, F.lit(0), lambda drop, p: p["over"] + F.greatest(drop - F.length(p["text"]), F.lit(0)), lambda drop, p: F.when(drop > 0, F.substr(p["text"], drop + 1, F.length(p["text"]))).otherwise(p["text"]))
+        return let(cut, lambda c: F.concat(between(c, F.lit(0), x[0]["start"]), F.array_join(let(item(c), out), "")))
 
-def number_of(numbers: Column, label: Column, surface: Column) -> Column:
-    """The number of a surface, 1 if it has none."""
-    return F.coalesce(F.try_element_at(F.filter(numbers, lambda e: (e["label"] == label) & (e["surface"] == surface)), F.lit(1))["n"], F.lit(1))
+    ordered = by_position(spans, lambda s, i: F.struct(s["start"], -i))
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.struct(text.alias("t"), ordered.alias("x")), lambda y: parts(y["t"], y["x"])))

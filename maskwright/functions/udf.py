@@ -2,57 +2,58 @@
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 from typing import Protocol
 
 from pyspark.sql import Column, SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql import functions as F
 
 from . import labels
-from .patterns import PRESETS
 
 
 class Detector(Protocol):
-    """Anything that gives the spans of a text Column; models wrap a pandas UDF that returns array<struct>."""
+    """Anything that gives the spans of a text Column; models wrap a pandas UDF that returns array<struct>.
+
+    ``mask.sanitize`` takes its result as a column, named by ``statistical``.
+    """
 
     name: str
 
     def spans(self, text: Column) -> Column: ...
 
 
-def resolved(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """The overlap rule for spans of one score."""
-    kept, start, end = [], -1, -1
-    for label, a, b in sorted(found, key=lambda s: (s[1], -s[2])):
-        if end >= b and (start < a or end > b):
-            continue
-        kept.append((label, a, b))
-        if b > end:
-            start, end = a, b
-    return kept
-
+_QUOTED = re.compile(r"('(?:[^'\\\\]|\\\\.|'')*')", re.S)
+_OPERATOR = re.compile(r"(?<![\w`])(and|or|not|[-+*/%<>=!&|^]+)\(")
 
-@udtf(returnType="entity_type string, start int, end int, text string, severity string")
-class Detect:
-    """detect(text): rows of the presets' spans, overlaps resolved."""
+_DOUBLE = re.compile(r"(?<![\w.])(\d+\.\d+)(?![\w.])")
 
-    def eval(self, text: str):
-        import re
 
-        severity = labels.flat(labels.SEVERITIES)
-        found = [(label, m.start(), m.end()) for _, label, p, gate in PRESETS if not gate or any(g in (text or "") for g in gate) for m in re.finditer(p, text or "") if m.end() > m.start()]
-        for label, a, b in resolved(found):
-            yield label, a, b, text[a:b], severity.get(label, "low")
+def as_sql(column: Column) -> str:
+    """The SQL text of a Column: operators, which a Column shows in front of their arguments, become function names."""
+    shown = repr(column).removeprefix("Column<'").removesuffix("'>")
+    return "".join(part if k % 2 else _DOUBLE.sub(r"\1D", _OPERATOR.sub(r"`\1`(", part)) for k, part in enumerate(_QUOTED.split(shown)))
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions detect_language(text), severity_for(label), category_for(label) and the table function detect(text)."""
-    spark.udtf.register("detect", Detect)
-    ja = r"[\\u3040-\\u309F\\u30A0-\\u30FF\\u4E00-\\u9FFF\\u31F0-\\u31FF\\uFF65-\\uFF9F]"
-    dense = r"regexp_replace(t, '(?U)\\s', '')"
-    n, kana = f"length({dense})", f"(length({dense}) - length(regexp_replace({dense}, '{ja}', '')))"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION detect_language(t STRING) RETURNS STRING RETURN CASE WHEN t IS NULL OR {n} = 0 OR {kana} = 0 THEN 'en' WHEN {kana} / {n} >= 0.2 THEN 'ja' ELSE 'mixed' END")
+    """SQL functions detect_language(text), severity_for(label), category_for(label), classification_for(label),
+    sanitize_text(text, strategy) with the strategies tag, partial and hash (any other counts as tag), and the table
+    function detect(text): entity_type, start, end, text, severity of the default chain's spans."""
+    from maskwright.operators import detect, filters, mask
+    from maskwright.plans.config import MaskConfig
+
+    from . import spans as S
+
+    cfg, t = MaskConfig(), F.col("t")
+    define = lambda head, body: spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+    define("detect_language(t STRING) RETURNS STRING", as_sql(detect.detect_language(t)))
     for name, groups, other in (("severity_for", labels.SEVERITIES, "low"), ("category_for", labels.CATEGORIES, "OTHER"), ("classification_for", labels.CLASSES, "other")):
         pairs = ", ".join(f"'{x}'" for x in chain(*labels.flat(groups).items()))
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(label STRING) RETURNS STRING RETURN coalesce(try_element_at(map({pairs}), label), '{other}')")
-
+        define(f"{name}(label STRING) RETURNS STRING", f"coalesce(try_element_at(map({pairs}), label), '{other}')")
+    define(f"raw_spans(t STRING) RETURNS ARRAY<{S.SPAN}>", as_sql(detect.preset_spans(S.safe(t))))
+    define(f"resolved_spans(s ARRAY<{S.SPAN}>) RETURNS ARRAY<{S.SPAN}>", as_sql(S.numbered(filters.filtered(S.resolve_overlaps(F.col("s")), cfg))))
+    define("detect(t STRING) RETURNS TABLE (entity_type STRING, start INT, end INT, text STRING, severity STRING)", "SELECT x.entity_type, x.start, x.end, x.text, severity_for(x.entity_type) FROM (SELECT resolved_spans(raw_spans(t)) AS s) LATERAL VIEW explode(s) e AS x")
+    for name in ("tag", "partial", "hash"):
+        define(f"{name}_spans(t STRING, s ARRAY<{S.SPAN}>) RETURNS STRING", as_sql(mask.STRATEGIES[name](t, F.col("s"))))
+    spans = "resolved_spans(raw_spans(t))"
+    define("sanitize_text(t STRING, strategy STRING DEFAULT 'tag') RETURNS STRING", f"CASE WHEN strategy = 'partial' THEN partial_spans(t, {spans}) WHEN strategy = 'hash' THEN hash_spans(t, {spans}) ELSE tag_spans(t, {spans}) END")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from maskwright.functions import labels
 from maskwright.functions import spans as S
 
-from .detect import entity_type_for
+from .detect import occurrences
 
+# Categories and severities of a language model's entity types.
 LLM_CATEGORIES = {"PERSON": "PERSON", "COMPANY": "ORGANIZATION", "LOCATION": "LOCATION", "CREDENTIAL": "CREDENTIAL"}
 LLM_SEVERITIES = {"PERSON": "critical", "COMPANY": "critical", "LOCATION": "high", "DEPARTMENT": "medium", "PROJECT_CODE": "medium", "CREDENTIAL": "critical", "SENSITIVE_FACT": "high"}
 ROW = ["value", "label", "category", "count", "positions", "masked", "placeholder", "classification", "severity"]
@@ -27,7 +28,7 @@ def aggregate_entities(detections: DataFrame, id_col: str = "doc_id") -> DataFra
     known = F.when(labels.category_for(F.col("entity_type")) == "OTHER", 1).otherwise(0)
     best = F.min_by(F.struct("entity_type", "__n"), F.struct("start", known, "seq"))
     grouped = rows.groupBy(id_col, F.col("text").alias("value")).agg(
-        best.alias("b"), F.array_sort(F.collect_set(F.struct("start", "end"))).alias("positions"), F.bool_or(F.col("action") == "masked").alias("masked"), F.min("seq").alias("ord")
+        best.alias("b"), F.sort_array(F.collect_set(F.struct("start", "end"))).alias("positions"), F.bool_or(F.col("action") == "masked").alias("masked"), F.min("seq").alias("ord")
     )
     label, value = F.col("b.entity_type"), F.col("value")
     out = grouped.select(
@@ -93,11 +94,10 @@ def recompute(rows: DataFrame, docs: DataFrame, entries: DataFrame, id_col: str
     base = kept.select(
         id_col, "k", "j", F.col("label").alias("entity_type"), F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("value").alias("text"), F.when(F.col("masked"), "masked").otherwise("allowed").alias("action")
     )
-    e = entries.where(F.length("value") > 0).select("value", entity_type_for(F.col("category")).alias("label"), F.monotonically_increasing_id().alias("k"))
-    hits = docs.join(e, F.contains(F.col("text"), F.col("value"))).select(id_col, (F.col("k") + (1 << 40)).alias("k"), F.posexplode(S.literal_spans(S.safe(F.col("text")), F.col("value"), F.col("label"))).alias("j", "s"))
-    more = hits.select(id_col, "k", "j", "s.entity_type", "s.start", "s.end", "s.text", F.lit("masked").alias("action"))
+    hits = occurrences(docs, entries, id_col).select(id_col, F.posexplode("found").alias("j", "x"))
+    more = hits.select(id_col, (F.col("x.k") + (1 << 40)).alias("k"), "j", F.col("x.label").alias("entity_type"), "x.start", "x.end", "x.text", F.lit("masked").alias("action"))
     item = F.struct("k", "j", S.span(F.col("entity_type"), F.col("start"), F.col("end"), F.lit(1.0), F.col("text")).alias("s"), "action")
-    every = base.unionByName(more).groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("x"))
+    every = base.unionByName(more).groupBy(id_col).agg(F.sort_array(F.collect_list(item)).alias("x"))
     spans = every.select(id_col, "x", F.posexplode_outer(S.resolve_overlaps(S.numbered(F.transform("x", lambda x: x["s"])))).alias("seq", "s")).where(F.col("s").isNotNull())
     detections = spans.select(id_col, "seq", "s.entity_type", "s.start", "s.end", "s.text", F.element_at("x", F.col("s.seq") + 1)["action"].alias("action"))
     return aggregate_entities(detections, id_col)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from maskwright.functions import spans as S
 from maskwright.functions.patterns import CLASS_GATES, PRESETS
 from maskwright.plans.config import MaskConfig
 
+# Characters that count as Japanese, space, ambiguous names, and types of tagger classes.
 JAPANESE = "[぀-ゟ゠-ヿ一-鿿ㇰ-ㇿ･-ﾟ]"
 SPACE = "(?U)[\\s\\x1c-\\x1f]"
 AMBIGUOUS = ["千葉", "神戸", "岡山", "福岡"]
@@ -63,19 +66,79 @@ def force_list_spans(text: Column, entries: list[tuple[str, str | None]]) -> Col
     return F.concat(*found) if found else S.none()
 
 
-def literal_spans(docs: DataFrame, entries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans) of a force-list table (value, category), for documents that hold one of its values.
+#: Entries and characters of a list up to which it is broadcast as one automaton.
+LIST_ROWS, LIST_CHARS = 100_000, 4_000_000
+#: Characters of a value by which longer lists are joined.
+GRAM = 4
+
 
-    Each value is looked for in each text, so the list is taken to be small against the documents.
+def occurrences(docs: DataFrame, entries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, found): for each document that holds a value of a list (value, category) its occurrences, an
+    array<struct<k, label, start, end, text>> in order of entry and place. The occurrences of a value don't overlap.
+
+    A list within ``LIST_ROWS`` and ``LIST_CHARS`` goes over each text as one automaton, without a shuffle; a longer one is
+    joined with the texts by the first ``GRAM`` characters of its values.
     """
     e = entries.where(F.length("value") > 0).select("value", entity_type_for(F.col("category")).alias("label"))
-    hits = docs.join(F.broadcast(e) if e.isStreaming is False and _small(e) else e, F.contains(F.col(text_col), F.col("value")))
-    return hits.groupBy(id_col).agg(F.flatten(F.collect_list(S.literal_spans(S.safe(F.col(text_col)), F.col("value"), F.col("label")))).alias("spans"))
+    head = e.limit(LIST_ROWS + 1).collect()
+    if len(head) <= LIST_ROWS and sum(len(r["value"]) for r in head) <= LIST_CHARS:
+        return _by_automaton(docs, [(r["value"], r["label"]) for r in head], id_col, text_col)
+    return _by_grams(docs, e.withColumn("k", F.monotonically_increasing_id()), id_col, text_col)
+
+
+def _by_automaton(docs: DataFrame, listed: list[tuple[str, str]], id_col: str, text_col: str) -> DataFrame:
+    item = "struct<k:bigint,label:string,start:int,end:int,text:string>"
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(listed)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        entries = shared.value
+        same: dict[str, list[int]] = {}
+        for k, (value, _) in enumerate(entries):
+            same.setdefault(value, []).append(k)
+        automaton = ahocorasick.Automaton()
+        for value, numbers in same.items():
+            automaton.add_word(value, (len(value), numbers))
+        if same:
+            automaton.make_automaton()
+        kind = pa.list_(pa.struct([("k", pa.int64()), ("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
+        for b in parts:
+            ids, found = [], []
+            for n, text in enumerate(b.column(1).to_pylist()):
+                free: dict[int, int] = {}
+                hits = []
+                for last, (size, numbers) in automaton.iter(text) if text and same else ():
+                    start = last + 1 - size
+                    if start >= free.get(numbers[0], 0):
+                        free[numbers[0]] = last + 1
+                        hits += [(k, entries[k][1], start, last + 1, entries[k][0]) for k in numbers]
+                if hits:
+                    ids.append(n)
+                    found.append([dict(zip(("k", "label", "start", "end", "text"), h)) for h in sorted(hits)])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(found, kind)], names=["id", "found"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, found array<{item}>").withColumnRenamed("id", id_col)
+
+
+def _by_grams(docs: DataFrame, entries: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A text meets a value only where one of its grams (of each size up to ``GRAM``) is how the value begins."""
+    e = entries.withColumn("gram", F.left("value", F.lit(GRAM)))
+    text = F.col(text_col)
+    grams = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, GRAM + 1)])))
+    met = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("print"), F.explode(grams).alias("gram")).join(e, "gram").select("id", "print", "value", "label", "k").distinct()
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("print"), text.alias("text")).dropDuplicates(["id", "print"])
+    held = rows.join(met, ["id", "print"]).where(F.contains("text", F.col("value")))
+    hit = lambda s: F.struct(F.col("k"), F.col("label"), s["start"].alias("start"), s["end"].alias("end"), F.col("value").alias("text"))
+    each = held.select("id", "print", F.transform(S.literal_spans(S.safe(F.col("text")), F.col("value"), F.col("label")), hit).alias("hits"))
+    return each.groupBy("id", "print").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("found")).select(F.col("id").alias(id_col), "found")
 
 
-def _small(df: DataFrame, rows: int = 10_000) -> bool:
-    """Whether a list table has at most so many rows, looked at without reading more of it."""
-    return len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows
+def literal_spans(docs: DataFrame, entries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, spans) of a force-list table (value, category), for documents that hold one of its values."""
+    span = lambda x: S.span(x["label"], x["start"], x["end"], F.lit(1.0), x["text"], "literal")
+    return occurrences(docs, entries, id_col, text_col).select(id_col, F.transform("found", span).alias("spans"))
 
 
 def token_spans(tokens: DataFrame, pos_patterns: list[list[str]] | None = None) -> DataFrame:
@@ -128,7 +191,7 @@ def gathered(table: DataFrame, source: str, order: list[str] | None = None) -> D
     """(doc_id, spans): a span table as one array for each document, in order of position."""
     by = [F.col(c) for c in (order or ["start", "end", "entity_type"])]
     item = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)], S.span(F.col("entity_type"), F.col("start"), F.col("end"), F.col("score"), F.col("text"), source).alias("s"))
-    return table.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]).alias(source))
+    return table.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["s"]).alias(source))
 
 
 def union_spans(docs: DataFrame, table: DataFrame, source: str, entity_types: list[str] | None = None) -> DataFrame:

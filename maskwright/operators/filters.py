@@ -74,14 +74,16 @@ def apply_decisions(spans: DataFrame, decisions: DataFrame, keys: list[str]) ->
     return spans.join(decisions.select(*keys).distinct(), keys, "left_semi")
 
 
-def resolve_row_state(rows: DataFrame, forced: DataFrame, allowed: DataFrame, previous: DataFrame) -> DataFrame:
+def resolve_row_state(rows: DataFrame, forced: DataFrame, allowed: DataFrame, previous: DataFrame, order_col: str = "ord") -> DataFrame:
     """``rows`` (value, category, masked) with masked and locked set.
 
-    Forced categories lock; the allow list unlocks and unmasks; an earlier choice for the value holds unless locked.
+    Forced categories lock; the allow list unlocks and unmasks; an earlier choice for the value holds unless locked: of
+    several the last by ``order_col`` (a column of ``previous``; without it, or in a tie, masked wins).
     """
     f = forced.select("category").distinct().withColumn("__forced", F.lit(True))
     a = allowed.select("value").distinct().withColumn("__allowed", F.lit(True))
-    p = previous.groupBy("value").agg(F.last("masked").alias("__before"))
+    order = F.struct(*([order_col] if order_col in previous.columns else []), "masked")
+    p = previous.groupBy("value").agg(F.max_by("masked", order).alias("__before"))
     j = rows.join(f, "category", "left").join(a, "value", "left").join(p, "value", "left")
     locked = F.coalesce("__forced", F.lit(False)) & ~F.coalesce("__allowed", F.lit(False))
     fresh = F.when(F.col("__allowed"), False).when(F.col("__forced"), True).otherwise(F.coalesce("masked", F.lit(True)))

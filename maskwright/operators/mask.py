@@ -12,42 +12,54 @@ from . import detect, filters
 from .surrogate import surrogate
 
 
-def _spliced(text: Column, spans: Column, put) -> Column:
-    """Replaces spans from right to left, each by offsets of the original text."""
-    backwards = S.by_position(spans, lambda s, i: F.struct(-s["start"], i))
-    return F.aggregate(backwards, text, lambda acc, s: F.concat(F.substr(acc, F.lit(1), s["start"]), put(s), F.substr(acc, s["end"] + 1, F.length(acc))))
-
-
 def tag_mask(text: Column, spans: Column) -> Column:
     """<TYPE_N>, numbered by first occurrence of a surface; of equal spans the last one gives the type."""
-    return S.let(spans, lambda x: _tagged(text, S.dedup_last(x), S.number_surfaces(x)))
+    return S.let(spans, lambda x: _tagged(text, x, S.surface_numbers(x), S.dedup_last))
+
+
+def _tagged(text: Column, spans: Column, numbers: Column, chosen=lambda x: x) -> Column:
+    """The spans that ``chosen`` leaves as tags, with a number for each span."""
+    tag = lambda s, n: F.concat(F.lit("<"), s["entity_type"], F.lit("_"), F.coalesce(n, F.lit(1)).cast("string"), F.lit(">"))
+    tags = S.let(numbers, lambda n: F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), tag(s, n[i]).alias("put"))))
+    return S.spliced(text, chosen(tags), lambda s: s["put"])
 
 
-def _tagged(text: Column, spans: Column, numbers: Column) -> Column:
-    put = lambda n, s: F.concat(F.lit("<"), s["entity_type"], F.lit("_"), S.number_of(n, s["entity_type"], s["text"]).cast("string"), F.lit(">"))
-    return S.let(numbers, lambda n: _spliced(text, spans, lambda s: put(n, s)))
+def numbered_mask(text: Column, spans: Column, numbers: Column) -> Column:
+    """As ``tag_mask``, with a given number for each span."""
+    return S.let(spans, lambda x: _tagged(text, x, numbers, S.dedup_last))
 
 
 def partial_mask(text: Column, spans: Column) -> Column:
-    """First and last character kept, stars between; up to two characters all stars. Lengths stay."""
+    """First and last character kept, stars between; up to two characters all stars. Lengths stay.
 
-    def stars(acc: Column, s: Column) -> Column:
+    Where spans overlap, the last to arrive shows: they are put in one after the other, all others in one go.
+    """
+
+    def masked(s: Column) -> Column:
         n = F.length(s["text"])
-        masked = F.when(n <= 2, F.repeat(F.lit("*"), n)).otherwise(F.concat(F.left(s["text"], F.lit(1)), F.repeat(F.lit("*"), n - 2), F.right(s["text"], F.lit(1))))
-        return F.concat(F.substr(acc, F.lit(1), s["start"]), masked, F.substr(acc, s["end"] + 1, F.length(acc)))
+        return F.when(n <= 2, F.repeat(F.lit("*"), n)).otherwise(F.concat(F.left(s["text"], F.lit(1)), F.repeat(F.lit("*"), n - 2), F.right(s["text"], F.lit(1))))
+
+    def put(x: Column) -> Column:
+        order = F.sort_array(F.transform(x, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), i.alias("i"))))
+        reach = lambda o: S.scanned(o, F.lit(-1), lambda end, s: F.greatest(end, s["end"]), lambda end, s: end)
+        touched = lambda o, r: F.transform(o, lambda s, j: F.struct(s["i"].alias("i"), ((r[j] > s["start"]) | (F.coalesce(F.get(o, j + 1)["start"], s["end"]) < s["end"])).alias("over")))
+        flags = S.let(order, lambda o: S.let(reach(o), lambda r: F.transform(F.sort_array(touched(o, r)), lambda f: f["over"])))
+        alone = lambda f: S.spliced(text, F.filter(x, lambda s, i: ~f[i]), masked)
+        one = lambda acc, s: F.concat(F.substr(acc, F.lit(1), s["start"]), masked(s), F.substr(acc, s["end"] + 1, F.length(acc)))
+        return S.let(flags, lambda f: F.aggregate(F.filter(x, lambda s, i: f[i]), alone(f), one))
 
-    return F.aggregate(spans, text, stars)
+    return F.when(F.size(spans) == 0, text).otherwise(S.let(spans, put))
 
 
 def hash_mask(text: Column, spans: Column) -> Column:
     """<TYPE:10 hex digits>; equal spans are replaced once."""
     put = lambda s: F.concat(F.lit("<"), s["entity_type"], F.lit(":"), F.substring(F.sha2(s["text"], 256), 1, 10), F.lit(">"))
-    return _spliced(text, S.dedup_last(spans), put)
+    return S.spliced(text, S.dedup_last(spans), put)
 
 
 def surrogate_mask(text: Column, spans: Column) -> Column:
     """Deterministic values of the same type; disjoint spans only."""
-    return _spliced(text, S.disjoint_spans(S.dedup_last(spans)), lambda s: F.coalesce(surrogate(s["entity_type"], s["text"]), s["text"]))
+    return S.spliced(text, S.disjoint_spans(S.dedup_last(spans)), lambda s: F.coalesce(surrogate(s["entity_type"], s["text"]), s["text"]))
 
 
 STRATEGIES = {"tag": tag_mask, "partial": partial_mask, "hash": hash_mask, "surrogate": surrogate_mask}
@@ -66,7 +78,7 @@ def apply_strategy(text: Column, spans: Column, strategy: str | Column) -> Colum
 def mask_triples(text: Column, triples: Column) -> Column:
     """Chosen array<struct<start,end,label>> as numbered tags; bad offsets are skipped, a missing label is MASKED."""
     spans = F.transform(triples, lambda t: S.span(F.coalesce(t["label"], F.lit("MASKED")), t["start"], t["end"], F.lit(1.0), F.substr(text, t["start"] + 1, t["end"] - t["start"])))
-    return S.let(S.valid_spans(spans, text), lambda x: _tagged(text, x, S.number_surfaces(x)))
+    return S.let(S.valid_spans(spans, text), lambda x: _tagged(text, x, S.surface_numbers(x)))
 
 
 def sanitize(docs: DataFrame, cfg: MaskConfig | None = None, text_col: str = "text", statistical: str | None = None, tokens: str | None = None, demoted: str | None = None, strategy_col: str | None = None) -> DataFrame:
@@ -98,6 +110,7 @@ def placeholder_map(docs: DataFrame, id_col: str = "doc_id", spans_col: str = "s
     return numbers.select(id_col, F.concat(F.lit("<"), "label", F.lit("_"), F.col("n").cast("string"), F.lit(">")).alias("placeholder"), "surface")
 
 
+# Tag names of a language model's entity types.
 BASES = {"PERSON": "name", "COMPANY": "company", "LOCATION": "location", "DEPARTMENT": "department", "PROJECT_CODE": "project", "CREDENTIAL": "credential", "SENSITIVE_FACT": "fact", "PHONE_NUMBER": "phone", "EMAIL_ADDRESS": "email"}
 
 
@@ -126,5 +139,5 @@ def rewrite_with_tags(text: Column, replacements: Column) -> Column:
     """struct<rewritten_text, replacements>: every occurrence of each original tagged, longest first."""
     safe = S.safe(text)
     hits = lambda tags: F.flatten(F.transform(tags, lambda r: S.literal_spans(safe, r["original"], r["replacement"])))
-    whole = lambda tags: F.struct(_spliced(text, S.disjoint_spans(hits(tags)), lambda s: s["entity_type"]).alias("rewritten_text"), tags.alias("replacements"))
+    whole = lambda tags: F.struct(S.spliced(text, S.disjoint_spans(hits(tags)), lambda s: s["entity_type"]).alias("rewritten_text"), tags.alias("replacements"))
     return S.let(unique_tags(replacements), whole)

@@ -84,12 +84,18 @@ def slots(body: Any, service: str) -> Iterator[tuple[Any, Any]]:
 
 
 def _parsed(raw: Any) -> Any:
+    """The value of a JSON text, or none; also none for what is nested too deeply to be walked."""
     try:
         return json.loads(raw)
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, RecursionError):
         return None
 
 
+def _whole(text: str) -> str:
+    """The text with lone surrogates, which no column can hold, as U+FFFD."""
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def _nested(body: Any) -> list[str]:
     """Strings at any depth of service C's request string, which can be read but not put back."""
     found: list[str] = []
@@ -105,8 +111,13 @@ def _nested(body: Any) -> list[str]:
 
 def _texts(raw: Any, service: str) -> list[str]:
     body = _parsed(raw)
-    found = [box[key] if isinstance(box, list) else str(box.get(key) or "") for box, key in slots(body, service)]
-    return found + (_nested(body) if service == "c" else [])
+    found = []
+    for box, key in slots(body, service):
+        value = box[key] if isinstance(box, list) else box.get(key)
+        if service == "openai" and key == "text":  # an empty text falls back to the part's content
+            value = value or box.get("content")
+        found.append(_whole(str(value or "")))
+    return found + ([_whole(t) for t in _nested(body)] if service == "c" else [])
 
 
 def extract_inputs(df: DataFrame, body_col: str, service: str, into: str = "texts") -> DataFrame:
@@ -122,38 +133,49 @@ def extract_inputs(df: DataFrame, body_col: str, service: str, into: str = "text
 
 
 def replace_inputs(df: DataFrame, body_col: str, masked_col: str, service: str, into: str = "masked_body") -> DataFrame:
-    """``df`` with the body whose texts are replaced in turn by those of an array; all other keys stay."""
+    """``df`` with the body whose texts are replaced in turn by those of an array, all other keys staying, and ``unreadable``:
+    whether a body was passed on as it is, because it is no JSON or nested too deeply."""
     at, new = df.columns.index(body_col), df.columns.index(masked_col)
 
-    def one(raw: Any, texts: list[str] | None) -> Any:
+    def one(raw: Any, texts: list[str] | None) -> tuple[Any, bool]:
         body = _parsed(raw)
         if not isinstance(body, dict):
-            return raw
+            return raw, raw is not None and body is None and raw.strip() != "null"
         for (box, key), value in zip(list(slots(body, service)), texts or []):
             box[key] = value
-        return json.dumps(body, ensure_ascii=False)
+        try:
+            return _whole(json.dumps(body, ensure_ascii=False)), False
+        except RecursionError:
+            return raw, True
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            done = pa.array([one(raw, texts) for raw, texts in zip(b.column(at).to_pylist(), b.column(new).to_pylist())], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, done], names=[*b.schema.names, into])
+            done = [one(raw, texts) for raw, texts in zip(b.column(at).to_pylist(), b.column(new).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.bool_())], names=[*b.schema.names, into, "unreadable"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.StringType()), T.StructField("unreadable", T.BooleanType())]))
+
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.StringType())]))
+def found_in_texts(texts: Column, cfg: MaskConfig) -> Column:
+    """array<struct<t, s>>: each text of an array with the spans to mask."""
+    return F.transform(texts, lambda t: F.struct(t.alias("t"), filters.maskable(filters.filtered(detect.default_chain(S.safe(t), cfg), cfg), cfg.allow_types).alias("s")))
 
 
-def masked_texts(texts: Column, cfg: MaskConfig) -> Column:
-    """Each text of an array masked on its own, numbers starting anew."""
-    found = F.transform(texts, lambda t: F.struct(t.alias("t"), filters.maskable(filters.filtered(detect.default_chain(S.safe(t), cfg), cfg), cfg.allow_types).alias("s")))
+def masked_texts(found: Column, cfg: MaskConfig) -> Column:
+    """Each text of ``found_in_texts`` masked on its own, numbers starting anew."""
     return F.transform(found, lambda x: F.when(F.size(x["s"]) > 0, mask.apply_strategy(x["t"], x["s"], cfg.strategy)).otherwise(x["t"]))
 
 
 def mask_payload(df: DataFrame, body_col: str, service: str = "openai", cfg: MaskConfig | None = None) -> DataFrame:
-    """``df`` with ``texts``, ``masked_body`` and ``unreplaced`` (texts were found that can't be put back)."""
+    """``df`` with ``texts``, ``masked_body``, ``unreadable`` (the body is passed on as it is) and ``unreplaced`` (texts were
+    found that can't be put back). Lone surrogates become U+FFFD."""
     cfg = cfg or MaskConfig()
     out = extract_inputs(df, body_col, service)
-    new = masked_texts(F.col("texts"), cfg) if cfg.filter_enabled else F.col("texts")
+    new = F.col("texts")
+    if cfg.filter_enabled:
+        out, new = out.withColumn("__found", found_in_texts(F.col("texts"), cfg)), masked_texts(F.col("__found"), cfg)
     nested = F.coalesce(F.get_json_object(F.col(body_col), "$['f.req']").isNotNull() & (F.size("texts") > 0), F.lit(False)) if service == "c" else F.lit(False)
-    return replace_inputs(out.withColumn("__masked", new), body_col, "__masked", service).drop("__masked").withColumn("unreplaced", nested)
+    return replace_inputs(out.withColumn("__masked", new).drop("__found"), body_col, "__masked", service).drop("__masked").withColumn("unreplaced", nested)
 
 
 def text_segments(body: Column) -> Column:
@@ -186,13 +208,15 @@ def mask_conversations(df: DataFrame, spans_of, roles: tuple[str, ...] = ("user"
     rows = df.withColumn("spans", F.when(own, S.numbered(spans_of(S.safe(F.col("text"))))).otherwise(S.none()))
     if scope == "turn":
         return rows.withColumn("masked", F.when(F.size("spans") > 0, mask.tag_mask(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
-    each = rows.select("conv_id", "turn", F.explode_outer("spans").alias("s")).where(F.col("s").isNotNull()).select("conv_id", "turn", "s.entity_type", "s.text", "s.start", "s.end")
+    rows = rows.withColumn("print", F.xxhash64("text"))
+    each = rows.select("conv_id", "turn", "print", F.explode_outer("spans").alias("s")).where(F.col("s").isNotNull()).select("conv_id", "turn", "print", "s.seq", "s.entity_type", "s.text", "s.start", "s.end")
     first = each.groupBy("conv_id", "entity_type", "text").agg(F.min(F.struct("turn", "start", "end")).alias("at"))
     numbered = first.withColumn("n", F.dense_rank().over(Window.partitionBy("conv_id", "entity_type").orderBy("at")))
-    table = numbered.groupBy("conv_id").agg(F.collect_list(F.struct(F.col("entity_type").alias("label"), F.col("text").alias("surface"), "n")).alias("numbers"))
-    put = lambda s: F.concat(F.lit("<"), s["entity_type"], F.lit("_"), S.number_of(F.col("numbers"), s["entity_type"], s["text"]).cast("string"), F.lit(">"))
-    joined = rows.join(table, "conv_id", "left")
-    return joined.withColumn("masked", F.when(F.size("spans") > 0, mask._spliced(F.col("text"), S.dedup_last(F.col("spans")), put)).otherwise(F.col("text"))).drop("numbers")
+    # back to each turn with only its own numbers: a conversation's surfaces are never gathered in one row
+    own = each.join(numbered.drop("at"), ["conv_id", "entity_type", "text"]).select("conv_id", "turn", "print", "seq", "n").distinct()
+    table = own.groupBy("conv_id", "turn", "print").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "n"))), lambda x: x["n"]).alias("numbers"))
+    joined = rows.join(table, ["conv_id", "turn", "print"], "left")
+    return joined.withColumn("masked", F.when(F.size("spans") > 0, mask.numbered_mask(F.col("text"), F.col("spans"), F.col("numbers"))).otherwise(F.col("text"))).drop("numbers", "print")
 
 
 def parse_frames(df: DataFrame, col: str) -> DataFrame:

@@ -21,7 +21,7 @@ def mask_stream(texts: DataFrame, cfg: MaskConfig | None = None) -> DataFrame:
 
 def audit_stream(masked: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Audit records appended by the file sink, exactly once for each batch."""
-    return audit.audit_records(masked).writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    return audit.audit_records(masked).writeStream.format("json").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def running_counts(detections: DataFrame, key: str, count: str = "n") -> DataFrame:

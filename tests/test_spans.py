@@ -186,3 +186,16 @@ def test_registered_functions(spark):
     assert tuple(row) == ("ja", "critical", "OTHER")
     rows = spark.sql("SELECT * FROM detect('mail a@b.example now')").collect()
     assert [(r["entity_type"], r["start"], r["end"]) for r in rows] == [("EMAIL_ADDRESS", 5, 16)]
+
+
+def test_sql_functions_equal_columns(spark, docs):
+    register(spark)
+    docs.createOrReplaceTempView("texts")
+    for name in ("tag", "partial", "hash", "odd"):
+        got = {r["doc_id"]: r["s"] for r in spark.sql(f"SELECT doc_id, sanitize_text(text, '{name}') AS s FROM texts").collect()}
+        want = {r["doc_id"]: r["sanitized_text"] for r in mask.sanitize(docs, MaskConfig(strategy="tag" if name == "odd" else name)).collect()}
+        assert got == want
+    assert spark.sql("SELECT sanitize_text('mail a@b.example') AS s").first()["s"] == "mail <EMAIL_ADDRESS_1>"
+    rows = sorted((r["doc_id"], r["start"], r["end"], r["entity_type"]) for r in spark.sql("SELECT doc_id, d.* FROM texts, LATERAL detect(text) d").collect())
+    want = enrich.detections(mask.sanitize(docs)).collect()
+    assert rows == sorted((r["doc_id"], r["start"], r["end"], r["entity_type"]) for r in want)
