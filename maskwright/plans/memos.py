@@ -6,6 +6,7 @@ The same templates render to a Spark Column and to SQL, so that oracles see the
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,9 @@ LINES = [
     "このプロジェクトは進行中 、 メンバー は プロジェクト と スケジュール を確認",
     "機密 の資料 {k} を 長谷川 に送付、 エンジニアリング 部門",
     "nothing to see in order number {k} of customer {c}",
+    "取引先 アクメ{a}株式会社 と Beta{a}LLC と Gamma{a}Ltd. の件",
+    "sk-ant-api03-{h}{h}{h} and secret_{h}abcdefghijk and github_pat_{h}{h}{h} set",
+    "SG.abcdefghijklmno{k7}.{h}abcdefghijk and patabcdefg{k7}.{h2} and Mabcdefghijklmnop{k7}.abcdef.{h} end",
     "two mails user{c}@example.com user{c}@example.com and user{a}@example.com",
 ]
 STEPS = (0, 7, 13, 22)
@@ -72,10 +76,6 @@ def _pieces(line: str) -> list[str]:
     return re.split(r"\{(\w+)\}", line)
 
 
-def _column(line: str) -> Column:
-    return F.concat(*[FIELDS[p][0]() if k % 2 else F.lit(p) for k, p in enumerate(_pieces(line)) if p])
-
-
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -85,8 +85,10 @@ def _sql(line: str) -> str:
 
 
 def text_column() -> Column:
-    lines = F.array(*map(_column, LINES))
-    return F.concat_ws("\n", *[F.element_at(lines, ((F.col("o_orderkey") + s) % len(LINES) + 1).cast("int")) for s in STEPS])
+    """Four lines of each order: the templates are picked first, then filled with the fields, each worked out once."""
+    templates = F.array(*map(F.lit, LINES))
+    picked = F.concat_ws("\n", *[F.element_at(templates, ((F.col("o_orderkey") + s) % len(LINES) + 1).cast("int")) for s in STEPS])
+    return reduce(lambda text, name: F.replace(text, F.lit(f"{{{name}}}"), FIELDS[name][0]()), FIELDS, picked)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -47,6 +47,62 @@ def resolved(spans: str) -> str:
     return f'SELECT doc_id, rn AS seq, entity_type, start, "end", text FROM (SELECT *, {env} AS env FROM ({ranked})) WHERE env IS NULL OR NOT (env.e >= "end" AND (env.s < start OR env.e > "end"))'
 
 
+def resolved_scored(spans: str) -> str:
+    """The same for spans with scores: the envelope is what reaches furthest, of these the best score, of these the first."""
+    env = 'max({\'e\': "end", \'c\': score, \'r\': -rn, \'s\': start}) OVER (PARTITION BY doc_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)'
+    ranked = f'SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, seq) AS rn FROM ({spans})'
+    return f'SELECT doc_id, rn AS seq, entity_type, start, "end", text, score FROM (SELECT *, {env} AS env FROM ({ranked})) WHERE env IS NULL OR NOT (env.e >= "end" AND env.c >= score AND (env.s < start OR env.e > "end"))'
+
+
+def greedy(spans: str) -> str:
+    """Longest-first disjoint spans."""
+    cols = 'doc_id, rn, entity_type, start, "end", text'
+    return f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, seq) AS rn FROM ({spans})),
+r AS (SELECT {cols}, "end" AS last, true AS kept FROM s WHERE rn = 1
+UNION ALL SELECT s.doc_id, s.rn, s.entity_type, s.start, s."end", s.text, CASE WHEN s.start >= r.last THEN s."end" ELSE r.last END, s.start >= r.last FROM r JOIN s ON s.doc_id = r.doc_id AND s.rn = r.rn + 1)
+SELECT doc_id, rn AS seq, entity_type, start, "end", text FROM r WHERE kept"""
+
+
+_WORD = 4294967295
+_STATE = "CAST(split_part(acc, ':', 1) AS BIGINT)"
+_A = f"(xor({_STATE}, {_STATE} << 13) & {_WORD})"
+_B = f"xor({_A}, {_A} >> 17)"
+_C = f"(xor({_B}, {_B} << 5) & {_WORD})"
+
+
+def _steps(seed: str, n: str, step: str) -> str:
+    """The letters that ``n`` steps append to a state kept as text."""
+    return f"split_part(list_reduce(list_prepend(CAST({seed} AS VARCHAR) || ':', list_transform(range({n}), lambda x: '')), lambda acc, x: {step}), ':', 2)"
+
+
+def fake_hex(seed: str, n: int) -> str:
+    return _steps(seed, str(n), f"CAST({_C} AS VARCHAR) || ':' || split_part(acc, ':', 2) || substr('0123456789abcdef', CAST({_C} % 16 + 1 AS INTEGER), 1)")
+
+
+def surrogate(label: str, surface: str, seed: str) -> str:
+    """The fake value of every label, by the arithmetic on its seed."""
+    from maskwright.operators import surrogate as S
+
+    pick = lambda values: f"[{', '.join(map(quoted, values))}][CAST({seed} % {len(values)} + 1 AS INTEGER)]"
+    num = lambda n, size, low: f"CAST(({seed} >> {n}) % {size} + {low} AS VARCHAR)"
+    letter = lambda n: f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(({seed} >> {n}) % 26 + 1 AS INTEGER), 1)"
+    join = lambda sep, *parts: f" || '{sep}' || ".join(parts)
+    at = f"instr({surface}, '@') - 1"
+    mail = _steps(seed, f"greatest(3, least(CASE WHEN {at} > 0 THEN {at} ELSE 6 END, 10))", f"CAST({_STATE} // 26 + 7 AS VARCHAR) || ':' || split_part(acc, ':', 2) || substr('abcdefghijklmnopqrstuvwxyz', CAST({_STATE} % 26 + 1 AS INTEGER), 1)")
+    values = {
+        "PERSON PROPER_NOUN_PERSON": pick(S.PERSONS), "COMPANY ORGANIZATION PROPER_NOUN_ORG": pick(S.FIRMS), "LOCATION ADDRESS PROPER_NOUN_LOCATION": pick(S.PLACES), "EMAIL_ADDRESS": f"{mail} || '@example.com'",
+        "PHONE_NUMBER PHONE_NUMBER_JP": join("-", pick(["070", "080", "090"]), num(3, 9000, 1000), num(12, 9000, 1000)), "POSTAL_CODE": join("-", num(0, 900, 100), num(10, 9000, 1000)),
+        "IP_ADDRESS": join(".", pick(S.NETWORKS), num(8, 254, 1)), "MY_NUMBER": join(" ", *[num(4 * k, 9000, 1000) for k in range(3)]), "CREDIT_CARD": "'4111-1111-1111-1111'",
+        "BANK_ACCOUNT": join(" ", pick(["普通", "当座"]), num(3, 9000000, 1000000)), "DRIVERS_LICENSE": join("-", num(0, 90, 10), num(6, 90, 10), num(12, 900000, 100000), num(24, 90, 10)),
+        "PASSPORT": join("", letter(0), letter(5), num(10, 9000000, 1000000)), "API_KEY": f"'sk-' || {fake_hex(seed, 32)}", "SECRET": fake_hex(seed, 40),
+        "DB_CONNECTION": f"'postgresql://user_' || {fake_hex(seed, 4)} || ':***@db.example.com:5432/app'", "URL": f"'https://example.com/path/' || {fake_hex(seed, 6)}", "SKU": f"'SKU-' || upper({fake_hex(seed, 6)})",
+        "MONETARY_AMOUNT": f"'¥' || format('{{:,}}', {seed} % 999000 + 1000)", "ANNUAL_INCOME": f"'年収' || {num(0, 1500, 300)} || '万円'", "AGE": f"{num(0, 60, 20)} || '歳'",
+        "DATE": join("/", num(0, 6, 2020), num(6, 12, 1), num(10, 28, 1)), **{k: f"{quoted(head)} || {num(0, size, low)}" for k, (head, size, low) in S.NUMBERED.items()},
+    }
+    whens = " ".join(f"WHEN {label} IN ({', '.join(map(quoted, names.split()))}) THEN {value}" for names, value in values.items())
+    return f"CASE {whens} ELSE '[' || {label} || '_' || upper({fake_hex(seed, 4)}) || ']' END"
+
+
 def numbered(spans: str) -> str:
     """Adds n, the number of the surface within its label."""
     first = f'SELECT *, min({{\'s\': start, \'e\': "end"}}) OVER (PARTITION BY doc_id, entity_type, text) AS first FROM ({spans})'

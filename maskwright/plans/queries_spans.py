@@ -103,13 +103,7 @@ def resolved_memos(spark, sf_dir):
     return exploded(memos(spark, sf_dir).withColumn("spans", S.resolve_overlaps(detect.preset_spans(S.safe(F.col("text"))))))
 
 
-_GREEDY = f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, seq) AS rn FROM ({RAW})),
-r AS (SELECT doc_id, rn, entity_type, start, "end", text, "end" AS last, true AS kept FROM s WHERE rn = 1
-UNION ALL SELECT s.doc_id, s.rn, s.entity_type, s.start, s."end", s.text, CASE WHEN s.start >= r.last THEN s."end" ELSE r.last END, s.start >= r.last FROM r JOIN s ON s.doc_id = r.doc_id AND s.rn = r.rn + 1)
-SELECT {COLS} FROM r WHERE kept"""
-
-
-@query(_GREEDY)
+@query(f"SELECT {COLS} FROM ({O.greedy(RAW)})")
 def disjoint_memos(spark, sf_dir):
     """Longest-first disjoint spans."""
     return exploded(memos(spark, sf_dir).withColumn("spans", S.disjoint_spans(detect.preset_spans(S.safe(F.col("text"))))))
@@ -233,13 +227,12 @@ def entity_summary(spark, sf_dir):
     return out.select("doc_id", F.explode_outer("m").alias("entity_type", "n")).where(F.col("n").isNotNull())
 
 
-@query(f"SELECT m.doc_id, 'memo' AS request_type, true AS filter_enabled, CAST(coalesce(n, 0) AS INTEGER) AS detected_count, CAST(coalesce(emails, 0) AS INTEGER) AS emails, 'ok' AS status FROM ({MEMOS}) m LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (entity_type = 'EMAIL_ADDRESS') AS emails FROM ({FIL}) GROUP BY doc_id) c ON m.doc_id = c.doc_id")
+@query(f"SELECT 'memo' AS request_type, true AS filter_enabled, CAST(coalesce(n, 0) AS INTEGER) AS detected_count, CAST(coalesce(emails, 0) AS INTEGER) AS emails, 'ok' AS status, count(*) AS records FROM ({MEMOS}) m LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (entity_type = 'EMAIL_ADDRESS') AS emails FROM ({FIL}) GROUP BY doc_id) c ON m.doc_id = c.doc_id GROUP BY ALL")
 def audit_records(spark, sf_dir):
-    docs = mask.sanitize(memos(spark, sf_dir))
-    one = aggregate.entity_summary(F.col("spans"))
-    rec = audit.audit_records(docs, "memo")
-    assert set(rec.columns) <= set("audit_id request_type filter_enabled detected_count entity_summary upstream_target status elapsed_ms created_at append_seq".split())
-    return docs.select("doc_id", F.lit("memo").alias("request_type"), F.lit(True).alias("filter_enabled"), F.size("spans").alias("detected_count"), F.coalesce(F.try_element_at(one, F.lit("EMAIL_ADDRESS")), F.lit(0)).alias("emails"), F.lit("ok").alias("status"))
+    """The operator's own records, which name no document, counted by what they hold."""
+    records = audit.audit_records(mask.sanitize(memos(spark, sf_dir)), "memo")
+    emails = F.coalesce(F.try_element_at("entity_summary", F.lit("EMAIL_ADDRESS")), F.lit(0)).alias("emails")
+    return records.select("request_type", "filter_enabled", "detected_count", emails, "status").groupBy("request_type", "filter_enabled", "detected_count", "emails", "status").agg(F.count("*").alias("records"))
 
 
 _FIRED = "list_filter(['confidential', 'LEAK', 'absent', '機密'], lambda k: CASE WHEN k = '機密' THEN contains(text, k) ELSE contains(lower(text), lower(k)) END)"
@@ -278,25 +271,47 @@ _CODES = "list_transform(string_split(entity_type || chr(2) || text, ''), lambda
 _H32 = f"list_reduce(list_prepend(CAST(5381 AS BIGINT), {_CODES}), lambda h, x: xor((h * 33) & 4294967295, x))"
 
 
-@query(f"""SELECT doc_id, entity_type, text, h AS hash, CASE
-WHEN entity_type = 'AGE' THEN CAST(h % 60 + 20 AS VARCHAR) || '歳'
-WHEN entity_type = 'IP_ADDRESS' THEN ['192.0.2', '198.51.100', '203.0.113'][CAST(h % 3 + 1 AS INTEGER)] || '.' || CAST((h >> 8) % 254 + 1 AS VARCHAR)
-WHEN entity_type = 'PHONE_NUMBER' THEN ['070', '080', '090'][CAST(h % 3 + 1 AS INTEGER)] || '-' || CAST((h >> 3) % 9000 + 1000 AS VARCHAR) || '-' || CAST((h >> 12) % 9000 + 1000 AS VARCHAR)
-WHEN entity_type = 'DATE' THEN CAST(2020 + h % 6 AS VARCHAR) || '/' || CAST((h >> 6) % 12 + 1 AS VARCHAR) || '/' || CAST((h >> 10) % 28 + 1 AS VARCHAR)
-WHEN entity_type = 'CUSTOMER_ID' THEN 'CUST-' || CAST(h % 90000 + 10000 AS VARCHAR) ELSE NULL END AS fake
-FROM (SELECT *, {_H32} AS h FROM ({FIL}) WHERE entity_type IN ('AGE', 'IP_ADDRESS', 'PHONE_NUMBER', 'DATE', 'CUSTOMER_ID'))""")
+_HASHED = lambda spans: f"SELECT *, {_H32} AS h FROM ({spans})"
+_FAKE = O.surrogate("entity_type", "text", "h")
+
+
+@query(f"SELECT doc_id, entity_type, text, h AS hash, {_FAKE} AS fake FROM ({_HASHED(FIL)})")
 def surrogates_memos(spark, sf_dir):
-    """The 32-bit hash of label and surface, and the fake values of five types."""
-    rows = exploded(mask.sanitize(memos(spark, sf_dir))).where(F.col("entity_type").isin("AGE", "IP_ADDRESS", "PHONE_NUMBER", "DATE", "CUSTOMER_ID"))
+    """The 32-bit hash of label and surface, and the fake value of every span."""
+    rows = exploded(mask.sanitize(memos(spark, sf_dir)))
     return rows.select("doc_id", "entity_type", "text", hash32(F.concat("entity_type", F.lit("\0"), "text")).alias("hash"), surrogate(F.col("entity_type"), F.col("text")).alias("fake"))
 
 
-@query()
+#: Labels that no preset finds but other detectors do, and one that has no fake value of its own.
+TAGGED = ["PERSON", "PROPER_NOUN_PERSON", "ORGANIZATION", "PROPER_NOUN_ORG", "LOCATION", "PROPER_NOUN_LOCATION", "PHONE_NUMBER", "CREDIT_CARD", "SECRET", "PROJECT_CODE"]
+_TAGGED = "SELECT c_custkey AS doc_id, unnest([{}]) AS entity_type, c_name AS text FROM customer".format(", ".join(map(quoted, TAGGED)))
+
+
+@query(f"SELECT doc_id, entity_type, text, {_FAKE} AS fake FROM ({_HASHED(_TAGGED)})")
+def surrogates_customers(spark, sf_dir):
+    """Fake values of customers' names under labels of other detectors."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), F.explode(F.array(*map(F.lit, TAGGED))).alias("entity_type"), F.col("c_name").alias("text"))
+    return rows.withColumn("fake", surrogate(F.col("entity_type"), F.col("text")))
+
+
+@query(f"SELECT doc_id, masked AS sanitized_text FROM ({O.spliced(MEMOS, _HASHED(O.greedy(O.last_of_equal(FIL))), _FAKE)})")
 def surrogate_mask(spark, sf_dir):
-    """Surrogates of every type in place; tests compare with plain arithmetic."""
+    """Surrogates of every type in place, of disjoint spans."""
     return mask.sanitize(memos(spark, sf_dir), MaskConfig(strategy="surrogate")).select("doc_id", "sanitized_text")
 
 
+_SCORED = f"SELECT *, [0.4, 0.85, 1.0][start % 3 + 1] AS score FROM ({RAW})"
+
+
+@query(f"SELECT {COLS}, CAST(score AS DOUBLE) AS score FROM ({O.resolved_scored(_SCORED)}) WHERE score >= 0.5")
+def scored_memos(spark, sf_dir):
+    """Overlaps between spans of different scores, then a score filter that leaves some out."""
+    rated = lambda x: F.transform(x, lambda s: s.withField("score", F.element_at(F.array(F.lit(0.4), F.lit(0.85), F.lit(1.0)), s["start"] % 3 + 1)))
+    found = memos(spark, sf_dir).withColumn("spans", rated(detect.preset_spans(S.safe(F.col("text")))))
+    out = found.withColumn("spans", filters.min_score(S.resolve_overlaps(F.col("spans")), 0.5))
+    return S.unfolded(out, "spans", "doc_id").select("doc_id", "entity_type", "start", "end", "text", "score")
+
+
 @query(f"SELECT m.doc_id, CASE WHEN m.masked <> t.text THEN 'masked' ELSE 'no_change' END AS action, t.text[1:1000] AS preview, CASE WHEN length(t.text) <= 160 THEN t.text ELSE t.text[1:160] || '…(+' || CAST(length(t.text) - 160 AS VARCHAR) || ' chars)' END AS payload FROM ({masked_sql(MEMOS, FIL)}) m JOIN ({MEMOS}) t ON m.doc_id = t.doc_id")
 def action_and_preview(spark, sf_dir):
     out = mask.sanitize(memos(spark, sf_dir))

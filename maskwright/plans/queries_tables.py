@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
+from maskwright.functions import udf
 from maskwright.operators import aggregate, answers, detect, enrich, filters, mask, payloads
 from maskwright.sources import audit
 from maskwright.sources import documents as sources
@@ -193,9 +194,13 @@ def piece_offsets(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.posexplode(detect.piece_offsets(F.col("p_name"), F.split("p_name", " "))).alias("idx", "o")).select("id", "idx", "o.start", "o.end")
 
 
-@query()
+_CT = O.matches("(SELECT conv_id * 100000 + turn AS doc_id, text FROM conversations WHERE role = 'user')", [("WORD", r"\b[A-Z]\w{7,}\b")])
+_CT = O.spliced("SELECT conv_id * 100000 + turn AS doc_id, text FROM conversations", O.last_of_equal(O.numbered(_CT)), O.TAG)
+
+
+@query(f"SELECT c.conv_id, c.turn, c.role, masked FROM ({_CT}) m JOIN conversations c ON c.conv_id * 100000 + c.turn = m.doc_id")
 def mask_conversation_turns(spark, sf_dir):
-    """User turns masked, numbered by turn; tests compare with one pass over each text."""
+    """User turns masked, numbered by turn."""
     spans = lambda t: S.regex_spans(t, "WORD", r"\b[A-Z]\w{7,}\b", "standalone")
     return payloads.mask_conversations(table(spark, sf_dir, "conversations"), spans).select("conv_id", "turn", "role", "masked")
 
@@ -348,11 +353,25 @@ def person_phrases(spark, sf_dir):
     return memos(spark, sf_dir).select("doc_id", labels.is_false_positive_person(F.col("text")).alias("phrase"))
 
 
-@query()
+_DETECTED = O.resolved(O.matches(f"({MEMOS})", O.presets()))
+_DETECTED = f"SELECT * FROM ({_DETECTED}) WHERE text NOT IN ({', '.join(map(quoted, MaskConfig().blocklist))})"
+
+
+@query(f"SELECT entity_type, {O.severity('entity_type')} AS severity, count(*) AS n FROM ({_DETECTED}) GROUP BY 1, 2")
 def detect_table_function(spark, sf_dir):
     """The table function over memos, as rows by label."""
-    from maskwright.functions import udf
-
     udf.register(spark)
     memos(spark, sf_dir).createOrReplaceTempView("__memos")
     return spark.sql("SELECT d.entity_type, severity_for(d.entity_type) AS severity, count(*) AS n FROM __memos m, LATERAL detect(m.text) d GROUP BY 1, 2")
+
+
+_BY_TAG = O.spliced(MEMOS, O.last_of_equal(O.numbered(_DETECTED)), O.TAG)
+_BY_HASH = O.spliced(MEMOS, O.last_of_equal(_DETECTED), O.HASH)
+
+
+@query(f"SELECT t.doc_id, CASE WHEN t.doc_id % 2 = 0 THEN t.masked ELSE h.masked END AS masked FROM ({_BY_TAG}) t JOIN ({_BY_HASH}) h ON t.doc_id = h.doc_id")
+def sanitize_text_function(spark, sf_dir):
+    """Masking by the SQL function, with a strategy for each row."""
+    udf.register(spark)
+    memos(spark, sf_dir).createOrReplaceTempView("__memos")
+    return spark.sql("SELECT doc_id, sanitize_text(text, CASE WHEN doc_id % 2 = 0 THEN 'tag' ELSE 'hash' END) AS masked FROM __memos")
