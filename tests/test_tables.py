@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from maskwright.functions import spans as S
-from maskwright.operators import mask, payloads
+from maskwright.operators import detect, filters, mask, payloads
 from maskwright.plans.config import MaskConfig
 from maskwright.sources import audit, documents
 from maskwright.streaming import streams
@@ -125,3 +125,89 @@ def test_empty_and_odd_columns(spark):
     extra = spark.createDataFrame([(1, "a@b.example", "x")], "doc_id int, text string, start string")
     assert mask.sanitize(extra, MAIL).select("start", F.size("spans")).first()[1] == 1
     assert S.none() is not None
+
+
+def model_occurrences(text, entries):
+    out = []
+    for k, (value, _) in enumerate(entries):
+        at = (text or "").find(value) if value else -1
+        while at >= 0:
+            out.append((value, at))
+            at = text.find(value, at + len(value))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("rows", [100_000, 2])
+def test_list_occurrences(spark, monkeypatch, rows):
+    """By automaton and by grams alike: overlaps between values, repeats, short values, other scripts."""
+    monkeypatch.setattr(detect, "LIST_ROWS", rows)
+    entries = [("aa", "PERSON"), ("a", None), ("aab", "x"), ("漢字", "other"), ("😀😀", "PERSON"), ("long value here", "PERSON"), ("", "PERSON"), ("a.b", "PERSON")]
+    texts = ["aaaaab aab", "漢字漢字 a.b axb 😀😀😀", "a long value here, long value here", "", None, "nothing", "x\naa\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    listed = spark.createDataFrame(entries, "value string, category string").coalesce(1)
+    got = {r["doc_id"]: sorted((s["text"], s["start"]) for s in r["spans"]) for r in detect.literal_spans(docs, listed).collect()}
+    want = {k: model_occurrences(t, entries) for k, t in enumerate(texts)}
+    assert got == {k: v for k, v in want.items() if v}
+    spans = {s["text"]: s["entity_type"] for r in detect.literal_spans(docs, listed).collect() for s in r["spans"]}
+    assert spans["aa"] == "USER_DEFINED_PERSON" and spans["a"] == spans["aab"] == "USER_DEFINED_OTHER"
+    plan = detect.literal_spans(docs, listed)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert detect.literal_spans(docs, listed.limit(0)).count() == 0
+
+
+def test_unsafe_payloads(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    rows = [(1, json.dumps({"input": "a@b.example \ud800 end"})), (2, f'{{"input": "a@b.example", "x": {deep}}}'), (3, '{"input": "a@b.example"}'), (4, '{"input": '), (5, None), (6, json.dumps({"messages": [{"role": "user", "content": [{"type": "text", "text": "", "content": "c@d.example"}]}]}))]
+    out = {r["id"]: r for r in payloads.mask_payload(spark.createDataFrame(rows, "id int, body string"), "body", "openai", MAIL).collect()}
+    assert json.loads(out[1]["masked_body"])["input"] == "<EMAIL_ADDRESS_1> � end" and not out[1]["unreadable"]
+    assert out[2]["unreadable"] and out[2]["masked_body"] == rows[1][1] and out[4]["unreadable"] and out[4]["masked_body"] == rows[3][1]
+    assert json.loads(out[3]["masked_body"])["input"] == "<EMAIL_ADDRESS_1>" and not out[3]["unreadable"] and not out[5]["unreadable"] and out[5]["masked_body"] is None
+    assert json.loads(out[6]["masked_body"])["messages"][0]["content"][0]["text"] == "<EMAIL_ADDRESS_1>"
+
+
+def test_audit_table_in_order(spark, tmp_path):
+    """Records of a run over several partitions, and of a later run, come back newest first."""
+    docs = mask.sanitize(spark.range(0, 40, numPartitions=4).selectExpr("id AS doc_id", "concat('mail u', id, '@example.com') AS text"), MAIL)
+    for k, when in enumerate(("2024-05-01 10:00:00", "2024-05-02 10:00:00")):
+        records = audit.audit_records(docs, f"run{k}", created_at=F.to_timestamp(F.lit(when))).withColumn("elapsed_ms", F.regexp_extract(F.lit("0"), "0", 0).cast("int"))
+        audit.write_audit(records, str(tmp_path / "a"))
+    rows = audit.read_audit(spark, str(tmp_path / "a"))
+    got = audit.list_audits(rows, 80).collect()
+    keys = [(r["append_seq"], r["append_row"]) for r in got]
+    assert len(set(keys)) == 80 and keys == sorted(keys, reverse=True) and [r["request_type"] for r in got] == ["run1"] * 40 + ["run0"] * 40
+    recent = audit.filter_audits(rows, since="2024-05-02 00:00:00")
+    assert recent.count() == 40 and audit.filter_audits(rows, since="2030-01-01").count() == 0
+    assert "PartitionFilters: [isnotnull(day" in recent._jdf.queryExecution().executedPlan().toString()
+
+
+def test_earlier_choices_by_order(spark):
+    rows = spark.createDataFrame([("a", "X", True), ("b", "X", False)], "value string, category string, masked boolean")
+    none = spark.createDataFrame([], "category string, value string")
+    before = spark.createDataFrame([("a", 2, False), ("a", 1, True), ("b", 1, False), ("b", 3, True), ("b", 2, False)], "value string, ord int, masked boolean").repartition(3)
+    got = {r["value"]: r["masked"] for r in filters.resolve_row_state(rows, none, none, before).collect()}
+    assert got == {"a": False, "b": True}
+    assert {r["masked"] for r in filters.resolve_row_state(rows, none, none, before.drop("ord")).collect()} == {True}
+
+
+def streamed(spark, df, tmp_path, name, build, mode="append"):
+    df.write.parquet(str(tmp_path / name))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    ran(build(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start())
+    return spark.table(name)
+
+
+def test_first_seen_stream_equals_batch(spark, tmp_path):
+    rows = [(f"t{k % 2}", f"https://h{k % 5}.example/p/{k % 3}?q={k}", 1_700_000_000 + k) for k in range(60)]
+    df = spark.createDataFrame(rows, "tag string, url string, s long").select("tag", "url", F.timestamp_seconds("s").alias("ts")).repartition(4)
+    key = lambda d: sorted((r["tag"], r["route"]) for r in d.collect())
+    batch = key(streams.first_seen_urls(df))
+    assert len(batch) == len(set(batch)) == 30
+    assert key(streamed(spark, df, tmp_path, "seen_all", lambda s: streams.first_seen_urls(s))) == batch
+    assert key(streamed(spark, df, tmp_path, "seen_late", lambda s: streams.first_seen_urls(s, time="ts"))) == batch
+
+
+def test_audit_windows_stream_equals_batch(spark, tmp_path):
+    df = spark.createDataFrame([(1_700_000_000 + 97 * k, k % 4) for k in range(80)], "s long, detected_count int").select(F.timestamp_seconds("s").alias("ts"), "detected_count").repartition(4)
+    key = lambda d: sorted((r["start"], r["records"], r["detections"]) for r in d.collect())
+    got = key(streamed(spark, df, tmp_path, "windows", lambda s: streams.audit_windows(s), "complete"))
+    assert got == key(streams.audit_windows(df)) and len(got) > 10
