@@ -190,6 +190,11 @@ class TrieEncoder:
         for c, ws in split.items():
             self.chunks[c] = packed[ws[0]] if len(ws) == 1 else b"".join([packed[w] for w in ws])
 
+    def release(self) -> None:
+        """Gives the words of a finished task free: a worker lives on, and rare words seldom come back."""
+        self.chunks.clear()
+        self.packed.clear()
+
     def runs(self, text: str) -> list[str]:
         """Normalised white-space runs."""
         if PLAIN.fullmatch(text):
@@ -255,6 +260,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 if decoded:
                     cols.append(pa.array([enc.decode(x) for x in packed], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "ids", "decoded"][: len(cols)])
+        enc.release()
 
     rows = take(df, id=id_col, text=text_col)
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decoded)
@@ -278,6 +284,7 @@ def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     ],
                     names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        enc.release()
 
     rows = take(df, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()

@@ -51,6 +51,7 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     [s.column(0).take(pa.array(who, pa.int64())), pa.array(cols[:, 0].astype(np.int32)), *[pa.array(np.ascontiguousarray(cols[:, k])) for k in (1, 2, 3)]],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        enc.release()
 
     rows = take(df, id=id_col, text=text_col)
     return rows.mapInArrow(run, f"doc_id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
