@@ -100,8 +100,10 @@ def sanitize(docs: DataFrame, cfg: MaskConfig | None = None, text_col: str = "te
     chosen = filters.maskable(F.col("spans"), cfg.allow_types)
     if cfg.overlap == "disjoint":
         chosen = S.disjoint_spans(S.dedup_last(chosen))
-    masked = apply_strategy(raw, chosen, F.coalesce(F.col(strategy_col), F.lit(cfg.strategy)) if strategy_col else cfg.strategy)
-    return out.withColumn("sanitized_text", F.when(F.size("spans") > 0, masked).otherwise(raw)).drop("__safe")
+    # a column of its own: nested in the mask, the two would take more rounds to analyse than Spark allows
+    out = out.withColumn("__chosen", chosen)
+    masked = apply_strategy(raw, F.col("__chosen"), F.coalesce(F.col(strategy_col), F.lit(cfg.strategy)) if strategy_col else cfg.strategy)
+    return out.withColumn("sanitized_text", F.when(F.size("spans") > 0, masked).otherwise(raw)).drop("__safe", "__chosen")
 
 
 def placeholder_map(docs: DataFrame, id_col: str = "doc_id", spans_col: str = "spans") -> DataFrame:
