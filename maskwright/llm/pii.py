@@ -241,9 +241,10 @@ def draws(mentions: DataFrame, key: str) -> DataFrame:
         if bad.isEmpty():
             return cut(state.where(F.col("attempt") > 0).select("kind", "entity", "attempt"))
         state = state.join(bad, ["kind", "entity"], "left").repartition(spread)
-        attempt = F.col("attempt") + F.when(F.col("again"), 1).otherwise(0)
-        fresh = F.when(F.col("again"), surrogate(F.col("kind"), F.col("entity"), F.col("entity"), key, F.col("attempt") + 1)).otherwise(F.col("new"))
-        state = state.select("kind", "entity", attempt.alias("attempt"), fresh.alias("new"))
+        state = state.withColumn("attempt", F.col("attempt") + F.when(F.col("again"), 1).otherwise(0))
+        # a projection of its own: within one, a lambda would read the new attempt as a lateral alias
+        fresh = surrogate(F.col("kind"), F.col("entity"), F.col("entity"), key, F.col("attempt"))
+        state = state.select("kind", "entity", "attempt", F.when(F.col("again"), fresh).otherwise(F.col("new")).alias("new"))
 
 
 def replace(df: DataFrame, key: str = "demonstration-key", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

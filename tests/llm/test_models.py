@@ -447,6 +447,93 @@ def test_surrogates_stay_distinct(spark):
     assert not {o[0] for o in out} & {t.split(" and ")[0] for _, t in pairs}
 
 
+def test_surrogates_of_the_whole_table(spark):
+    """The query against a plain scan: the same entities, all else as it was, one surrogate for each entity and none twice."""
+    import regex
+
+    pattern = regex.compile(pii.PATTERN, regex.ASCII)
+    out = {r["doc_id"]: r for r in QUERIES["op8_pii"](spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    made, real = {}, set()
+    for d in docs:
+        text = d["text"] or ""
+        hits = list(pattern.finditer(text))
+        assert out[d["doc_id"]]["n_entities"] == len(hits)
+        cuts = [0, *[x for h in hits for x in h.span()], len(text)]
+        plain = [regex.escape(text[a:b]) for a, b in zip(cuts[::2], cuts[1::2])]
+        found = regex.fullmatch("(.+?)".join(plain), out[d["doc_id"]]["text"] or "", regex.S)
+        assert found, d["doc_id"]
+        for h, new in zip(hits, found.groups()):
+            entity = h[0].lower() if "@" in h[0] else h[0]
+            made.setdefault(entity, set()).add(new.lower() if "@" in h[0] else new)
+            real.add(entity)
+    assert len(made) > 50 and all(len(v) == 1 for v in made.values())
+    values = [v for vs in made.values() for v in vs]
+    assert len(set(values)) == len(values) and not set(values) & real
+
+
+def test_surrogates_of_a_carried_name(spark):
+    texts = ["Mr John Smith came. Later Smith said so, John too; Smithson not.", "Dr. Schmidt and Kowalski", "Herr Thomas met Thomas.", "Smith", "word " * 20_000 + "Mrs Mary Jones " + "word " * 20_000 + "Jones"]
+    rows = [(k, t, 9) for k, t in enumerate(texts)] + [(None, "mail a.b@c.dev", 9), (None, "123-45-6789", 9)]
+    out = pii.replace(spark.createDataFrame(rows, "doc_id long, text string, n_entities int"))
+    assert out.columns == ["doc_id", "text", "n_entities"]
+    got = {r["doc_id"]: r for r in out.where("doc_id IS NOT NULL").collect()}
+    given, one, two, alone = re.fullmatch(r"Mr (\w+) (\w+) came. Later (\w+) said so, (\w+) too; Smithson not.", got[0]["text"]).groups()
+    assert one == two != "Smith" and given == alone != "John" and got[0]["n_entities"] == 3
+    assert "Schmidt" not in got[1]["text"] and got[1]["text"].endswith("Kowalski") and "Thomas" not in got[2]["text"] and got[3]["text"] == "Smith"
+    assert "Jones" not in got[4]["text"] and got[4]["text"].split()[-1] == got[4]["text"].split()[20_002]
+    assert all("a.b" not in r["text"] and "123-45" not in r["text"] for r in out.where("doc_id IS NULL").collect())
+
+
+def test_surrogates_go_on_until_distinct(spark, monkeypatch):
+    """300 surnames where a first draw has 16 values: later draws are longer."""
+    monkeypatch.setattr(pii, "SYLLABLES", {"latin": ["ba", "be"], "cyrillic": ["ба", "бе"]})
+    letters = "abcdefghijklmnopqrst"
+    names = [f"A{x}{y}zz" for x in letters for y in letters][:300]
+    out = [r["text"] for r in pii.replace(spark.createDataFrame([(k, f"Mr {n}") for k, n in enumerate(names)], "doc_id long, text string")).collect()]
+    assert len(set(out)) == 300 and not {o[3:] for o in out} & set(names)
+
+
+def test_pipeline_on_odd_documents(spark):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in TEXTS] + [(None, "no id but text", None, None, None), (None, "no id but text", None, None, None), (7, "plain words here.", None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for kept in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES:
+            columns, kept = kept.columns, stage(spark, kept, SMALL)
+        assert columns == docs.columns
+        kept.count()
+
+
+def test_pipeline_against_plain_stages(spark):
+    """The whole run against each stage done plainly, one document after the other."""
+    import zlib
+
+    from tests.llm.test_text import brute_fingerprint, check_packing, classes, ids_of
+    from tokenizers import Tokenizer
+
+    from maskwright.llm.queries import vocabulary
+
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    good = quality.train(docs, labels)
+    text = {i: t for i, t in text.items() if good.score(np.array([quality.features(t)]))[0] >= quality.THRESHOLD}
+    clean = toxicity.train(docs.where(F.col("doc_id").isin(list(text))), labels)
+    text = {i: t for i, t in text.items() if clean.score(t) < toxicity.THRESHOLD}
+    group = classes({i: brute_fingerprint(t) for i, t in text.items()})
+    text = {i: t for i, t in text.items() if group[i] == i}
+    text = {r["doc_id"]: r["text"] for r in pii.replace(docs.where(F.col("doc_id").isin(list(text)))).collect()}
+    library = Tokenizer.from_file(vocabulary())
+    library.no_truncation()
+    want = Counter()
+    for i, t in text.items():
+        ids = ids_of(library, t) + b"\0\0\0\0"
+        for n, k in enumerate(range(0, len(ids), 4 * 2048)):
+            want[i, n, k // 4, len(ids[k : k + 8192]) // 4, zlib.crc32(ids[k : k + 8192])] += 1
+    rows = corpus_pipeline.run(spark, SMALL).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    check_packing(rows, 2048)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept, sizes = docs, [docs.count()]
