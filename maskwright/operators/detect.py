@@ -103,21 +103,24 @@ def _by_automaton(docs: DataFrame, listed: list[tuple[str, str]], id_col: str, t
             automaton.add_word(value, (len(value), numbers))
         if same:
             automaton.make_automaton()
-        kind = pa.list_(pa.struct([("k", pa.int64()), ("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
+        labels, values = pa.array([e[1] for e in entries], pa.string()), pa.array([e[0] for e in entries], pa.string())
         for b in parts:
-            ids, found = [], []
+            ids, hits, ends = [], [], [0]
             for n, text in enumerate(b.column(1).to_pylist()):
                 free: dict[int, int] = {}
-                hits = []
+                own = []
                 for last, (size, numbers) in automaton.iter(text) if text and same else ():
-                    start = last + 1 - size
-                    if start >= free.get(numbers[0], 0):
+                    if last + 1 - size >= free.get(numbers[0], 0):
                         free[numbers[0]] = last + 1
-                        hits += [(k, entries[k][1], start, last + 1, entries[k][0]) for k in numbers]
-                if hits:
+                        own += [(k, last + 1 - size, last + 1) for k in numbers]
+                if own:
+                    own.sort()
                     ids.append(n)
-                    found.append([dict(zip(("k", "label", "start", "end", "text"), h)) for h in sorted(hits)])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(found, kind)], names=["id", "found"])
+                    hits += own
+                    ends.append(len(hits))
+            k, start, end = (pa.array(c, t) for c, t in zip(zip(*hits) if hits else ((), (), ()), (pa.int64(), pa.int32(), pa.int32())))
+            found = pa.StructArray.from_arrays([k, labels.take(k), start, end, values.take(k)], names=["k", "label", "start", "end", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], names=["id", "found"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, found array<{item}>").withColumnRenamed("id", id_col)
 
