@@ -148,11 +148,11 @@ def hasher(hashed: np.ndarray, members: np.ndarray) -> Callable[[str], str]:
 
 def likeness(a: Column, b: Column) -> Column:
     """The share, from 0 to 1, of equal hashes among the sparsest lexicons that hold a term of either text."""
+    marks = lambda x: F.regexp_extract_all(x, F.lit("." * DIGITS), F.lit(0))
     nothing = "0" * DIGITS
-    part = lambda x, j: F.substr(x, j * DIGITS + 1, F.lit(DIGITS))
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda j: F.struct(part(a, j).alias("a"), part(b, j).alias("b")))
-    seen = F.slice(F.filter(pairs, lambda p: (p["a"] != nothing) | (p["b"] != nothing)), 1, SEEN)
-    share = lambda s: F.when(F.size(s) == 0, 1.0).otherwise(F.size(F.filter(s, lambda p: p["a"] == p["b"])) / F.size(s))
+    same = lambda x, y: F.when((x != nothing) | (y != nothing), x == y)
+    seen = F.slice(F.array_compact(F.zip_with(marks(a), marks(b), same)), 1, SEEN)
+    share = lambda s: F.when(F.size(s) == 0, 1.0).otherwise(F.size(F.filter(s, lambda x: x)) / F.size(s))
     return F.when(a == b, 1.0).otherwise(F.transform(F.array(seen), share)[0])
 
 
