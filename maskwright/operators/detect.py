@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import labels
 from maskwright.functions import spans as S
+from maskwright.functions.arrow import appended
 from maskwright.functions.patterns import CLASS_GATES, PRESETS
 from maskwright.plans.config import MaskConfig
 
@@ -66,82 +68,135 @@ def force_list_spans(text: Column, entries: list[tuple[str, str | None]]) -> Col
     return F.concat(*found) if found else S.none()
 
 
-#: Entries and characters of a list up to which it is broadcast as one automaton.
-LIST_ROWS, LIST_CHARS = 100_000, 4_000_000
-#: Characters of a value by which longer lists are joined.
-GRAM = 4
+#: Entries and characters of a list that one automaton takes (some 250 MB at most), and automata that a list may need.
+LIST_ROWS, LIST_CHARS, LIST_PARTS = 400_000, 4_000_000, 8
+#: Characters of the grams by which longer lists are joined.
+GRAM = 6
+FOUND = "array<struct<k:bigint,label:string,start:int,end:int,text:string>>"
 
 
-def occurrences(docs: DataFrame, entries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, found): for each document that holds a value of a list (value, category) its occurrences, an
-    array<struct<k, label, start, end, text>> in order of entry and place. The occurrences of a value don't overlap.
+def with_occurrences(docs: DataFrame, entries: DataFrame, text_col: str = "text", into: str = "found") -> DataFrame:
+    """``docs`` with the occurrences of the values of a list (value, category) in each text: array<struct<k, label, start, end, text>>
+    in order of entry and place, empty where there are none. The occurrences of a value don't overlap.
 
-    A list within ``LIST_ROWS`` and ``LIST_CHARS`` goes over each text as one automaton, without a shuffle; a longer one is
-    joined with the texts by the first ``GRAM`` characters of its values.
+    They come as a column of the same row, whatever ids rows have, repeated or none. A list within ``LIST_PARTS`` times
+    ``LIST_ROWS`` and ``LIST_CHARS`` goes over each text as automata, one at a time, without a shuffle. With a longer one a text
+    meets a value only if it holds that one of the value's grams that the fewest texts hold.
     """
     e = entries.where(F.length("value") > 0).select("value", entity_type_for(F.col("category")).alias("label"))
-    head = e.limit(LIST_ROWS + 1).collect()
-    if len(head) <= LIST_ROWS and sum(len(r["value"]) for r in head) <= LIST_CHARS:
-        return _by_automaton(docs, [(r["value"], r["label"]) for r in head], id_col, text_col)
-    return _by_grams(docs, e.withColumn("k", F.monotonically_increasing_id()), id_col, text_col)
-
-
-def _by_automaton(docs: DataFrame, listed: list[tuple[str, str]], id_col: str, text_col: str) -> DataFrame:
-    item = "struct<k:bigint,label:string,start:int,end:int,text:string>"
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(listed)
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        entries = shared.value
-        same: dict[str, list[int]] = {}
-        for k, (value, _) in enumerate(entries):
-            same.setdefault(value, []).append(k)
-        automaton = ahocorasick.Automaton()
-        for value, numbers in same.items():
-            automaton.add_word(value, (len(value), numbers))
-        if same:
-            automaton.make_automaton()
-        labels, values = pa.array([e[1] for e in entries], pa.string()), pa.array([e[0] for e in entries], pa.string())
-        for b in parts:
-            ids, hits, ends = [], [], [0]
-            for n, text in enumerate(b.column(1).to_pylist()):
-                free: dict[int, int] = {}
-                own = []
-                for last, (size, numbers) in automaton.iter(text) if text and same else ():
-                    if last + 1 - size >= free.get(numbers[0], 0):
-                        free[numbers[0]] = last + 1
-                        own += [(k, last + 1 - size, last + 1) for k in numbers]
-                if own:
-                    own.sort()
-                    ids.append(n)
-                    hits += own
-                    ends.append(len(hits))
-            k, start, end = (pa.array(c, t) for c, t in zip(zip(*hits) if hits else ((), (), ()), (pa.int64(), pa.int32(), pa.int32())))
-            found = pa.StructArray.from_arrays([k, labels.take(k), start, end, values.take(k)], names=["k", "label", "start", "end", "text"])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], names=["id", "found"])
-
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, found array<{item}>").withColumnRenamed("id", id_col)
-
-
-def _by_grams(docs: DataFrame, entries: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A text meets a value only where one of its grams (of each size up to ``GRAM``) is how the value begins."""
-    e = entries.withColumn("gram", F.left("value", F.lit(GRAM)))
-    text = F.col(text_col)
-    grams = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, GRAM + 1)])))
-    met = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("print"), F.explode(grams).alias("gram")).join(e, "gram").select("id", "print", "value", "label", "k").distinct()
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("print"), text.alias("text")).dropDuplicates(["id", "print"])
-    held = rows.join(met, ["id", "print"]).where(F.contains("text", F.col("value")))
-    hit = lambda s: F.struct(F.col("k"), F.col("label"), s["start"].alias("start"), s["end"].alias("end"), F.col("value").alias("text"))
-    each = held.select("id", "print", F.transform(S.literal_spans(S.safe(F.col("text")), F.col("value"), F.col("label")), hit).alias("hits"))
-    return each.groupBy("id", "print").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("found")).select(F.col("id").alias(id_col), "found")
+    size = e.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("value")), F.lit(0)).alias("chars")).first()
+    parts = max(1, -(-size["n"] // LIST_ROWS), -(-size["chars"] // LIST_CHARS))
+    if parts <= LIST_PARTS:
+        return appended(docs, [text_col], _by_automata(docs, e.toArrow(), parts), into, FOUND)
+    return _by_rarest_gram(docs, e.withColumn("k", F.monotonically_increasing_id()), text_col, into)
+
+
+def occurrences(docs: DataFrame, entries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, found) of ``with_occurrences`` for each row whose text holds a value. Joined back by id, rows must have one of their own."""
+    return with_occurrences(docs.select(id_col, text_col), entries, text_col, "found").where(F.size("found") > 0).select(id_col, "found")
+
+
+def _automaton(values: list[str]):
+    """An automaton over distinct values, each with its length and places in the list."""
+    import ahocorasick
+
+    same: dict[str, list[int]] = {}
+    for k, value in enumerate(values):
+        same.setdefault(value, []).append(k)
+    automaton = ahocorasick.Automaton()
+    for value, numbers in same.items():
+        automaton.add_word(value, (len(value), numbers))
+    if same:
+        automaton.make_automaton()
+    return automaton
+
+
+def _hits(automaton, text: str | None) -> list[tuple[int, int, int]]:
+    """(place in the list, start, end): those of one value from left to right without overlap."""
+    free: dict[int, int] = {}
+    own = []
+    for last, (size, numbers) in automaton.iter(text) if text and len(automaton) else ():
+        if last + 1 - size >= free.get(numbers[0], 0):
+            free[numbers[0]] = last + 1
+            own += [(k, last + 1 - size, last + 1) for k in numbers]
+    return sorted(own)
+
+
+def _lists(rows: list[list], kinds: list[pa.DataType], names: list[str]) -> pa.Array:
+    """An array of lists of structs, from a list of tuples for each row."""
+    flat = [x for row in rows for x in row]
+    ends = pa.array([0, *accumulate(map(len, rows))], pa.int32())
+    columns = [pa.array(c, t) for c, t in zip(zip(*flat) if flat else [()] * len(kinds), kinds)]
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, names=names))
+
+
+def _by_automata(docs: DataFrame, listed: pa.Table, parts: int) -> Callable[[], Callable[[pa.Array], pa.Array]]:
+    step = -(-max(1, listed.num_rows) // parts)
+    shared = docs.sparkSession.sparkContext.broadcast([listed.slice(k * step, step).combine_chunks() for k in range(parts)])
+
+    def make() -> Callable[[pa.Array], pa.Array]:
+        tables = shared.value
+        values, labels_ = (pa.concat_arrays([c for t in tables for c in t.column(n).chunks] or [pa.array([], pa.string())]) for n in ("value", "label"))
+        build = lambda k: _automaton(tables[k].column("value").to_pylist())
+        only = build(0) if parts == 1 else None
+
+        def run(texts: pa.Array) -> pa.Array:
+            held = texts.to_pylist()
+            rows: list[list[tuple[int, int, int]]] = [[] for _ in held]
+            for k in range(parts):
+                automaton = only or build(k)
+                for own, text in zip(rows, held):
+                    own += [(k * step + n, start, end) for n, start, end in _hits(automaton, text)]
+            found = _lists(rows, [pa.int64(), pa.int32(), pa.int32()], ["k", "start", "end"])
+            k, start, end = found.values.flatten()
+            return pa.ListArray.from_arrays(found.offsets, pa.StructArray.from_arrays([k, labels_.take(k), start, end, values.take(k)], names=["k", "label", "start", "end", "text"]))
+
+        return run
+
+    return make
+
+
+def _grams(text: Column, n: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
+def _by_rarest_gram(docs: DataFrame, entries: DataFrame, text_col: str, into: str) -> DataFrame:
+    """Texts and values brought together by the values' rarest grams; equal texts are looked at once."""
+    key = F.sha2(F.col(f"`{text_col}`"), 256)
+    texts = docs.select(key.alias("print"), F.col(f"`{text_col}`").alias("t")).where("t IS NOT NULL").dropDuplicates(["print"])
+    short = sorted(r[0] for r in entries.where(F.length("value") < GRAM).select(F.length("value")).distinct().collect())
+    of_value = entries.select("k", "value", "label", F.explode(F.when(F.length("value") < GRAM, F.array("value")).otherwise(F.array_distinct(_grams(F.col("value"), GRAM)))).alias("gram"))
+    of_text = texts.select("print", F.explode(F.array_distinct(F.concat(*[_grams(F.col("t"), n) for n in (*short, GRAM)]))).alias("gram")).join(of_value.select("gram").distinct(), "gram", "left_semi")
+    held = of_value.join(of_text.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    # a gram that no text holds: neither does one hold the value
+    rarest = held.groupBy("k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"), F.first("value").alias("value"), F.first("label").alias("label")).where("r.n > 0")
+    met = of_text.join(rarest.select("k", "value", "label", F.col("r.gram").alias("gram")), "gram")
+    each = met.groupBy("print").agg(F.sort_array(F.collect_list(F.struct("k", "label", "value"))).alias("list"))
+    hits = each_occurrence(texts.join(each, "print").select(F.col("print").alias("__print"), "t", "list", F.transform("list", lambda x: x["value"]).alias("values")), "t", "values", "hits")
+    item = lambda h: F.struct(F.element_at("list", h["i"] + 1)["k"].alias("k"), F.element_at("list", h["i"] + 1)["label"].alias("label"), h["start"].alias("start"), h["end"].alias("end"), F.element_at("list", h["i"] + 1)["value"].alias("text"))
+    found = hits.select("__print", F.transform("hits", item).alias("__found"))
+    out = docs.drop(into).withColumn("__print", key).join(found, "__print", "left")
+    return out.withColumn(into, F.coalesce("__found", F.array().cast(FOUND))).drop("__print", "__found")
+
+
+def each_occurrence(df: DataFrame, text_col: str, values_col: str, into: str) -> DataFrame:
+    """``df`` with array<struct<i, start, end>>: the occurrences of each row's own values in its text, by an automaton for each row."""
+
+    def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        rows = [_hits(_automaton([v or "" for v in own]), t) if own else [] for t, own in zip(texts.to_pylist(), lists.to_pylist())]
+        return _lists(rows, [pa.int32(), pa.int32(), pa.int32()], ["i", "start", "end"])
+
+    return appended(df, [text_col, values_col], lambda: run, into, "array<struct<i:int,start:int,end:int>>")
 
 
 def literal_spans(docs: DataFrame, entries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans) of a force-list table (value, category), for documents that hold one of its values."""
-    span = lambda x: S.span(x["label"], x["start"], x["end"], F.lit(1.0), x["text"], "literal")
-    return occurrences(docs, entries, id_col, text_col).select(id_col, F.transform("found", span).alias("spans"))
+    return occurrences(docs, entries, id_col, text_col).select(id_col, listed_spans(F.col("found")).alias("spans"))
+
+
+def listed_spans(found: Column) -> Column:
+    """The spans of a column of ``with_occurrences``."""
+    return F.transform(found, lambda x: S.span(x["label"], x["start"], x["end"], F.lit(1.0), x["text"], "literal"))
 
 
 def token_spans(tokens: DataFrame, pos_patterns: list[list[str]] | None = None) -> DataFrame:
@@ -160,15 +215,23 @@ def prefer_surname(spans: DataFrame) -> DataFrame:
 
 
 def piece_offsets(text: Column, pieces: Column) -> Column:
-    """array<struct<start,end>> of word pieces, with empty spans for the two outer markers."""
-    start = F.struct(F.lit(0).alias("at"), F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))).alias("out"))
+    """array<struct<start,end>> of word pieces, with empty spans for the two outer markers.
 
-    def step(acc: Column, piece: Column) -> Column:
-        body = F.when(piece.startswith("##"), F.length(piece) - 2).otherwise(F.length(piece))
-        skipped = acc["at"] + F.length(F.regexp_extract(F.substr(text, acc["at"] + 1, F.length(text)), r"^(\s*)", 1))
-        return F.struct((skipped + body).alias("at"), F.concat(acc["out"], F.array(F.struct(skipped.alias("start"), (skipped + body).alias("end")))).alias("out"))
-
-    return F.aggregate(pieces, start, step, lambda acc: F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), acc["at"].alias("end")))))
+    Where the next piece begins is looked up by place: the text is split once where space begins or ends, and each place of
+    a stretch of space leads to its end.
+    """
+    stretches = F.filter(F.split(text, r"(?<=\s)(?=\S)|(?<=\S)(?=\s)", -1), lambda p: p != "")
+    leads = lambda p, at: F.when(p.rlike(r"^\s"), F.array_repeat(at + F.length(p), F.length(p))).otherwise(F.sequence(at, at + F.length(p) - 1))
+    places = lambda p: F.flatten(S.scanned(p, F.lit(0), lambda at, x: at + F.length(x), lambda at, x: leads(x, at)))
+    body = lambda piece: F.when(piece.startswith("##"), F.length(piece) - 2).otherwise(F.length(piece))
+
+    def offsets(next_: Column) -> Column:
+        begin = lambda at: F.coalesce(F.get(next_, at), at)
+        inner = S.scanned(pieces, F.lit(0), lambda at, x: begin(at) + body(x), lambda at, x: F.struct(begin(at).alias("start"), (begin(at) + body(x)).alias("end")))
+        last = lambda x: F.coalesce(F.get(x, F.size(x) - 1)["end"], F.lit(0))
+        return S.let(inner, lambda x: F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), x, F.array(F.struct(last(x).alias("start"), last(x).alias("end")))))
+
+    return S.let(S.let(stretches, places), offsets)
 
 
 def bio_spans(tokens: DataFrame) -> DataFrame:

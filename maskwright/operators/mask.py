@@ -77,8 +77,9 @@ def apply_strategy(text: Column, spans: Column, strategy: str | Column) -> Colum
 
 def mask_triples(text: Column, triples: Column) -> Column:
     """Chosen array<struct<start,end,label>> as numbered tags; bad offsets are skipped, a missing label is MASKED."""
-    spans = F.transform(triples, lambda t: S.span(F.coalesce(t["label"], F.lit("MASKED")), t["start"], t["end"], F.lit(1.0), F.substr(text, t["start"] + 1, t["end"] - t["start"])))
-    return S.let(S.valid_spans(spans, text), lambda x: _tagged(text, x, S.surface_numbers(x)))
+    span = lambda cut, t: S.span(F.coalesce(t["label"], F.lit("MASKED")), t["start"], t["end"], F.lit(1.0), S.between(cut, t["start"], t["end"]))
+    spans = S.let(S.blocks(text), lambda cut: F.transform(S.valid_spans(triples, text), lambda t: span(cut, t)))
+    return S.let(spans, lambda x: _tagged(text, x, S.surface_numbers(x)))
 
 
 def sanitize(docs: DataFrame, cfg: MaskConfig | None = None, text_col: str = "text", statistical: str | None = None, tokens: str | None = None, demoted: str | None = None, strategy_col: str | None = None) -> DataFrame:
@@ -131,15 +132,35 @@ def unique_tags(replacements: Column) -> Column:
         ),
         lambda r: F.coalesce(r["original"] != "", F.lit(False)),
     )
-    first = S.let(keyed, lambda k: F.filter(k, lambda r, i: F.array_position(F.transform(k, lambda x: x["original"]), r["original"]) == i + 1))
-    nth = lambda rows, r, i: F.size(F.filter(F.slice(rows, 1, i + 1), lambda e: e["base"] == r["base"])).cast("string")
-    tag = lambda rows, r, i: F.concat(F.lit("<"), r["base"], F.lit("_"), nth(rows, r, i), F.lit(">"))
-    return S.let(first, lambda rows: F.transform(rows, lambda r, i: F.struct(r["original"].alias("original"), tag(rows, r, i).alias("replacement"), r["entity_type"].alias("entity_type"))))
-
-
-def rewrite_with_tags(text: Column, replacements: Column) -> Column:
-    """struct<rewritten_text, replacements>: every occurrence of each original tagged, longest first."""
-    safe = S.safe(text)
-    hits = lambda tags: F.flatten(F.transform(tags, lambda r: S.literal_spans(safe, r["original"], r["replacement"])))
-    whole = lambda tags: F.struct(S.spliced(text, S.disjoint_spans(hits(tags)), lambda s: s["entity_type"]).alias("rewritten_text"), tags.alias("replacements"))
-    return S.let(unique_tags(replacements), whole)
+    return S.let(S.let(keyed, _firsts), _numbered_tags)
+
+
+def _firsts(rows: Column) -> Column:
+    """The first row of each original, in order."""
+    keys = F.sort_array(F.transform(rows, lambda r, i: F.struct(r["original"].alias("original"), i.alias("i"))))
+    new = lambda k, x, j: (j == 0) | (k[F.greatest(j - 1, F.lit(0))]["original"] != x["original"])
+    places = S.let(keys, lambda k: F.sort_array(F.transform(F.filter(k, lambda x, j: new(k, x, j)), lambda x: x["i"])))
+    return F.transform(places, lambda i: rows[i])
+
+
+def _numbered_tags(rows: Column) -> Column:
+    """A tag for each row, numbered within its base: by sorting the bases, and back."""
+    keys = F.sort_array(F.transform(rows, lambda r, i: F.struct(r["base"].alias("base"), i.alias("i"))))
+    zero = F.struct(F.lit(None).cast("string").alias("base"), F.lit(0).alias("n"))
+    count = lambda acc, x: F.struct(x["base"].alias("base"), (F.when(acc["base"].eqNullSafe(x["base"]), acc["n"]).otherwise(0) + 1).alias("n"))
+    placed = S.scanned(keys, zero, count, lambda acc, x: F.struct(x["i"].alias("i"), count(acc, x)["n"].alias("n")))
+    tag = lambda r, n: F.struct(r["original"].alias("original"), F.concat(F.lit("<"), r["base"], F.lit("_"), n.cast("string"), F.lit(">")).alias("replacement"), r["entity_type"].alias("entity_type"))
+    return S.let(F.sort_array(placed), lambda p: F.transform(rows, lambda r, i: tag(r, p[i]["n"])))
+
+
+def rewrite_with_tags(df: DataFrame, text_col: str = "text", replacements_col: str = "replacements", into: str = "rewritten") -> DataFrame:
+    """``df`` with a struct<rewritten_text, replacements>: every occurrence of each original tagged, longest first.
+
+    The occurrences of all originals are found in one pass over the text.
+    """
+    text = F.col(f"`{text_col}`")
+    tagged = df.withColumn("__tags", unique_tags(F.col(f"`{replacements_col}`"))).withColumn("__values", F.transform("__tags", lambda r: r["original"]))
+    hits = detect.each_occurrence(tagged, text_col, "__values", "__hits")
+    span = lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.element_at("__tags", h["i"] + 1)["replacement"].alias("put"))
+    done = S.spliced(text, S.disjoint_spans(F.transform("__hits", span)), lambda s: s["put"])
+    return hits.withColumn(into, F.when(text.isNotNull() & F.col("__tags").isNotNull(), F.struct(done.alias("rewritten_text"), F.col("__tags").alias("replacements")))).drop("__tags", "__values", "__hits")

@@ -1,21 +1,23 @@
 """Chat payloads: texts taken out of JSON bodies, masked and put back.
 
-What lies where in a body depends on the service and bodies keep keys of their own, so taking out and putting
-back walk the parsed JSON in one small Arrow-batched function; masking itself is Columns, inside the row.
+What lies where in a body depends on the service and bodies keep keys of their own. One small Arrow-batched function
+(``located``) reads each body once and says where its texts stand; taking out, masking and putting back are Columns, inside
+the row. A masked text goes in at its place, so all else of a body stays as it is, to the character.
 """
 
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from maskwright.functions import spans as S
+from maskwright.functions.arrow import appended
 from maskwright.plans.config import MaskConfig
 
 from . import detect, filters, mask
@@ -83,17 +85,57 @@ def slots(body: Any, service: str) -> Iterator[tuple[Any, Any]]:
         yield from ((p, "text") for p in _list(body.get("content")) if p.get("type") == "text" and held(p, "text"))
 
 
-def _parsed(raw: Any) -> Any:
+class Placed(str):
+    """A string of a JSON text that knows where its literal stands, quotes included."""
+
+    start: int
+    end: int
+
+
+class Twice(ValueError):
+    """An object names a key twice, of which the last counts."""
+
+
+def _once(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise Twice
+    return found
+
+
+def _placing() -> json.JSONDecoder:
+    """A decoder whose string values are ``Placed``."""
+    plain = json.decoder.scanstring
+
+    def string(text: str, at: int, strict: bool = True) -> tuple[Placed, int]:
+        value, end = plain(text, at, strict)
+        placed = Placed(value)
+        placed.start, placed.end = at - 1, end
+        return placed, end
+
+    decoder = json.JSONDecoder(object_pairs_hook=_once)
+    decoder.parse_string = string
+    decoder.scan_once = json.scanner.py_make_scanner(decoder)
+    return decoder
+
+
+#: Levels of nesting up to which bodies are read.
+DEEPEST = 5_000
+
+
+def _parsed(raw: Any, decoder: json.JSONDecoder | None = None) -> Any:
     """The value of a JSON text, or none; also none for what is nested too deeply to be walked."""
     try:
-        return json.loads(raw)
+        return decoder.decode(raw) if decoder else json.loads(raw)
+    except Twice:
+        raise
     except (TypeError, ValueError, RecursionError):
         return None
 
 
 def _whole(text: str) -> str:
     """The text with lone surrogates, which no column can hold, as U+FFFD."""
-    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return str(text) if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def _nested(body: Any) -> list[str]:
@@ -109,51 +151,80 @@ def _nested(body: Any) -> list[str]:
     return found
 
 
-def _texts(raw: Any, service: str) -> list[str]:
-    body = _parsed(raw)
-    found = []
+def _at(box: Any, key: Any) -> Any:
+    return box[key] if isinstance(box, list) else box.get(key)
+
+
+def _read(raw: str, service: str, decoder: json.JSONDecoder) -> tuple[str, list[tuple[str, int, int]], list[str], bool]:
+    """(body, (text, start, end) of each text to mask, texts that can't be put back, unreadable).
+
+    A body is written anew only where an object names a key twice, or where a text's place holds no string.
+    """
+    try:
+        body = _parsed(raw, decoder)
+    except Twice:
+        body = _parsed(raw)
+        return _read(_whole(json.dumps(body, ensure_ascii=False)), service, decoder) if isinstance(body, dict) else (raw, [], [], False)
+    if not isinstance(body, dict):
+        return raw, [], [], body is None and raw.strip() != "null"
+    found, odd = [], False
     for box, key in slots(body, service):
-        value = box[key] if isinstance(box, list) else box.get(key)
+        value = place = _at(box, key)
         if service == "openai" and key == "text":  # an empty text falls back to the part's content
             value = value or box.get("content")
-        found.append(_whole(str(value or "")))
-    return found + ([_whole(t) for t in _nested(body)] if service == "c" else [])
+        if isinstance(place, Placed):
+            found.append((_whole(str(value or "")), place.start, place.end))
+        else:
+            box[key], odd = str(value or ""), True
+    if odd:
+        return _read(_whole(json.dumps(body, ensure_ascii=False)), service, decoder)
+    return raw, found, [_whole(t) for t in _nested(body)] if service == "c" else [], False
 
 
-def extract_inputs(df: DataFrame, body_col: str, service: str, into: str = "texts") -> DataFrame:
-    """``df`` with the texts of each body as array<string>; empty for what is no JSON object."""
-    at = df.columns.index(body_col)
+LOCATED = "struct<body:string,places:array<struct<text:string,start:int,end:int>>,nested:array<string>,unreadable:boolean>"
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            texts = pa.array([_texts(raw, service) for raw in b.column(at).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, into])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.StringType()))]))
+def located(df: DataFrame, body_col: str, service: str, into: str = "__at") -> DataFrame:
+    """``df`` with what ``_read`` says of each body; nothing is found in null ones."""
 
+    def run(bodies: pa.Array) -> pa.Array:
+        decoder = _placing()
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(limit, 3 * DEEPEST))
+        try:
+            rows = [(None, [], [], False) if raw is None else _read(raw, service, decoder) for raw in bodies.to_pylist()]
+        finally:
+            sys.setrecursionlimit(limit)
+        place = pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+        columns = [[r[0] for r in rows], [[dict(zip(("text", "start", "end"), x)) for x in r[1]] for r in rows], [r[2] for r in rows], [r[3] for r in rows]]
+        kinds = [pa.string(), pa.list_(place), pa.list_(pa.string()), pa.bool_()]
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["body", "places", "nested", "unreadable"])
 
-def replace_inputs(df: DataFrame, body_col: str, masked_col: str, service: str, into: str = "masked_body") -> DataFrame:
-    """``df`` with the body whose texts are replaced in turn by those of an array, all other keys staying, and ``unreadable``:
-    whether a body was passed on as it is, because it is no JSON or nested too deeply."""
-    at, new = df.columns.index(body_col), df.columns.index(masked_col)
+    return appended(df, [body_col], lambda: run, into, LOCATED)
+
+
+def _texts(at: Column) -> Column:
+    return F.concat(F.transform(at["places"], lambda p: p["text"]), at["nested"])
 
-    def one(raw: Any, texts: list[str] | None) -> tuple[Any, bool]:
-        body = _parsed(raw)
-        if not isinstance(body, dict):
-            return raw, raw is not None and body is None and raw.strip() != "null"
-        for (box, key), value in zip(list(slots(body, service)), texts or []):
-            box[key] = value
-        try:
-            return _whole(json.dumps(body, ensure_ascii=False)), False
-        except RecursionError:
-            return raw, True
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            done = [one(raw, texts) for raw, texts in zip(b.column(at).to_pylist(), b.column(new).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.bool_())], names=[*b.schema.names, into, "unreadable"])
+def put_back(at: Column, masked: Column) -> Column:
+    """The body of ``located`` with the texts of an array at their places, in turn; texts that stayed the same aren't touched."""
+    literal = lambda m: F.regexp_extract(F.to_json(F.array(m)), r"(?s)^\[(.*)\]$", 1)
+    edit = lambda p, m: F.when(m.isNotNull() & (m != p["text"]), F.struct(p["start"].alias("start"), p["end"].alias("end"), literal(m).alias("put")))
+    edits = F.array_compact(F.transform(at["places"], lambda p, i: edit(p, F.get(masked, i))))
+    return F.coalesce(S.let(edits, lambda x: S.spliced(at["body"], x, lambda s: s["put"])), at["body"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.StringType()), T.StructField("unreadable", T.BooleanType())]))
+
+def extract_inputs(df: DataFrame, body_col: str, service: str, into: str = "texts") -> DataFrame:
+    """``df`` with the texts of each body as array<string>; empty for what is no JSON object."""
+    return located(df, body_col, service).withColumn(into, _texts(F.col("__at"))).drop("__at")
+
+
+def replace_inputs(df: DataFrame, body_col: str, masked_col: str, service: str, into: str = "masked_body") -> DataFrame:
+    """``df`` with the body whose texts are replaced in turn by those of an array, and ``unreadable``: whether a body was
+    passed on as it is, because it is no JSON or nested too deeply."""
+    at = F.col("__at")
+    return located(df, body_col, service).withColumn(into, put_back(at, F.col(f"`{masked_col}`"))).withColumn("unreadable", at["unreadable"]).drop("__at")
 
 
 def found_in_texts(texts: Column, cfg: MaskConfig) -> Column:
@@ -169,13 +240,14 @@ def masked_texts(found: Column, cfg: MaskConfig) -> Column:
 def mask_payload(df: DataFrame, body_col: str, service: str = "openai", cfg: MaskConfig | None = None) -> DataFrame:
     """``df`` with ``texts``, ``masked_body``, ``unreadable`` (the body is passed on as it is) and ``unreplaced`` (texts were
     found that can't be put back). Lone surrogates become U+FFFD."""
-    cfg = cfg or MaskConfig()
-    out = extract_inputs(df, body_col, service)
+    cfg, at = cfg or MaskConfig(), F.col("__at")
+    out = located(df, body_col, service).withColumn("texts", _texts(at))
     new = F.col("texts")
     if cfg.filter_enabled:
         out, new = out.withColumn("__found", found_in_texts(F.col("texts"), cfg)), masked_texts(F.col("__found"), cfg)
-    nested = F.coalesce(F.get_json_object(F.col(body_col), "$['f.req']").isNotNull() & (F.size("texts") > 0), F.lit(False)) if service == "c" else F.lit(False)
-    return replace_inputs(out.withColumn("__masked", new).drop("__found"), body_col, "__masked", service).drop("__masked").withColumn("unreplaced", nested)
+    nested = F.size(at["nested"]) > 0
+    done = out.withColumn("__masked", new).withColumn("masked_body", put_back(at, F.col("__masked"))).withColumn("unreadable", at["unreadable"]).withColumn("unreplaced", nested)
+    return done.drop("__at", "__found", "__masked")
 
 
 def text_segments(body: Column) -> Column:

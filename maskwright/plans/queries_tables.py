@@ -37,10 +37,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("SELECT doc_id, text, lang FROM documents WHERE lang = 'de'")
+@query("SELECT doc_id, text, lang FROM documents")
 def read_documents(spark, sf_dir):
-    """The document scan, with filter and columns pushed down."""
-    return sources.read_documents(spark, f"{sf_dir}/documents.parquet").where("lang = 'de'").select("doc_id", "text", "lang")
+    """The document scan, with only the columns that are asked for."""
+    return sources.read_documents(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
 
 
 @query("SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, coalesce(text, '')) AS text, CAST(count(*) AS INTEGER) AS pages, string_agg(CAST(turn AS VARCHAR) || ':' || CAST(length(coalesce(text, '')) AS VARCHAR), ',' ORDER BY turn, coalesce(text, '')) AS meta FROM conversations GROUP BY conv_id")
@@ -232,16 +232,19 @@ def bodies(spark, sf_dir, service: str) -> DataFrame:
 
 
 _MAIL = f"({O.spliced(MEMOS, O.last_of_equal(O.numbered(O.resolved(O.matches(f'({MEMOS})', O.presets(['EMAIL_ADDRESS']))))), O.TAG)})"
+_DETECTED = f"SELECT * FROM ({O.resolved(O.matches(f'({MEMOS})', O.presets()))}) WHERE text NOT IN ({', '.join(map(quoted, MaskConfig().blocklist))})"
+_ALL = f"({O.spliced(MEMOS, O.last_of_equal(O.numbered(_DETECTED)), O.TAG)})"
 _EXPECT = {"openai": ["m", "'be kind'", "m"], "a": ["m", "m", "m"], "b": ["m"], "c": ["m", "t"], "d": ["m", "'ask'", "m", "'note'"]}
 
 
 def _payload(service: str) -> None:
-    only_mail = MaskConfig(disabled=[c for c in dict.fromkeys(p[0] for p in detect.PRESETS) if c != "EMAIL_ADDRESS"])
+    # all categories, but for one service addresses only
+    cfg = MaskConfig(disabled=[c for c in dict.fromkeys(p[0] for p in detect.PRESETS) if c != "EMAIL_ADDRESS"] if service == "openai" else [])
     listed = ", ".join(x.replace("m", "masked") if x == "m" else x for x in _EXPECT[service] if x != "t")
 
-    @query(f"SELECT doc_id AS id, array_to_string([{listed}], chr(10)) AS texts, {'true' if service == 'c' else 'false'} AS unreplaced FROM {_MAIL}")
+    @query(f"SELECT doc_id AS id, array_to_string([{listed}], chr(10)) AS texts, {'true' if service == 'c' else 'false'} AS unreplaced FROM {_MAIL if service == 'openai' else _ALL}")
     def run(spark, sf_dir):
-        out = payloads.mask_payload(bodies(spark, sf_dir, service), "body", service, only_mail)
+        out = payloads.mask_payload(bodies(spark, sf_dir, service), "body", service, cfg)
         again = payloads.extract_inputs(out.select("id", "masked_body", "unreplaced"), "masked_body", service)
         texts = F.slice("texts", 1, len([x for x in _EXPECT[service] if x != "t"]))
         return again.select("id", F.array_join(texts, "\n").alias("texts"), "unreplaced")
@@ -337,7 +340,7 @@ SELECT * FROM r WHERE kept"""
 @query(f"SELECT doc_id, masked AS rewritten FROM ({O.spliced(MEMOS, _RWD, 'entity_type')})")
 def rewrite_with_tags(spark, sf_dir):
     """Answers' replacements as unique tags, longest first."""
-    return _rewrites(spark, sf_dir).select("doc_id", mask.rewrite_with_tags(F.col("text"), F.col("r"))["rewritten_text"].alias("rewritten"))
+    return mask.rewrite_with_tags(_rewrites(spark, sf_dir), "text", "r").select("doc_id", F.col("rewritten.rewritten_text").alias("rewritten"))
 
 
 @query(f"SELECT doc_id, value, label, strpos(text, value) - 1 AS start FROM (SELECT m.doc_id, m.text, v.value, v.label FROM ({MEMOS}) m JOIN orders ON o_orderkey = m.doc_id, LATERAL (VALUES ('user' || CAST(o_custkey AS VARCHAR) || '@example.com', 'EMAIL_ADDRESS'), ('user', 'PERSON'), (' and ', 'Q'), ('user', 'SENSITIVE_FACT')) v(value, label)) WHERE contains(text, value)")
@@ -353,10 +356,6 @@ def person_phrases(spark, sf_dir):
     return memos(spark, sf_dir).select("doc_id", labels.is_false_positive_person(F.col("text")).alias("phrase"))
 
 
-_DETECTED = O.resolved(O.matches(f"({MEMOS})", O.presets()))
-_DETECTED = f"SELECT * FROM ({_DETECTED}) WHERE text NOT IN ({', '.join(map(quoted, MaskConfig().blocklist))})"
-
-
 @query(f"SELECT entity_type, {O.severity('entity_type')} AS severity, count(*) AS n FROM ({_DETECTED}) GROUP BY 1, 2")
 def detect_table_function(spark, sf_dir):
     """The table function over memos, as rows by label."""
@@ -365,11 +364,10 @@ def detect_table_function(spark, sf_dir):
     return spark.sql("SELECT d.entity_type, severity_for(d.entity_type) AS severity, count(*) AS n FROM __memos m, LATERAL detect(m.text) d GROUP BY 1, 2")
 
 
-_BY_TAG = O.spliced(MEMOS, O.last_of_equal(O.numbered(_DETECTED)), O.TAG)
 _BY_HASH = O.spliced(MEMOS, O.last_of_equal(_DETECTED), O.HASH)
 
 
-@query(f"SELECT t.doc_id, CASE WHEN t.doc_id % 2 = 0 THEN t.masked ELSE h.masked END AS masked FROM ({_BY_TAG}) t JOIN ({_BY_HASH}) h ON t.doc_id = h.doc_id")
+@query(f"SELECT t.doc_id, CASE WHEN t.doc_id % 2 = 0 THEN t.masked ELSE h.masked END AS masked FROM {_ALL} t JOIN ({_BY_HASH}) h ON t.doc_id = h.doc_id")
 def sanitize_text_function(spark, sf_dir):
     """Masking by the SQL function, with a strategy for each row."""
     udf.register(spark)

@@ -7,18 +7,17 @@ from pyspark.sql import functions as F
 
 from maskwright.operators.aggregate import entity_summary
 
-SCHEMA = "audit_id string, request_type string, filter_enabled boolean, detected_count int, entity_summary map<string,int>, upstream_target string, status string, elapsed_ms int, created_at string, append_seq long, append_row long, day date"
+SCHEMA = "audit_id string, request_type string, filter_enabled boolean, detected_count int, entity_summary map<string,int>, upstream_target string, status string, elapsed_ms int, created_at string, append_seq long, append_row long, batch long, day date"
 
 
 def audit_records(docs: DataFrame, request_type: str = "text", enabled: bool = True, upstream: str | None = None, created_at: Column | None = None, status: str = "ok") -> DataFrame:
-    """A record for each masked document; (``append_seq``, ``append_row``) grows with time, and within a run with
-    partition and row (on streams with the partition)."""
+    """A record for each masked document of a table or of a stream's batch; (``append_seq``, ``append_row``) grows with time, and
+    within a run with partition and row."""
     now = F.current_timestamp() if created_at is None else created_at
-    row = F.shiftleft(F.spark_partition_id().cast("long"), 33) if docs.isStreaming else F.monotonically_increasing_id()
     return docs.select(
         F.uuid().alias("audit_id"), F.lit(request_type).alias("request_type"), F.lit(enabled).alias("filter_enabled"), F.size("spans").alias("detected_count"), entity_summary(F.col("spans")).alias("entity_summary"),
         F.lit(upstream).cast("string").alias("upstream_target"), F.lit(status).alias("status"), F.lit(None).cast("int").alias("elapsed_ms"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("created_at"),
-        F.unix_micros(now.cast("timestamp")).alias("append_seq"), row.alias("append_row"), F.to_date(now).alias("day"),
+        F.unix_micros(now.cast("timestamp")).alias("append_seq"), F.monotonically_increasing_id().alias("append_row"), F.to_date(now).alias("day"),
     )
 
 
@@ -50,5 +49,5 @@ def list_audits(audits: DataFrame, limit: int = 100, since: str | None = None, e
     """The newest records that pass the filters, from 1 to 10000 of them."""
     if not 1 <= limit <= 10_000:
         raise ValueError("limit must be from 1 to 10000")
-    order = [F.desc(c) for c in ("append_seq", "append_row", "created_at") if c in audits.columns]
+    order = [F.desc(c) for c in ("append_seq", "batch", "append_row", "created_at") if c in audits.columns]
     return filter_audits(audits, since, entity_type, action).orderBy(*order).limit(limit)

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from maskwright.functions import spans as S
 from maskwright.operators import detect, mask
 from maskwright.plans.config import MaskConfig
 from maskwright.sources import audit
@@ -20,8 +19,13 @@ def mask_stream(texts: DataFrame, cfg: MaskConfig | None = None) -> DataFrame:
 
 
 def audit_stream(masked: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Audit records appended by the file sink, exactly once for each batch."""
-    return audit.audit_records(masked).writeStream.format("json").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    """Audit records appended exactly once for each batch, with ``batch`` and a running ``append_row`` within it, so that their order
+    is total. A batch fills a folder of its own; one that is run again after a failure fills the same folder anew."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        audit.audit_records(batch).write.mode("overwrite").format("json").partitionBy("day").save(f"{path}/batch={number}")
+
+    return masked.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def running_counts(detections: DataFrame, key: str, count: str = "n") -> DataFrame:
@@ -37,12 +41,15 @@ def first_seen_urls(events: DataFrame, tag: str = "tag", url: str = "url", time:
 
 
 def with_lists(texts: DataFrame, lists: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, cfg: MaskConfig | None = None) -> StreamingQuery:
-    """Masks each micro-batch with the force list as it stands then: ``lists`` is read anew for every batch."""
+    """Masks each micro-batch with the force list as it stands then: ``lists`` is read anew for every batch.
+
+    The list's spans come as a column of each row, so rows may share an id or have none.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        found = detect.literal_spans(batch, lists()).withColumnRenamed("spans", "listed")
-        joined = batch.join(found, "doc_id", "left").withColumn("listed", F.coalesce("listed", S.none()))
-        sink(mask.sanitize(joined, cfg, statistical="listed").drop("listed"), number)
+        found = detect.with_occurrences(batch, lists(), into="__found")
+        listed = found.withColumn("__listed", detect.listed_spans(F.col("__found"))).drop("__found")
+        sink(mask.sanitize(listed, cfg, statistical="__listed").drop("__listed"), number)
 
     return texts.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -92,6 +92,43 @@ def test_running_counts_stream(spark, arrivals):
     assert {r["session"]: r["detections"] for r in spark.table("counts").collect()} == {"s0": 28, "s1": 26, "s2": 26}
 
 
+def test_a_batch_written_again_adds_nothing(spark, arrivals, monkeypatch):
+    """The order of a stream's records is total, and a batch that fails behind its write is not counted twice."""
+    stream, batch, tmp = arrivals
+    at = str(tmp / "audit2")
+    rows = lambda: audit.list_audits(audit.read_audit(spark, at), 10_000).collect()
+    masked, build, tries = streams.mask_stream(stream, MAIL), audit.audit_records, []
+
+    def records(docs, *args, **kwargs):
+        tries.append(1)
+        if len(tries) == 2:
+            build(docs).write.mode("overwrite").format("json").partitionBy("day").save(f"{at}/batch=1")
+            raise RuntimeError("lost behind the write")
+        return build(docs, *args, **kwargs)
+
+    monkeypatch.setattr(audit, "audit_records", records)
+    with pytest.raises(Exception, match="lost behind the write"):
+        ran(streams.audit_stream(masked, at, str(tmp / "cp5")))
+    ran(streams.audit_stream(masked, at, str(tmp / "cp5")))
+    got = rows()
+    keys = [(r["append_seq"], r["batch"], r["append_row"]) for r in got]
+    assert len(got) == 40 and len(set(keys)) == 40 and keys == sorted(keys, reverse=True) and len({r["audit_id"] for r in got}) == 40
+    assert [r["batch"] for r in got] == sorted((r["batch"] for r in got), reverse=True)
+
+
+def test_lists_on_rows_of_any_id(spark, tmp_path):
+    """Rows that share an id, or have none, are masked each by its own text."""
+    rows = [(1, "a secretword here"), (1, "this third is here"), (None, "a secretword too"), (None, None), (2, "third secretword third"), (2, "nothing"), (1, "a secretword here")]
+    spark.createDataFrame(rows, "doc_id int, text string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("doc_id int, text string").parquet(str(tmp_path / "in"))
+    entries = spark.createDataFrame([("secretword", "OTHER"), ("third", "PERSON")], "value string, category string")
+    got = []
+    ran(streams.with_lists(stream, lambda: entries, lambda df, n: got.extend(df.collect()), str(tmp_path / "cp"), MAIL))
+    a, b = "<USER_DEFINED_OTHER_1>", "<USER_DEFINED_PERSON_1>"
+    assert sorted((r["doc_id"] or 0, r["text"] or "", r["sanitized_text"] or "") for r in got) == sorted([(1, rows[0][1], f"a {a} here"), (1, rows[0][1], f"a {a} here"), (1, rows[1][1], f"this {b} is here"), (0, rows[2][1], f"a {a} too"), (0, "", ""), (2, rows[4][1], f"{b} {a} {b}"), (2, "nothing", "nothing")])
+    assert set(got[0].asDict()) == {"doc_id", "text", "spans", "sanitized_text"}
+
+
 def test_lists_read_anew(spark, arrivals):
     stream, batch, tmp = arrivals
     got = []
@@ -137,10 +174,11 @@ def model_occurrences(text, entries):
     return sorted(out)
 
 
-@pytest.mark.parametrize("rows", [100_000, 2])
-def test_list_occurrences(spark, monkeypatch, rows):
-    """By automaton and by grams alike: overlaps between values, repeats, short values, other scripts."""
+@pytest.mark.parametrize("rows, parts", [(100_000, 8), (2, 8), (2, 1)])
+def test_list_occurrences(spark, monkeypatch, rows, parts):
+    """By one automaton, by several and by grams alike: overlaps between values, repeats, short values, other scripts."""
     monkeypatch.setattr(detect, "LIST_ROWS", rows)
+    monkeypatch.setattr(detect, "LIST_PARTS", parts)
     entries = [("aa", "PERSON"), ("a", None), ("aab", "x"), ("漢字", "other"), ("😀😀", "PERSON"), ("long value here", "PERSON"), ("", "PERSON"), ("a.b", "PERSON")]
     texts = ["aaaaab aab", "漢字漢字 a.b axb 😀😀😀", "a long value here, long value here", "", None, "nothing", "x\naa\n"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
@@ -155,6 +193,71 @@ def test_list_occurrences(spark, monkeypatch, rows):
     assert detect.literal_spans(docs, listed.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [8, 0])
+def test_a_long_list_with_one_prefix(spark, monkeypatch, parts):
+    """Values that all begin alike don't bring every text together with the whole list."""
+    monkeypatch.setattr(detect, "LIST_PARTS", parts)
+    listed = spark.range(50_000).select(F.format_string("EMP-%07d", F.col("id") * 7).alias("value"), F.lit("PERSON").alias("category"))
+    docs = spark.range(2_000).select((F.col("id") % 3).alias("doc_id"), F.format_string("staff EMP-%07d and EMP-%07d, EMP-", F.col("id") * 5, F.col("id") * 11).alias("text")).withColumn("found", F.lit("x"))
+    rows = detect.with_occurrences(docs, listed)
+    want = sum((k * 5 % 7 == 0) + (k * 11 % 7 == 0) for k in range(2_000))
+    assert rows.count() == 2_000 and rows.select(F.explode("found")).count() == want
+    if not parts:
+        met = rows._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in met and "Cartesian" not in met
+
+
+def test_piece_offsets_in_long_texts(spark):
+    import random
+
+    def plain(text, pieces):
+        out, at = [(0, 0)], 0
+        for p in pieces:
+            while at < len(text) and text[at] in " \t\n\x0b\f\r":
+                at += 1
+            n = len(p.removeprefix("##"))
+            out.append((at, at + n))
+            at += n
+        return [*out, (at, at)]
+
+    rnd = random.Random(2)
+    rows = [(i, "".join(rnd.choice("ab😀  \n") for _ in range(rnd.randint(0, 40))), [rnd.choice(["", "##"]) + "a" * rnd.randint(0, 5) for _ in range(rnd.randint(0, 14))]) for i in range(150)]
+    rows += [(1000, " abc" * 20_000, ["abc"] * 20_000), (1001, "", []), (1002, "   ", ["a"])]
+    df = spark.createDataFrame(rows, "id int, t string, p array<string>")
+    got = {r[0]: [tuple(x) for x in r[1]] for r in df.select("id", detect.piece_offsets(F.col("t"), F.col("p"))).collect()}
+    assert got == {i: plain(t, p) for i, t, p in rows}
+
+
+def test_many_replacements(spark):
+    """Tags numbered within their base by first original, overlaps longest first, thousands of replacements at once."""
+    n = 4_000
+    reps = [{"original": f" w{k % 3_000}x ", "replacement": f"<{'bcdefgh'[k % 7]}_3>" if k % 2 else None, "entity_type": "PERSON"} for k in range(n)] + [{"original": "w1", "replacement": "<z>"}, {"original": " ", "replacement": "y"}, {"original": None}]
+    kind = "array<struct<original:string,replacement:string,entity_type:string>>"
+    df = spark.createDataFrame([(1, " ".join(f"w{k}x" for k in range(3_000)) + " w1", reps), (2, "none", []), (3, None, reps), (4, "aaa xaaa", [{"original": "xa"}, {"original": "aa"}])], f"id int, text string, replacements {kind}")
+    got = {r["id"]: r["rewritten"] for r in mask.rewrite_with_tags(df).collect()}
+    counts, tags = {}, []
+    for k in range(3_000):
+        base = "bcdefgh"[k % 7] if k % 2 else "name"
+        counts[base] = counts.get(base, 0) + 1
+        tags.append(f"<{base}_{counts[base]}>")
+    assert got[1]["rewritten_text"] == " ".join(tags) + " <z_1>" and len(got[1]["replacements"]) == 3_001
+    assert got[2]["rewritten_text"] == "none" and got[3] is None and got[4]["rewritten_text"] == "<masked_2>a <masked_1>aa"
+
+
+def test_payload_bodies_stay_to_the_character(spark):
+    """Spacing, numbers, escapes and key order around a masked text stay; keys named twice count once."""
+    rows = [
+        (1, '{ "input" :\t"mail a@b.example \\u00e9\\n" , "n": 1.50e3, "x": "caf\\u00e9", "messages": [ {"role":"user","content":"none"} ] }', '{ "input" :\t"mail <EMAIL_ADDRESS_1> é\\n" , "n": 1.50e3, "x": "caf\\u00e9", "messages": [ {"role":"user","content":"none"} ] }'),
+        (2, '{"input": "😀 a@b.example \\"q\\"", "system": "c@d.example"}', '{"input": "😀 <EMAIL_ADDRESS_1> \\"q\\"", "system": "<EMAIL_ADDRESS_1>"}'),
+        (3, '{"input": "a@b.example", "k": 1, "input": "c@d.example"}', '{"input": "<EMAIL_ADDRESS_1>", "k": 1}'),
+        (4, '{"messages": [{"content": [{"type": "text", "text": null, "content": "a@b.example"}]}]}', '{"messages": [{"content": [{"type": "text", "text": "<EMAIL_ADDRESS_1>", "content": "a@b.example"}]}]}'),
+        (5, "[1]", "[1]"), (6, '{"a":' * 900 + '"x"' + "}" * 900, None),
+    ]
+    out = {r["id"]: r for r in payloads.mask_payload(spark.createDataFrame([r[:2] for r in rows], "id int, body string"), "body", "openai", MAIL).collect()}
+    for k, body, want in rows:
+        assert out[k]["masked_body"] == (want or body) and not out[k]["unreadable"], k
+
+
 def test_unsafe_payloads(spark):
     deep = "[" * 200_000 + "]" * 200_000
     rows = [(1, json.dumps({"input": "a@b.example \ud800 end"})), (2, f'{{"input": "a@b.example", "x": {deep}}}'), (3, '{"input": "a@b.example"}'), (4, '{"input": '), (5, None), (6, json.dumps({"messages": [{"role": "user", "content": [{"type": "text", "text": "", "content": "c@d.example"}]}]}))]
