@@ -504,6 +504,13 @@ def test_pipeline_on_odd_documents(spark):
         kept.count()
 
 
+def test_pipeline_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "Mail bob@site.example now.", 9, "k", "x")], "doc_id long, text string, n_entities int, `a.b` string, c0 string")
+    out = corpus_pipeline.without_personal_data(spark, docs, SMALL)
+    row = out.first()
+    assert out.columns == docs.columns and row["n_entities"] == 9 and row["a.b"] == "k" and row["c0"] == "x" and "bob@site" not in row["text"]
+
+
 def test_pipeline_against_plain_stages(spark):
     """The whole run against each stage done plainly, one document after the other."""
     import zlib

@@ -207,6 +207,40 @@ def test_crowded_shards_are_dealt_again(spark, monkeypatch):
     assert {i: found.get(i, i) for i in own} == classes(own)
 
 
+def test_a_dense_family_is_not_copied(spark):
+    """20,000 fingerprints over 16 bits, alone and with three families of 3,900 that differ from each other in few bits."""
+    r = random.Random(3)
+    bits = r.sample(range(64), 40)
+    spread = lambda x, some: sum(1 << b for k, b in enumerate(some) if x >> k & 1)
+    prints = {spread(x, bits[:16]) for x in r.sample(range(1 << 16), 20_000)}
+    alone = spark.createDataFrame([(k, p - (1 << 64) if p >> 63 else p) for k, p in enumerate(prints)], "id long, fp long")
+    assert simhash.shards(alone)[0].count() <= 5 * len(prints)
+    far = spread((1 << 20) - 1, bits[16:36])
+    families = [{far ^ spread(x, bits[:12]) ^ apart for x in r.sample(range(1 << 12), 3_900)} for apart in (0, spread(31, bits[36:40] + bits[12:13]), spread(63, bits[12:18]))]
+    prints = prints.union(*families)
+    signed = [(k, p - (1 << 64) if p >> 63 else p) for k, p in enumerate(sorted(prints))]
+    df = spark.createDataFrame(signed, "id long, fp long").repartition(8)
+    dealt, known = simhash.shards(df)
+    assert dealt.count() <= 25 * len(prints) and known.count() <= 16 * len(prints)
+    assert dealt.groupBy("shard").count().agg(F.max("count")).first()[0] <= simhash.SHARD
+    found = {x["node"]: x["component"] for x in components(simhash.links(df), "a", "b").collect()}
+    of = {p: found.get(k, k) for k, p in enumerate(sorted(prints))}
+    values = np.array(sorted(prints), np.uint64)
+    label = np.arange(len(values))
+    todo = set(range(len(values)))  # plain search, one component after the other
+    while todo:
+        front, seen = [todo.pop()], []
+        while front:
+            k = front.pop()
+            seen.append(k)
+            near = np.flatnonzero(np.bitwise_count(values ^ values[k]) <= 4)
+            new = [j for j in near.tolist() if j in todo]
+            todo.difference_update(new)
+            front += new
+        label[seen] = min(seen)
+    assert [of[int(v)] for v in values] == label.tolist()
+
+
 def test_bk_tree():
     r = random.Random(7)
     tree, values = simhash.BKTree(), [r.getrandbits(16) for _ in range(300)]
