@@ -36,7 +36,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities become surrogates; n_chars follows the new text."""
-    return pii.replace(docs).drop("n_entities").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    masked = pii.replace(docs.toDF(*[f"c{k}" if c not in ("doc_id", "text") else c for k, c in enumerate(docs.columns)]))
+    masked = masked.select(*[c if c in ("doc_id", "text") else F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
