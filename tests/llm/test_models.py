@@ -494,6 +494,41 @@ def test_surrogates_go_on_until_distinct(spark, monkeypatch):
     assert len(set(out)) == 300 and not {o[3:] for o in out} & set(names)
 
 
+def _text(page):
+    return "\n".join(t for kind, t in html.blocks(page) if kind != html.BOILERPLATE)
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<article><p>Body</p><div class="comments"><article><p>I disagree</p></article></div></article>', "Body"),
+    ('<article><p>Body</p></article><section class="comments"><article><p>no</p></article></section>', "Body"),
+    ('<article><p>Body</p></article><article class="comment"><p>no</p></article>', "Body"),
+    ('<article><ul><li class="ad">Buy<li>Good one<li>Good two</ul><p>After.</article>', "Good one\nGood two\nAfter."),
+    ('<article><table><tr><td class="promo">Buy<td>Cell text<tr><td>Row two</table></article>', "Cell text\nRow two"),
+    ('<article><dl><dt class="ad">Buy<dd>Kept<dt>Too</dl></article>', "Kept\nToo"),
+    ('<article><section id="legal"><p>The legal analysis</section><h1 class="header">T</h1><div class="search">S</div></article>', "The legal analysis\nT\nS"),
+    ('<div class="content with-sidebar"><article><p>In</p></article></div>', "In"),
+    ('<article>a<div class="related"><article>teaser</article></div>b</article>', "a\nb"),
+    ("<article>x <a href=\"a>b\">y</a> < z <b title='q'>k</b></article>", "x y < z k"),
+    ("<article>1<!-- c <p> -->2<script>if(a<b){}</script>3</article>", "123"),
+    ("<article>x<script>never closed", "x"), ("plain <b", "plain <b"), ('<a "x>text</a> more', "text more"), ("", ""), (None, ""),
+])
+def test_marks_and_left_out_end_tags(page, text):
+    assert _text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<a ", "<script ", '<a "', "<div>", "</x>", "<a '>", "<!--", "<article>", "<td>x", '<p class="', '<div class="ad"><article>', "<![", "<a b='\">", "</script"])
+def test_broken_pages_take_time_in_proportion(part):
+    """Eight times as much takes about eight times as long, not 64 times."""
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html.blocks(part * n)
+        return time.process_time() - began
+
+    assert took(80_000) < 24 * max(took(10_000), 0.02)
+
+
 def test_pipeline_on_odd_documents(spark):
     rows = [(i, t, "en", "s", len(t or "")) for i, t in TEXTS] + [(None, "no id but text", None, None, None), (None, "no id but text", None, None, None), (7, "plain words here.", None, None, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
