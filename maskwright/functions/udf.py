@@ -15,7 +15,7 @@ from . import labels
 class Detector(Protocol):
     """Anything that gives the spans of a text Column; models wrap a pandas UDF that returns array<struct>.
 
-    ``mask.sanitize`` takes its result as a column, named by ``statistical``.
+    ``mask.sanitize`` takes any number of them as ``detectors`` and calls them by name in the chains of the settings.
     """
 
     name: str
@@ -37,7 +37,8 @@ def as_sql(column: Column) -> str:
 
 def register(spark: SparkSession) -> None:
     """SQL functions detect_language(text), severity_for(label), category_for(label), classification_for(label),
-    sanitize_text(text, strategy) with the strategies tag, partial and hash (any other counts as tag), and the table
+    sanitize_text(text, strategy) with the strategies tag, partial, hash and surrogate (any other counts as tag, as in
+    the original tool), and the table
     function detect(text): entity_type, start, end, text, severity of the default chain's spans."""
     from maskwright.operators import detect, filters, mask
     from maskwright.plans.config import MaskConfig
@@ -53,7 +54,8 @@ def register(spark: SparkSession) -> None:
     define(f"raw_spans(t STRING) RETURNS ARRAY<{S.SPAN}>", as_sql(detect.preset_spans(S.safe(t))))
     define(f"resolved_spans(s ARRAY<{S.SPAN}>) RETURNS ARRAY<{S.SPAN}>", as_sql(S.numbered(filters.filtered(S.resolve_overlaps(F.col("s")), cfg))))
     define("detect(t STRING) RETURNS TABLE (entity_type STRING, start INT, end INT, text STRING, severity STRING)", "SELECT x.entity_type, x.start, x.end, x.text, severity_for(x.entity_type) FROM (SELECT resolved_spans(raw_spans(t)) AS s) LATERAL VIEW explode(s) e AS x")
-    for name in ("tag", "partial", "hash"):
+    for name in mask.STRATEGIES:
         define(f"{name}_spans(t STRING, s ARRAY<{S.SPAN}>) RETURNS STRING", as_sql(mask.STRATEGIES[name](t, F.col("s"))))
     spans = "resolved_spans(raw_spans(t))"
-    define("sanitize_text(t STRING, strategy STRING DEFAULT 'tag') RETURNS STRING", f"CASE WHEN strategy = 'partial' THEN partial_spans(t, {spans}) WHEN strategy = 'hash' THEN hash_spans(t, {spans}) ELSE tag_spans(t, {spans}) END")
+    others = " ".join(f"WHEN strategy = '{name}' THEN {name}_spans(t, {spans})" for name in mask.STRATEGIES if name != "tag")
+    define("sanitize_text(t STRING, strategy STRING DEFAULT 'tag') RETURNS STRING", f"CASE {others} ELSE tag_spans(t, {spans}) END")

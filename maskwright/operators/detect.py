@@ -266,10 +266,10 @@ def union_spans(docs: DataFrame, table: DataFrame, source: str, entity_types: li
     return docs.join(gathered(kept, source), "doc_id", "left").withColumn(source, F.coalesce(F.col(source), S.none()))
 
 
-def default_chain(text: Column, cfg: MaskConfig, statistical: Column | None = None, tokens: Column | None = None) -> Column:
-    """Statistical spans, tokens and regex spans, with overlaps resolved after each further source."""
+def default_chain(text: Column, cfg: MaskConfig, statistical: Column | None = None, tokens: Column | None = None, others: list[Column] | None = None) -> Column:
+    """Statistical spans, tokens, spans of others and regex spans, with overlaps resolved after each further source."""
     out = statistical if statistical is not None else S.none()
-    more = ([tokens] if tokens is not None else []) + ([regex_detector(text, cfg)] if cfg.presets or cfg.regex_patterns else [])
+    more = ([tokens] if tokens is not None else []) + (others or []) + ([regex_detector(text, cfg)] if cfg.presets or cfg.regex_patterns else [])
     for source in more:
         both = F.struct(out.alias("a"), source.alias("b"))
         out = S.let(both, lambda x: F.when(F.size(x["b"]) > 0, S.resolve_overlaps(F.concat(x["a"], x["b"]))).otherwise(x["a"]))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
+from maskwright.functions.udf import Detector
 from maskwright.plans.config import MaskConfig
 
 from . import detect, filters
@@ -82,10 +85,11 @@ def mask_triples(text: Column, triples: Column) -> Column:
     return S.let(spans, lambda x: _tagged(text, x, S.surface_numbers(x)))
 
 
-def sanitize(docs: DataFrame, cfg: MaskConfig | None = None, text_col: str = "text", statistical: str | None = None, tokens: str | None = None, demoted: str | None = None, strategy_col: str | None = None) -> DataFrame:
+def sanitize(docs: DataFrame, cfg: MaskConfig | None = None, text_col: str = "text", statistical: str | None = None, tokens: str | None = None, demoted: str | None = None, strategy_col: str | None = None, detectors: Sequence[Detector] = ()) -> DataFrame:
     """``docs`` with ``spans`` (all reported) and ``sanitized_text``: one projection, no shuffle, batch or stream.
 
-    Other detectors' spans come in as array columns named by ``statistical`` and ``tokens``.
+    Other detectors' spans come in as array columns named by ``statistical`` and ``tokens``. ``detectors`` are the user's own:
+    the chains of ``cfg`` call them by name; without chains they come before the presets, overlaps resolved after each.
     """
     cfg = cfg or MaskConfig()
     raw = F.col(f"`{text_col}`")
@@ -93,18 +97,22 @@ def sanitize(docs: DataFrame, cfg: MaskConfig | None = None, text_col: str = "te
         return docs.withColumn("spans", S.none()).withColumn("sanitized_text", raw)
     text = F.col("__safe")
     stat, toks = (F.col(c) if c else None for c in (statistical, tokens))
+    out = docs.withColumn("__safe", S.safe(raw))
+    own = {d.name: F.col(f"`__by_{d.name}`") for d in detectors}
+    for d in detectors:
+        out = out.withColumn(f"__by_{d.name}", F.coalesce(d.spans(text), S.none()))
     if cfg.chains is not None:
-        found = detect.language_chain(text, cfg, {"statistical": stat if stat is not None else S.none(), "tokens": toks if toks is not None else S.none()})
+        found = detect.language_chain(text, cfg, {"statistical": stat if stat is not None else S.none(), "tokens": toks if toks is not None else S.none()} | own)
     else:
-        found = detect.default_chain(text, cfg, stat, toks)
-    out = docs.withColumn("__safe", S.safe(raw)).withColumn("spans", S.numbered(filters.filtered(found, cfg, F.col(demoted) if demoted else None)))
+        found = detect.default_chain(text, cfg, stat, toks, list(own.values()))
+    out = out.withColumn("spans", S.numbered(filters.filtered(found, cfg, F.col(demoted) if demoted else None)))
     chosen = filters.maskable(F.col("spans"), cfg.allow_types)
     if cfg.overlap == "disjoint":
         chosen = S.disjoint_spans(S.dedup_last(chosen))
     # a column of its own: nested in the mask, the two would take more rounds to analyse than Spark allows
     out = out.withColumn("__chosen", chosen)
     masked = apply_strategy(raw, F.col("__chosen"), F.coalesce(F.col(strategy_col), F.lit(cfg.strategy)) if strategy_col else cfg.strategy)
-    return out.withColumn("sanitized_text", F.when(F.size("spans") > 0, masked).otherwise(raw)).drop("__safe", "__chosen")
+    return out.withColumn("sanitized_text", F.when(F.size("spans") > 0, masked).otherwise(raw)).drop("__safe", "__chosen", *[f"__by_{d.name}" for d in detectors])
 
 
 def placeholder_map(docs: DataFrame, id_col: str = "doc_id", spans_col: str = "spans") -> DataFrame:

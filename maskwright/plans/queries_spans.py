@@ -271,11 +271,15 @@ _CODES = "list_transform(string_split(entity_type || chr(2) || text, ''), lambda
 _H32 = f"list_reduce(list_prepend(CAST(5381 AS BIGINT), {_CODES}), lambda h, x: xor((h * 33) & 4294967295, x))"
 
 
-_HASHED = lambda spans: f"SELECT *, {_H32} AS h FROM ({spans})"
+def hashed(spans: str) -> str:
+    """Spans with the hash of label and surface."""
+    return f"SELECT *, {_H32} AS h FROM ({spans})"
+
+
 _FAKE = O.surrogate("entity_type", "text", "h")
 
 
-@query(f"SELECT doc_id, entity_type, text, h AS hash, {_FAKE} AS fake FROM ({_HASHED(FIL)})")
+@query(f"SELECT doc_id, entity_type, text, h AS hash, {_FAKE} AS fake FROM ({hashed(FIL)})")
 def surrogates_memos(spark, sf_dir):
     """The 32-bit hash of label and surface, and the fake value of every span."""
     rows = exploded(mask.sanitize(memos(spark, sf_dir)))
@@ -287,14 +291,14 @@ TAGGED = ["PERSON", "PROPER_NOUN_PERSON", "ORGANIZATION", "PROPER_NOUN_ORG", "LO
 _TAGGED = "SELECT c_custkey AS doc_id, unnest([{}]) AS entity_type, c_name AS text FROM customer".format(", ".join(map(quoted, TAGGED)))
 
 
-@query(f"SELECT doc_id, entity_type, text, {_FAKE} AS fake FROM ({_HASHED(_TAGGED)})")
+@query(f"SELECT doc_id, entity_type, text, {_FAKE} AS fake FROM ({hashed(_TAGGED)})")
 def surrogates_customers(spark, sf_dir):
     """Fake values of customers' names under labels of other detectors."""
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), F.explode(F.array(*map(F.lit, TAGGED))).alias("entity_type"), F.col("c_name").alias("text"))
     return rows.withColumn("fake", surrogate(F.col("entity_type"), F.col("text")))
 
 
-@query(f"SELECT doc_id, masked AS sanitized_text FROM ({O.spliced(MEMOS, _HASHED(O.greedy(O.last_of_equal(FIL))), _FAKE)})")
+@query(f"SELECT doc_id, masked AS sanitized_text FROM ({O.spliced(MEMOS, hashed(O.greedy(O.last_of_equal(FIL))), _FAKE)})")
 def surrogate_mask(spark, sf_dir):
     """Surrogates of every type in place, of disjoint spans."""
     return mask.sanitize(memos(spark, sf_dir), MaskConfig(strategy="surrogate")).select("doc_id", "sanitized_text")
