@@ -3,11 +3,18 @@
 Every entity gets a keyed replacement of its own type, script, gender and format: digits by a keyed permutation
 (Feistel rounds) of the digit strings of that length, with card check digits kept right; addresses, keys and
 secrets character class by character class; names by given names of the same gender and script and by built
-surnames. The replacement depends on the key and on the entity alone, so all mentions in all documents agree.
+surnames; IBANs keep check digits that are right. The replacement depends on the key and on the entity alone, so all
+mentions in all documents agree.
 Distinct entities are then checked over the whole table: where two share a replacement, or one equals an entity
 that occurs, all but one are drawn again, until none is left; every further draw is longer, so a free one exists however
-many entities there are. This needs the entities only, not the texts. A name that a title or a given name marks
-is carried through its document: where its surname or its given name stands alone there, it is replaced alike.
+many entities there are. This needs the entities only, not the texts.
+
+A name begins with titles (``Herrn Dr.``) or listed given names and goes on with given names, initials, particles and
+surnames; every word is an entity of its own, so ``Smith-Jones`` and ``García López`` keep their form and agree with
+``Smith`` or ``López`` elsewhere. Up to three words follow a title, two a Spanish given name, else one; titles in
+capitals take names in capitals. A name is carried through its document: where one of its surnames or given names
+stands alone there, in either letter case or with a final s, it is replaced alike, but not right before another
+capitalised word that is no name there (``White House``). Words in ``STOP`` are never names.
 
 Defined results: a null text stays null with no entities; the two noncharacters used as marks become U+FFFD if a
 text holds them; equal entities in different letter case (addresses) count as one; rows that repeat an id, and rows
@@ -30,14 +37,41 @@ GIVEN = {
     ("cyrillic", "m"): "Александр Дмитрий Сергей Андрей Алексей Иван Николай Михаил Владимир Павел".split(),
     ("cyrillic", "f"): "Анна Елена Ольга Наталья Татьяна Ирина Мария Светлана Екатерина Юлия".split(),
 }
-#: Forms of address by gender.
-TITLES = {"m": "Mr Herr Monsieur Señor".split(), "f": "Mrs Ms Frau Madame Señora".split(), "": "Dr Prof Mx".split()}
-SYLLABLES = {"latin": "ba be bi bo da de di do fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne ra re sa se ta to".split(), "cyrillic": "ба бе ва ве га го да де за зи ка ко ла ле ли ло ма ми мо на не но ра ре ро са се со та те ти то".split()}
+#: Forms of address, of which the first line is in use in capitals too.
+TITLES = (
+    "Mr Mrs Miss Herr Herrn Frau Monsieur Madame Señor Señora Dr Prof "
+    "Mister Ms Mx Fräulein Mademoiselle Mme Sr Sra Señorita Doktor Professor Professora Господин Госпожа Κύριος Κύριε Κυρία"
+).split()
+CAPITAL_TITLES = [t.upper() for t in TITLES[:12]]
+#: Words between the parts of a name, and words that are none.
+PARTICLES = "van von der den de del della di da dos du la le el zu zum zur ter ten bin y e Van Von De Du La Le El Di Da Al".split()
+STOP = (
+    "The And But For She You They We He It In On At An As To Of Or So If Is Up Us My No By Do Am Be Go Me Not Was Has Had Will Who "
+    "Der Die Das Den Dem Und Er Es Sie Ich Wir Im Am Zu Hat Ist War Los Las Les Un Una Une Et Il Elle Je En Que Qui"
+).split()
+#: Given names that two surnames may follow.
+SPANISH = "Carlos Javier Miguel Pedro Carmen Lucía Isabel Marta Elena".split()
+SYLLABLES = {
+    "latin": "ba be bi bo da de di do fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne ra re sa se ta to".split(),
+    "cyrillic": "ба бе ва ве га го да де за зи ка ко ла ле ли ло ма ми мо на не но ра ре ро са се со та те ти то".split(),
+    "greek": "βα βε γα γο δα δε δι δο ζα ζε κα κε κι κο λα λε λι λο μα με μι μο να νε ρα ρε σα σε τα τε τι το".split(),
+    "armenian": "բա բե գա գո դա դե դի դո զա զե կա կե կի կո լա լե լի լո մա մե մի մո նա նե րա րե սա սե տա տե տի տո".split(),
+}
 OPEN, CLOSE = "﷐", "﷑"
 
 _GIVEN = "|".join(n for names in GIVEN.values() for n in names)
-_TITLES = "|".join(t for ts in TITLES.values() for t in ts)
-_SURNAME = r"\p{Lu}\p{Ll}{2,}"
+_TITLES = "|".join(TITLES)
+_LINKS = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}"
+_INITIALS = r"(?:\p{Lu}\. ?){0,3}"
+_WORD = rf"(?:[\p{{Lu}}dl]['’])?(?!(?:{'|'.join(STOP)})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+(?:\p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})"
+_SURNAME = rf"{_LINKS}{_WORD}(?:-{_WORD})*"
+_CAPITALS = r"(?:\p{Lu}['’])?\p{Lu}{2,}(?:-\p{Lu}{2,})*(?!\p{L})"
+_NAMES = (
+    rf"(?:(?:{_TITLES})\.? ){{1,3}}(?:(?:{_GIVEN})[ -]){{0,3}}{_INITIALS}{_SURNAME}(?: {_SURNAME}){{0,2}}",
+    rf"(?:(?:{'|'.join(CAPITAL_TITLES)})\.? ){{1,3}}(?:(?:{_GIVEN.upper()})[ -]){{0,3}}{_INITIALS}{_CAPITALS}",
+    rf"(?:(?:{'|'.join(SPANISH)})[ -]){{1,3}}{_INITIALS}{_SURNAME}(?: {_SURNAME})?",
+    rf"(?:(?:{_GIVEN})[ -]){{1,3}}{_INITIALS}{_SURNAME}(?: y {_WORD})?",
+)
 KINDS = {
     "private_key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,30}PRIVATE KEY-----",
     "secret": r"(?=[PpSsTtAa])(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,4}[=:]\s{0,4}[\"']?[^\s\"'<>]{6,}",
@@ -48,11 +82,13 @@ KINDS = {
     "card": r"(?=\d)(?<![\w.])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?!\w)",
     "ssn": r"(?=\d)(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?=[+(\d])(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{4}(?!\w)",
-    "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_TITLES})\.? (?:(?:{_GIVEN}) )?|(?:{_GIVEN}) ){_SURNAME}(?!\p{{L}})",
+    "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{'|'.join(_NAMES)})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-#: Draws after which numbers, whose format leaves no room, get a further group of digits.
-WIDE = 8
+#: Kinds whose format leaves no room, and the draws after which they get a further group of digits.
+NUMBERS, WIDE = ("phone", "card", "ssn", "ip", "iban"), 8
+#: Kinds that draw no surrogate of their own: words of closed lists, single letters, and what stays.
+CLOSED = ("given", "initial", "kept")
 
 
 def _number(*parts: Column | str) -> Column:
@@ -62,7 +98,7 @@ def _number(*parts: Column | str) -> Column:
 
 def _shaped(value: Column, seed: Column) -> Column:
     """Each letter and digit replaced within its class (hexadecimal strings stay hexadecimal); the rest stays."""
-    hexadecimal = value.rlike(r"^(?=[^0-9]*[0-9])[0-9a-f]{8,}$")
+    hexadecimal = value.rlike(r"^(?=[^0-9]*[0-9])(?=[^a-f]*[a-f])[0-9a-f]{8,}$")
 
     def one(c: Column, i: Column) -> Column:
         block = F.sha2(F.concat_ws("\u0001", seed, (i / 64).cast("int").cast("string")), 512)
@@ -126,35 +162,85 @@ def _ip(value: Column, seed: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, turn, out)
 
 
+def _iban(value: Column, entity: Column, seed: Column) -> Column:
+    """Letters and digits after the country redrawn; the check digits move along, so right numbers stay right."""
+    country, body = F.substr(entity, F.lit(1), F.lit(2)), F.substr(entity, F.lit(5), F.length(entity))
+    new = _shaped(body, seed)
+    worth = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    rest = lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + worth(c)) % 97
+    right = lambda b: 98 - F.aggregate(F.split(F.concat(b, country, F.lit("00")), ""), F.lit(0), rest)
+    check = F.pmod(right(new) - 2 + F.substr(entity, F.lit(3), F.lit(2)).cast("int") - right(body), F.lit(97)) + 2
+    made = F.concat(country, F.lpad(check.cast("string"), 2, "0"), new)
+    placed = lambda c, i: F.when(c == " ", c).otherwise(F.substr(made, F.length(F.replace(F.substr(value, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1)))
+    return F.array_join(F.transform(F.split(value, ""), placed), "")
+
+
+def _like(new: Column, value: Column) -> Column:
+    """``new`` in capitals where ``value`` is."""
+    return F.when((value == F.upper(value)) & (F.length(value) > 1), F.upper(new)).otherwise(new)
+
+
 def _surname(value: Column, seed: Column, attempt: Column) -> Column:
-    """Four syllables, and one more with each further draw."""
+    """Four syllables in the script of the name, and one more with each further draw."""
     out = F.lit("")
     for script, syllables in SYLLABLES.items():
         names = F.array(*map(F.lit, syllables))
         built = F.aggregate(F.sequence(F.lit(1), attempt + 4), F.lit(""), lambda a, i: F.concat(a, F.element_at(names, (_number(seed, i) % len(syllables) + 1).cast("int"))))
-        out = F.when(value.rlike(r"\p{IsCyrillic}") if script == "cyrillic" else ~value.rlike(r"\p{IsCyrillic}"), F.initcap(built)).otherwise(out)
-    return out
+        out = F.when(value.rlike(r"\p{Is%s}" % script.title()) if script != "latin" else F.lit(True), F.initcap(built)).otherwise(out)
+    return _like(out, value)
 
 
 def _given(value: Column, key: str) -> Column:
     """Each list of given names is rotated by a keyed step: distinct names stay distinct, none stays itself."""
-    out = value
+    word = F.initcap(F.lower(value))
+    out = word
     for (script, gender), names in GIVEN.items():
         listed = F.array(*map(F.lit, names))
         step = _number(key, "given", script, gender) % (len(names) - 1) + 1
-        at = F.array_position(listed, value)
+        at = F.array_position(listed, word)
         out = F.when(at > 0, F.element_at(listed, ((at - 1 + step) % len(names) + 1).cast("int"))).otherwise(out)
+    return _like(out, value)
+
+
+def _initial(value: Column, key: str) -> Column:
+    """Letters of each alphabet rotated by a keyed step; others stay."""
+    out = value
+    for letters in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"):
+        at = F.instr(F.lit(letters), value)
+        step = _number(key, "initial", letters[0]) % (len(letters) - 1) + 1
+        out = F.when(at > 0, F.substr(F.lit(letters), (at - 1 + step) % len(letters) + 1, F.lit(1))).otherwise(out)
     return out
 
 
+def _is(kind: str, value: Column) -> Column:
+    return value.rlike(rf"^(?:{KINDS[kind]})$")
+
+
+def _words(name: Column) -> Column:
+    """array<struct<kind, entity, before, value>>: the words of a match of ``name``, each with what stands before it."""
+    cuts = F.regexp_extract_all(name, F.lit(r"[^\p{L}]*\p{L}+"), F.lit(0))
+
+    def one(x: Column, i: Column) -> Column:
+        word, last, after = F.regexp_extract(x, r"(\p{L}+)$", 1), i + 1 == F.size(cuts), F.try_element_at(cuts, i + 2)
+        listed = lambda words: word.isin(*words) & ~last
+        kind = (
+            F.when(listed([*TITLES, *CAPITAL_TITLES, *PARTICLES]) | word.rlike(r"^\p{Ll}"), "kept").when(F.length(word) == 1, F.when(after.startswith("."), "initial").otherwise("kept"))
+            .when(F.initcap(F.lower(word)).isin(*_GIVEN.split("|")) & ~last, "given").otherwise("name")
+        )
+        return F.struct(kind.alias("kind"), F.when(kind == "name", F.lower(word)).otherwise(word).alias("entity"), F.regexp_extract(x, r"^([^\p{L}]*)", 1).alias("before"), word.alias("value"))
+
+    return F.transform(cuts, one)
+
+
 def _entity(value: Column, surnames: Column) -> Column:
-    """(kind, entity, before, value): what is replaced in a match and by what identity. A name that stands alone is one
-    of the ``surnames`` of its document, or else a given name."""
-    alone = F.when(value.rlike(f"^(?:{_GIVEN})$") & ~F.array_contains(surnames, value), "given").otherwise("name")
-    kind = reduce(lambda c, k: F.when(value.rlike(f"^(?:{KINDS[k]})$"), k).otherwise(c), reversed(KINDS), alone)
-    before = F.when(value.rlike(f"^(?:{KINDS['secret']})$"), F.regexp_extract(value, r"^(.*?[=:]\s*[\"']?)", 1)).when(value.rlike(rf"^(?:{KINDS['name']})$"), F.regexp_extract(value, r"^(.*) ", 1)).otherwise("")
-    rest = F.when(value.rlike(rf"^(?:{KINDS['name']})$"), F.regexp_extract(value, r" (\S+)$", 1)).otherwise(F.substr(value, F.length(before) + 1, F.length(value)))
-    return F.struct(kind.alias("kind"), F.when(kind == "email", F.lower(rest)).otherwise(rest).alias("entity"), before.alias("before"), rest.alias("value"))
+    """array<struct<kind, entity, before, value>>: what is replaced in a match and by what identity, word by word in
+    names. A word that stands alone is one of the ``surnames`` of its document, or else a given name."""
+    given = F.initcap(F.lower(value)).isin(*_GIVEN.split("|")) & ~F.array_contains(surnames, F.lower(value))
+    kind = reduce(lambda c, k: F.when(_is(k, value), k).otherwise(c), [k for k in reversed(KINDS) if k != "name"], F.when(given, "given").otherwise("name"))
+    before = F.when(_is("secret", value), F.regexp_extract(value, r"^(.*?[=:]\s*[\"']?)", 1)).otherwise("")
+    rest = F.substr(value, F.length(before) + 1, F.length(value))
+    entity = F.when(kind.isin("email", "name"), F.lower(rest)).when(kind == "iban", F.replace(rest, F.lit(" "), F.lit(""))).otherwise(rest)
+    return F.when(_is("name", value), _words(value)).otherwise(F.array(F.struct(kind.alias("kind"), entity.alias("entity"), before.alias("before"), rest.alias("value"))))
 
 
 def surrogate(kind: Column, value: Column, entity: Column, key: str, attempt: Column) -> Column:
@@ -176,18 +262,20 @@ def surrogate(kind: Column, value: Column, entity: Column, key: str, attempt: Co
         .when(kind == "card", _card(value, cipher))
         .when(kind == "ssn", _refilled(value, _permuted(_digits(value), cipher)))
         .when(kind == "ip", _ip(value, cipher))
-        .when(kind == "iban", F.concat(F.substr(value, F.lit(1), F.lit(2)), _shaped(F.substr(value, F.lit(3), F.length(value)), seed)))
+        .when(kind == "iban", _iban(value, entity, seed))
         .when(kind == "private_key", F.concat(pem[0], _shaped(inner, seed), pem[1]))
         .when(kind == "key", F.concat(key_head, _shaped(F.substr(value, F.length(key_head) + 1, F.length(value)), seed)))
         .when(kind == "name", _surname(value, seed, attempt))
         .when(kind == "given", _given(value, key))
+        .when(kind == "initial", _initial(value, key))
+        .when(kind == "kept", value)
         .otherwise(_shaped(value, seed))
     )
     # a further draw is longer, where the format allows it at once, else after WIDE draws in the same format
-    extra = F.when(kind.isin("name", "given"), 0).when(kind.isin("phone", "card", "ssn", "ip"), F.greatest(F.lit(0), attempt - WIDE)).otherwise(attempt)
-    more = F.when(kind == "email", F.lit("a")).when(kind.isin("phone", "card", "ssn", "ip"), F.lit("0")).otherwise(F.lit("x"))
+    extra = F.when(kind.isin("name", *CLOSED), 0).when(kind.isin(*NUMBERS), F.greatest(F.lit(0), attempt - WIDE)).otherwise(attempt)
+    more = F.when(kind == "email", F.lit("a")).when(kind.isin(*NUMBERS), F.lit("0")).otherwise(F.lit("x"))
     drawn = _shaped(F.repeat(more, extra.cast("int")), F.concat(seed, F.lit("more")))
-    tail = F.when(kind.isin("phone", "card", "ssn", "ip"), F.concat(F.lit("-"), drawn)).otherwise(drawn)
+    tail = F.when(kind.isin(*NUMBERS), F.concat(F.lit("-"), drawn)).otherwise(drawn)
     return F.when(extra <= 0, fixed).when(kind == "email", F.concat(drawn, fixed)).when(kind == "private_key", F.concat(pem[0], _shaped(inner, seed), drawn, pem[1])).otherwise(F.concat(fixed, tail))
 
 
@@ -195,14 +283,17 @@ def _parts(text: Column) -> Column:
     """struct<parts, surnames>: the text cut at its entities, every second part being one, and the surnames that occur."""
     plain = F.when(text.contains(OPEN) | text.contains(CLOSE), F.translate(text, OPEN + CLOSE, "\ufffd\ufffd")).otherwise(text)
     cut_at = lambda t, pattern: F.split(F.regexp_replace(t, pattern, F.lit(f"{OPEN}$0{CLOSE}")), f"[{OPEN}{CLOSE}]", -1)
-    named = lambda parts: F.filter(parts, lambda p, i: (i % 2 == 1) & p.rlike(f"^(?:{KINDS['name']})$"))
+    named = lambda parts: F.filter(parts, lambda p, i: (i % 2 == 1) & _is("name", p))
 
     def carried(parts: Column, names: Column) -> Column:
-        """Mentions of the names by themselves, in what lies between the entities."""
-        surnames = F.array_distinct(F.transform(names, lambda n: F.regexp_extract(n, r" (\S+)$", 1)))
-        given = F.transform(names, lambda n: F.regexp_extract(n, rf"(?:^|\s)({_GIVEN}) ", 1))
-        words = F.filter(F.array_distinct(F.concat(surnames, given)), lambda w: w != "")
-        pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L})"))
+        """Mentions of the names' words by themselves, in what lies between the entities."""
+        words = F.filter(F.flatten(F.transform(names, _words)), lambda w: w["kind"].isin("name", "given") & (F.length(w["value"]) > 1))
+        return _bound(words, lambda w: alone(parts, F.array_distinct(F.transform(w, lambda x: x["value"])), F.array_distinct(F.transform(F.filter(w, lambda x: x["kind"] == "name"), lambda x: x["entity"]))))
+
+    def alone(parts: Column, words: Column, surnames: Column) -> Column:
+        forms = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, F.initcap(F.lower(w)), F.upper(w)))))
+        any_of = F.concat(F.lit("(?:"), F.array_join(forms, "|"), F.lit(")"))
+        pattern = F.concat(F.lit(r"(?<!\p{L})"), any_of, F.lit(r"(?=s?(?!\p{L}))(?! (?!"), any_of, F.lit(r"s?(?!\p{L}))\p{Lu}\p{Ll})"))
         return F.struct(F.flatten(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.array(p)).otherwise(cut_at(p, pattern)))).alias("parts"), surnames.alias("surnames"))
 
     def of(parts: Column) -> Column:
@@ -220,6 +311,7 @@ def _bound(value: Column, body) -> Column:
 def entities(df: DataFrame, text_col: str = "text", *keep: str) -> DataFrame:
     """(keep..., kind, entity, before, value) for each mention."""
     found = _bound(_parts(F.col(text_col)), lambda x: F.transform(F.filter(x["parts"], lambda p, i: i % 2 == 1), lambda p: _entity(p, x["surnames"])))
+    found = F.filter(F.flatten(found), lambda e: ~e["kind"].isin("initial", "kept"))
     rows = df.select(*keep, F.explode_outer(found).alias("__match")).where(F.col("__match").isNotNull())
     return rows.select(*keep, "__match.*")
 
@@ -228,7 +320,7 @@ def draws(mentions: DataFrame, key: str) -> DataFrame:
     """(kind, entity, attempt > 0): the entities whose first surrogate was taken, with the draw that is free."""
     spread = partitions(mentions.sparkSession)
     same = lambda c: F.lower(c) if isinstance(c, Column) else F.lower(F.col(c))
-    rows = cut(mentions.where("kind != 'given'").select("kind", "entity").distinct().repartition(spread))
+    rows = cut(mentions.where(~F.col("kind").isin(*CLOSED)).select("kind", "entity").distinct().repartition(spread))
     state = rows.withColumn("attempt", F.lit(0)).withColumn("new", surrogate(F.col("kind"), F.col("entity"), F.col("entity"), key, F.col("attempt")))
     taken = rows.select("kind", same("entity").alias("other")).distinct()
     while True:
@@ -254,18 +346,16 @@ def replace(df: DataFrame, key: str = "demonstration-key", id_col: str = "doc_id
     if again.isEmpty():
         rows, attempt_of = df, lambda e: F.lit(0)
     else:
-        hits = entities(df, text_col, id_col).join(again, ["kind", "entity"])
-        maps = hits.groupBy(F.col(id_col).alias("__id")).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "entity"), "attempt"))).alias("__again"))
-        rows = df.join(maps, df[id_col].eqNullSafe(maps["__id"]), "left").drop("__id")
+        # rows without an id count by their text, so none of them share a map
+        keyed = df.withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.sha2(text_col, 256)))
+        hits = entities(keyed, text_col, "__id").join(again, ["kind", "entity"])
+        maps = hits.groupBy("__id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "entity"), "attempt"))).alias("__again"))
+        rows = keyed.join(maps, "__id", "left").drop("__id")
         attempt_of = lambda e: F.coalesce(F.try_element_at(F.col("__again"), F.concat_ws("|", e["kind"], e["entity"])), F.lit(0))
 
-    def put(e: Column) -> Column:
-        words = F.split(e["before"], " ")
-        before = F.when((e["kind"] == "name") & (e["before"] != ""), F.concat(F.array_join(F.transform(words, lambda w: _given(w, key)), " "), F.lit(" "))).otherwise(e["before"])
-        return F.concat(before, surrogate(e["kind"], e["value"], e["entity"], key, attempt_of(e)))
-
+    put = lambda e: F.concat(e["before"], surrogate(e["kind"], e["value"], e["entity"], key, attempt_of(e)))
     parts, surnames = F.col("__parts.parts"), F.col("__parts.surnames")
-    new = F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.element_at(F.transform(F.array(_entity(p, surnames)), put), 1)).otherwise(p))
+    new = F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.array_join(F.transform(_entity(p, surnames), put), "")).otherwise(p))
     out = rows.withColumn("__parts", _parts(F.col(text_col)))
     columns = [F.when(F.size(parts) == 1, parts[0]).otherwise(F.array_join(new, "")).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in df.columns]
     return out.select(*columns, F.coalesce(((F.size(parts) - 1) / 2).cast("int"), F.lit(0)).alias("n_entities"))

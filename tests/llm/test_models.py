@@ -485,6 +485,41 @@ def test_surrogates_of_a_carried_name(spark):
     assert all("a.b" not in r["text"] and "123-45" not in r["text"] for r in out.where("doc_id IS NULL").collect())
 
 
+NAMES = [
+    ("Mr John Smith-Jones met Smith and Jones.", r"Mr (?!John)\w+ (\w+)-(\w+) met \1 and \2\."), ("Frau Müller-Lüdenscheidt; Müllers Haus", r"Frau (\w+)-\w+; \1s Haus"),
+    ("Dr. García López came, López left", r"Dr\. \w+ (\w+) came, \1 left"), ("Mr John A. Smith and J. Smith", r"Mr (?!John)\w+ [B-Z]\. (\w+) and J\. \1"),
+    ("Mr O'Brien, then Brien and O'Brien", r"Mr O'(\w+), then \1 and O'\1"), ("Herrn Schmidt und Herrn Dr. Schmidt", r"Herrn (\w+) und Herrn Dr\. \1"),
+    ("MR JOHN SMITH met John Smith", r"MR ([A-Z]+) ([A-Z]+) met (?i:\1 \2)"), ("Dr Παπαδόπουλος", r"Dr [Α-Ω][α-ω]+"), ("Mr Հակոբյան", r"Mr [Ա-Ֆ][ա-ֆ]+"),
+    ("Mr John White saw the White House. White left.", r"Mr \w+ (\w+) saw the White House\. \1 left\."), ("Mark my words", "Mark my words"), ("The Dr. She said", "The Dr. She said"),
+    ("Carlos García López, García", r"(?!Carlos)\w+ (\w+) \w+, \1"), ("Mr Ludwig van Beethoven, Beethoven", r"Mr \w+ van (\w+), \1"), ("Monsieur d'Artagnan", r"Monsieur d'\w+"), ("Mr Ravi Patel", r"Mr \w+ \w+"),
+]
+
+
+def test_surrogates_of_names_of_many_forms(spark):
+    out = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(NAMES)], "doc_id long, text string")).collect()}
+    for k, (text, want) in enumerate(NAMES):
+        assert re.fullmatch(want, out[k]), (text, out[k])
+    assert not {"Ravi", "Patel", "López", "Artagnan", "Müller", "Lüdenscheidt"} & set(re.findall(r"\w+", " ".join(out.values())))
+
+
+def test_surrogate_ibans_keep_their_check(spark):
+    """A right number stays right, a wrong one wrong, in digits and letters as before, with and without spaces alike."""
+    ibans = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "DE88370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606"]
+    out = [r["text"] for r in pii.replace(spark.createDataFrame(list(enumerate(ibans)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    rest = lambda x: int("".join(str(int(c, 36)) for c in x.replace(" ", "")[4:] + x[:4])) % 97
+    shape = lambda x: re.sub("[0-9]", "0", re.sub("[A-Z]", "A", x))
+    assert [rest(x) == 1 for x in out] == [rest(x) == 1 for x in ibans] == [True, True, False, True, True]
+    assert list(map(shape, out)) == list(map(shape, ibans)) and out[0].replace(" ", "") == out[1] and len(set(out)) == 5 and not set(out) & set(ibans)
+
+
+def test_surrogates_without_ids(spark, monkeypatch):
+    """Rows without an id that need further draws each have a map of their own, copies among them."""
+    monkeypatch.setattr(pii, "SYLLABLES", {"latin": ["ba", "be"]})
+    rows = [(None, f"Mr A{x}{y}zz") for x in "abcdefgh" for y in "abcdefgh"] * 2
+    out = [r["text"] for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(out) == 128 and len(set(out)) == 64 and set(Counter(out).values()) == {2}
+
+
 def test_surrogates_go_on_until_distinct(spark, monkeypatch):
     """300 surnames where a first draw has 16 values: later draws are longer."""
     monkeypatch.setattr(pii, "SYLLABLES", {"latin": ["ba", "be"], "cyrillic": ["ба", "бе"]})
