@@ -1,7 +1,7 @@
 """Preset patterns: (category, entity type, regular expression, gate).
 
 A gate is a set of literals of which a text must contain one before its pattern can match; most texts skip most
-patterns by a plain substring search. Patterns are written in the common part of the Python and Java dialects.
+patterns by a plain substring search, and most searches by a trait (``TRAITS``). Patterns are written in the common part of the Python and Java dialects.
 """
 
 from __future__ import annotations
@@ -146,6 +146,18 @@ PRESETS: list[tuple[str, str, str, tuple[str, ...]]] = [
 CLASS_GATES = {
     "MY_NUMBER": r"(?U)\d{4}", "DRIVERS_LICENSE": r"(?U)\d{2}", "PASSPORT": r"(?U)[A-Z]{2}\d{7}", "KATAKANA_NAME": "[ァ-ヶー]{4}", "JP_SURNAME": "[一-龥]", "WORLD_COUNTRY": "[ァ-ヶ一-龥]",
 }
+#: What few texts hold, looked for once a text. A literal with such a trait is searched only in texts that have it, and so
+#: are the patterns of the categories named in ``NEEDS``, all of whose matches have it. Digits are
+#: any Unicode digit.
+TRAITS = {"wide": "[\u3000-\uffff]", "capitals": "[A-Z]{2}", "joint": "_", "hyphen": "-", "digit": r"\d"}
+NEEDS = {"MY_NUMBER": "digit", "DRIVERS_LICENSE": "digit", "PASSPORT": "digit", "IP_ADDRESS": "digit", "KATAKANA_NAME": "wide", "JP_SURNAME": "wide", "WORLD_COUNTRY": "wide"}
+
+
+def trait(literal: str) -> str | None:
+    """The first trait of a literal."""
+    return next((name for name, p in TRAITS.items() if re.search(p, literal)), None)
+
+
 CATEGORIES = list(dict.fromkeys(p[0] for p in PRESETS))
 
 

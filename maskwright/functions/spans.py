@@ -111,17 +111,21 @@ def regex_spans(text: Column, entity_type: str, pattern: str, dialect: str = "ga
     return _matches(_pieces(text, pattern, dialect), F.lit(entity_type), source, score)
 
 
-def patterns_spans(text: Column, patterns: list[tuple[str, str, Callable[[Column], Column] | None]], dialect: str = "gateway", source: str = "regex") -> Column:
-    """Spans of many (entity type, pattern, gate) in order; a pattern runs only where its gate holds."""
+def patterns_spans(text: Column, patterns: list[tuple[str, str, Callable[[Column], Column] | None]], dialect: str = "gateway", source: str = "regex", traits: dict[str, str] | None = None) -> Column:
+    """Spans of many (entity type, pattern, gate) in order; a pattern runs only where its gate holds.
+
+    A gate takes a struct of the text, as ``t``, and of whether it holds each of the named ``traits``, looked for once.
+    """
     if not patterns:
         return none()
 
-    def found(t: Column) -> Column:
-        hits = [F.struct(F.lit(label).alias("label"), (_pieces(t, p, dialect) if gate is None else F.when(gate(t), _pieces(t, p, dialect))).alias("pieces")) for label, p, gate in patterns]
+    def found(x: Column) -> Column:
+        t = x["t"]
+        hits = [F.struct(F.lit(label).alias("label"), (_pieces(t, p, dialect) if gate is None else F.when(gate(x), _pieces(t, p, dialect))).alias("pieces")) for label, p, gate in patterns]
         some = F.filter(F.array(*hits), lambda h: F.coalesce(F.size(h["pieces"]) > 1, F.lit(False)))
         return F.flatten(F.transform(some, lambda h: _matches(h["pieces"], h["label"], source)))
 
-    return let(text, found)
+    return let(F.struct(text.alias("t"), *[text.rlike("(?U)" + p).alias(name) for name, p in (traits or {}).items()]), found)
 
 
 def dictionary_spans(text: Column, entity_type: str, words: list[str], ascii_boundary: bool = False, dialect: str = "gateway") -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import labels
 from maskwright.functions import spans as S
 from maskwright.functions.arrow import appended
-from maskwright.functions.patterns import CLASS_GATES, PRESETS
+from maskwright.functions.patterns import CLASS_GATES, NEEDS, PRESETS, TRAITS, trait
 from maskwright.plans.config import MaskConfig
 
 # Characters that count as Japanese, space, ambiguous names, and types of tagger classes.
@@ -24,18 +24,28 @@ POS_TYPES = {"人名": "PERSON", "地名": "LOCATION", "組織": "ORG"}
 NER_TYPES = {"PER": "PERSON", "PERSON": "PERSON", "LOC": "LOCATION", "LOCATION": "LOCATION", "ORG": "ORG", "ORGANIZATION": "ORG"}
 
 
-def _gate(category: str, pattern: str, literals: tuple[str, ...]):
+def _gate(category: str, pattern: str, literals: tuple[str, ...]) -> Callable[[Column], Column] | None:
+    """Whether a text (struct of ``t`` and traits) may match: the pattern's traits first, then its literals."""
+
+    def holds(x: Column, literal: str) -> Column:
+        found, name = x["t"].contains(literal), trait(literal)
+        return x[name] & found if name else found
+
+    if pattern.startswith("(?<!"):
+        return None
     if literals:
-        return lambda t: reduce(lambda a, b: a | b, [t.contains(g) for g in literals])
-    if category in CLASS_GATES and not pattern.startswith("(?<!"):
-        return lambda t: t.rlike(CLASS_GATES[category])
-    return None
+        some = lambda x: reduce(lambda a, b: a | b, [holds(x, g) for g in literals])
+    elif category in CLASS_GATES:
+        some = lambda x: x["t"].rlike(CLASS_GATES[category])
+    else:
+        return None
+    return (lambda x: x[NEEDS[category]] & some(x)) if category in NEEDS else some
 
 
 def preset_spans(text: Column, disabled: list[str] | None = None, dialect: str = "gateway", only: list[str] | None = None) -> Column:
     """All enabled presets in order; a pattern runs only where the text holds its gate."""
     chosen = [(label, p, _gate(c, p, g)) for c, label, p, g in PRESETS if c not in (disabled or ()) and (only is None or c in only)]
-    return S.patterns_spans(text, chosen, dialect)
+    return S.patterns_spans(text, chosen, dialect, traits=TRAITS)
 
 
 def pattern_spans(text: Column, patterns: list[list[str]], dialect: str = "gateway") -> Column:
@@ -234,17 +244,36 @@ def piece_offsets(text: Column, pieces: Column) -> Column:
     return S.let(S.let(stretches, places), offsets)
 
 
+#: Tokens of a document that are merged in one task.
+TOKENS = 65_536
+
+
 def bio_spans(tokens: DataFrame) -> DataFrame:
     """(doc_id, entity_group, start, end, score) from tagged tokens (doc_id, idx, tag, score, start, end).
 
-    A span opens on B, on a change of type and after a tag that is none; tokens with bad offsets are skipped.
+    A span opens on B, on a change of type and after a tag that is none; tokens with bad offsets are skipped. Documents are
+    merged in stretches of ``TOKENS`` numbers, so that a very long one is spread over tasks; only each stretch's last piece, and a
+    first one that may go on from the stretch before, then meet by document.
     """
-    part = F.regexp_extract("tag", "^([BIE])-(.+)$", 1)
-    t = tokens.select("*", part.alias("prefix"), F.regexp_extract("tag", "^([BIE])-(.+)$", 2).alias("type")).where((F.col("prefix") == "") | (F.coalesce(F.col("end") > F.col("start"), F.lit(False))))
-    w = Window.partitionBy("doc_id").orderBy("idx")
-    breaks = (F.col("prefix") != "I") & (F.col("prefix") != "E") | ~F.coalesce(F.lag("type").over(w) == F.col("type"), F.lit(False))
-    t = t.withColumn("open", breaks.cast("int")).withColumn("island", F.sum("open").over(w)).where(F.col("prefix") != "")
-    return t.groupBy("doc_id", "island").agg(F.first("type").alias("entity_group"), F.min_by("start", "idx").alias("start"), F.max_by("end", "idx").alias("end"), F.avg(F.coalesce("score", F.lit(0.0))).alias("score")).drop("island")
+    tag = lambda k: F.regexp_extract("tag", "^([BIE])-(.+)$", k)
+    t = tokens.select("*", tag(1).alias("prefix"), tag(2).alias("type"), F.floor(F.col("idx") / TOKENS).alias("stretch")).where((tag(1) == "") | F.coalesce(F.col("end") > F.col("start"), F.lit(False)))
+    w = Window.partitionBy("doc_id", "stretch").orderBy("idx")
+    goes_on = F.col("prefix").isin("I", "E")
+    opens = ~goes_on | ~F.coalesce(F.lag("type").over(w) == F.col("type"), F.lit(False))
+    t = t.withColumn("goes_on", goes_on).withColumn("island", F.sum(opens.cast("int")).over(w)).withColumn("islands", F.max("island").over(Window.partitionBy("doc_id", "stretch")))
+    pieces = t.groupBy("doc_id", "stretch", "island").agg(
+        F.first("type").alias("entity_group"), F.min_by("start", "idx").alias("start"), F.max_by("end", "idx").alias("end"), F.sum(F.coalesce("score", F.lit(0.0))).alias("sum"), F.count("*").alias("n"),
+        F.first("islands").alias("islands"), F.min_by("goes_on", "idx").alias("goes_on"),
+    )
+    asks = (F.col("island") == 1) & F.col("goes_on")
+    border = asks | (F.col("island") == F.col("islands"))
+    order = Window.partitionBy("doc_id").orderBy("stretch", "island")
+    chained = asks & F.coalesce(F.lag("entity_group").over(order) == F.col("entity_group"), F.lit(False))
+    met = pieces.where(border).withColumn("span", F.sum((~chained).cast("int")).over(order)).groupBy("doc_id", "span")
+    at = F.struct("stretch", "island")
+    merged = met.agg(F.first("entity_group").alias("entity_group"), F.min_by("start", at).alias("start"), F.max_by("end", at).alias("end"), F.sum("sum").alias("sum"), F.sum("n").alias("n"))
+    cols = ["doc_id", "entity_group", "start", "end", (F.col("sum") / F.col("n")).alias("score")]
+    return pieces.where(~border).select("doc_id", "entity_group", "start", "end", "sum", "n").unionByName(merged.drop("span")).where(F.col("entity_group") != "").select(*cols)
 
 
 def map_ner_labels(groups: DataFrame) -> DataFrame:

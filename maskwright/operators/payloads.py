@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import sys
 from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
@@ -271,10 +272,22 @@ def normalized_text(body: Column) -> Column:
     return F.when(F.size(parts) > 0, F.regexp_replace(joined, r"(?U)^\s+|\s+$", ""))
 
 
+#: Turns of a conversation whose surfaces are numbered in one task.
+TURNS = 1_024
+
+
+def _joined(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join in which nulls are keys like any other value; the keys are those of ``a``."""
+    named = b.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    return a.join(named, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), how).drop(*[f"__{k}" for k in keys])
+
+
 def mask_conversations(df: DataFrame, spans_of, roles: tuple[str, ...] = ("user",), scope: str = "turn") -> DataFrame:
     """Turns (conv_id, turn, role, text) with ``masked``: turns of the given roles, others as they are.
 
-    ``spans_of`` gives the spans of a text Column. Numbers restart with each turn, or run through a conversation.
+    ``spans_of`` gives the spans of a text Column. Numbers restart with each turn, or run through a conversation: there
+    surfaces are numbered within ``TURNS`` turns each, and what earlier stretches hold is added, so that a conversation of any length is
+    spread over tasks. Rows without conversation or turn count as one of their own.
     """
     own = F.col("role").isin(list(roles))
     rows = df.withColumn("spans", F.when(own, S.numbered(spans_of(S.safe(F.col("text"))))).otherwise(S.none()))
@@ -282,12 +295,16 @@ def mask_conversations(df: DataFrame, spans_of, roles: tuple[str, ...] = ("user"
         return rows.withColumn("masked", F.when(F.size("spans") > 0, mask.tag_mask(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
     rows = rows.withColumn("print", F.xxhash64("text"))
     each = rows.select("conv_id", "turn", "print", F.explode_outer("spans").alias("s")).where(F.col("s").isNotNull()).select("conv_id", "turn", "print", "s.seq", "s.entity_type", "s.text", "s.start", "s.end")
-    first = each.groupBy("conv_id", "entity_type", "text").agg(F.min(F.struct("turn", "start", "end")).alias("at"))
-    numbered = first.withColumn("n", F.dense_rank().over(Window.partitionBy("conv_id", "entity_type").orderBy("at")))
+    first = each.groupBy("conv_id", "entity_type", "text").agg(F.min(F.struct("turn", "start", "end")).alias("at")).withColumn("part", F.floor(F.col("at.turn") / TURNS))
+    key = ["conv_id", "entity_type", "part"]
+    placed = first.withColumn("own", F.row_number().over(Window.partitionBy(*key).orderBy("at", "text"))).withColumn("size", F.count("*").over(Window.partitionBy(*key)))
+    earlier = Window.partitionBy("conv_id", "entity_type").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.where(F.col("own") == 1).select(*key, F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    numbered = _joined(placed, before, key).select("conv_id", "entity_type", "text", (F.col("own") + F.col("before")).alias("n"))
     # back to each turn with only its own numbers: a conversation's surfaces are never gathered in one row
-    own = each.join(numbered.drop("at"), ["conv_id", "entity_type", "text"]).select("conv_id", "turn", "print", "seq", "n").distinct()
+    own = _joined(each, numbered, ["conv_id", "entity_type", "text"]).select("conv_id", "turn", "print", "seq", "n").distinct()
     table = own.groupBy("conv_id", "turn", "print").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "n"))), lambda x: x["n"]).alias("numbers"))
-    joined = rows.join(table, ["conv_id", "turn", "print"], "left")
+    joined = _joined(rows, table, ["conv_id", "turn", "print"], "left")
     return joined.withColumn("masked", F.when(F.size("spans") > 0, mask.numbered_mask(F.col("text"), F.col("spans"), F.col("numbers"))).otherwise(F.col("text"))).drop("numbers", "print")
 
 

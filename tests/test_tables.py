@@ -1,5 +1,7 @@
 import json
 import math
+import random
+import re
 
 import duckdb
 import pytest
@@ -314,3 +316,54 @@ def test_audit_windows_stream_equals_batch(spark, tmp_path):
     key = lambda d: sorted((r["start"], r["records"], r["detections"]) for r in d.collect())
     got = key(streamed(spark, df, tmp_path, "windows", lambda s: streams.audit_windows(s), "complete"))
     assert got == key(streams.audit_windows(df)) and len(got) > 10
+
+
+@pytest.mark.parametrize("tokens", [1, 3, 65_536])
+def test_tags_of_long_documents(spark, monkeypatch, tokens):
+    """Merged in stretches of any size, tags give what one pass over each document gives."""
+    monkeypatch.setattr(detect, "TOKENS", tokens)
+    pick = random.Random(5)
+    rows = []
+    for doc in (1, 2, 3, None):
+        for k in range(200 if doc == 1 else 7):
+            if pick.random() < 0.9:
+                at = 10 * k
+                rows.append((doc, k, pick.choice(["B-PER", "I-PER", "I-PER", "E-PER", "I-ORG", "O", None]), pick.choice([0.5, 0.25, None]), at, at + pick.choice([4, 4, 4, 0])))
+    want = []
+    for doc in (1, 2, 3, None):
+        last, spans = "", []
+        for _, _, tag, score, start, end in sorted((r for r in rows if r[0] == doc), key=lambda r: r[1]):
+            prefix, kind = tag.split("-") if tag and "-" in tag else ("", "")
+            if tag != "O" and end <= start:
+                continue
+            if prefix in ("I", "E") and kind == last:
+                spans[-1][2:] = end, [*spans[-1][3], score or 0.0]
+            elif kind:
+                spans.append([kind, start, end, [score or 0.0]])
+            last = kind
+        want += [(doc, kind, start, end, sum(s) / len(s)) for kind, start, end, s in spans]
+    got = detect.bio_spans(spark.createDataFrame(rows, "doc_id long, idx long, tag string, score double, start int, end int"))
+    assert got.columns == ["doc_id", "entity_group", "start", "end", "score"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert len(want) > 30
+
+
+@pytest.mark.parametrize("turns", [1, 3, 1_024])
+def test_numbers_through_long_conversations(spark, monkeypatch, turns):
+    """Numbered in stretches of any size, rows without keys and repeated rows among them."""
+    monkeypatch.setattr(payloads, "TURNS", turns)
+    pick = random.Random(7)
+    word = lambda: f"W{pick.randrange(12)}"
+    rows = [(conv, k, "user" if k % 4 else "assistant", f"{word()} and {word()}") for conv in (1, 2, None) for k in range(20)]
+    rows += [(1, None, "user", "W99 W3"), (1, 5, "user", rows[5][3]), (3, 0, "user", None), (3, 1, "user", ""), (3, 2, None, "W1")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    out = payloads.mask_conversations(df, lambda t: S.regex_spans(t, "W", r"W\d+"), scope="conversation")
+    assert out.columns == [*df.columns, "spans", "masked"]
+    want = []
+    for conv in (1, 2, 3, None):
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0))
+        numbers: dict[str, int] = {}
+        for _, turn, role, text in own:
+            number = lambda m: f"<W_{numbers.setdefault(m[0], len(numbers) + 1)}>"
+            want.append((conv, turn, re.sub(r"W\d+", number, text) if text and role == "user" else text))
+    assert sorted(repr(tuple(r)) for r in out.select("conv_id", "turn", "masked").collect()) == sorted(map(repr, want))
