@@ -260,20 +260,18 @@ def bio_spans(tokens: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id", "stretch").orderBy("idx")
     goes_on = F.col("prefix").isin("I", "E")
     opens = ~goes_on | ~F.coalesce(F.lag("type").over(w) == F.col("type"), F.lit(False))
-    t = t.withColumn("goes_on", goes_on).withColumn("island", F.sum(opens.cast("int")).over(w)).withColumn("islands", F.max("island").over(Window.partitionBy("doc_id", "stretch")))
+    t = t.withColumn("goes_on", goes_on).withColumn("island", F.sum(opens.cast("int")).over(w)).withColumn("last", F.lead(F.lit(False), 1, True).over(w))
     pieces = t.groupBy("doc_id", "stretch", "island").agg(
         F.first("type").alias("entity_group"), F.min_by("start", "idx").alias("start"), F.max_by("end", "idx").alias("end"), F.sum(F.coalesce("score", F.lit(0.0))).alias("sum"), F.count("*").alias("n"),
-        F.first("islands").alias("islands"), F.min_by("goes_on", "idx").alias("goes_on"),
+        F.bool_or("last").alias("last"), F.min_by("goes_on", "idx").alias("goes_on"),
     )
     asks = (F.col("island") == 1) & F.col("goes_on")
-    border = asks | (F.col("island") == F.col("islands"))
-    order = Window.partitionBy("doc_id").orderBy("stretch", "island")
-    chained = asks & F.coalesce(F.lag("entity_group").over(order) == F.col("entity_group"), F.lit(False))
-    met = pieces.where(border).withColumn("span", F.sum((~chained).cast("int")).over(order)).groupBy("doc_id", "span")
+    pieces = pieces.withColumn("asks", asks).withColumn("lane", F.when(F.col("last") | F.coalesce("asks", F.lit(False)), -1).otherwise(F.col("stretch")))  # -1: all that may meet
+    w = Window.partitionBy("doc_id", "lane").orderBy("stretch", "island")
+    chained = F.coalesce(F.col("asks") & (F.lag("entity_group").over(w) == F.col("entity_group")), F.lit(False))
     at = F.struct("stretch", "island")
-    merged = met.agg(F.first("entity_group").alias("entity_group"), F.min_by("start", at).alias("start"), F.max_by("end", at).alias("end"), F.sum("sum").alias("sum"), F.sum("n").alias("n"))
-    cols = ["doc_id", "entity_group", "start", "end", (F.col("sum") / F.col("n")).alias("score")]
-    return pieces.where(~border).select("doc_id", "entity_group", "start", "end", "sum", "n").unionByName(merged.drop("span")).where(F.col("entity_group") != "").select(*cols)
+    merged = pieces.withColumn("span", F.sum((~chained).cast("int")).over(w)).where(F.col("entity_group") != "").groupBy("doc_id", "lane", "span")
+    return merged.agg(F.first("entity_group").alias("entity_group"), F.min_by("start", at).alias("start"), F.max_by("end", at).alias("end"), (F.sum("sum") / F.sum("n")).alias("score")).drop("lane", "span")
 
 
 def map_ner_labels(groups: DataFrame) -> DataFrame:
