@@ -53,7 +53,7 @@ def register(spark: SparkSession) -> None:
         define(f"{name}(label STRING) RETURNS STRING", f"coalesce(try_element_at(map({pairs}), label), '{other}')")
     define(f"raw_spans(t STRING) RETURNS ARRAY<{S.SPAN}>", as_sql(detect.preset_spans(S.safe(t))))
     define(f"resolved_spans(s ARRAY<{S.SPAN}>) RETURNS ARRAY<{S.SPAN}>", as_sql(S.numbered(filters.filtered(S.resolve_overlaps(F.col("s")), cfg))))
-    define("detect(t STRING) RETURNS TABLE (entity_type STRING, start INT, end INT, text STRING, severity STRING)", "SELECT x.entity_type, x.start, x.end, x.text, severity_for(x.entity_type) FROM (SELECT resolved_spans(raw_spans(t)) AS s) LATERAL VIEW explode(s) e AS x")
+    define("detect(t STRING) RETURNS TABLE (entity_type STRING, start INT, end INT, text STRING, severity STRING)", "SELECT x.entity_type, x.start, x.end, x.text, severity_for(x.entity_type) FROM (SELECT resolved_spans(raw_spans(t)) AS s) LATERAL VIEW OUTER explode(s) e AS x WHERE x IS NOT NULL")
     for name in mask.STRATEGIES:
         define(f"{name}_spans(t STRING, s ARRAY<{S.SPAN}>) RETURNS STRING", as_sql(mask.STRATEGIES[name](t, F.col("s"))))
     spans = "resolved_spans(raw_spans(t))"
