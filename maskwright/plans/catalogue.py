@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_spans, queries_tables
+from . import queries_spans, queries_streams, queries_tables
 
-QUERIES = queries_spans.QUERIES | queries_tables.QUERIES
-ORACLE = queries_spans.ORACLE | queries_tables.ORACLE
+QUERIES = queries_spans.QUERIES | queries_tables.QUERIES | queries_streams.QUERIES
+ORACLE = queries_spans.ORACLE | queries_tables.ORACLE | queries_streams.ORACLE
 FLAGSHIP = QUERIES["sanitize_documents"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import labels
 from maskwright.functions import spans as S
-from maskwright.functions.patterns import CATEGORIES, PRESETS
+from maskwright.functions.patterns import CATEGORIES, PRESETS, TRAITS
 from maskwright.functions.udf import register
 from maskwright.operators import detect, enrich, filters, mask, triggers
 from maskwright.operators.surrogate import hash32, surrogate
@@ -60,6 +60,14 @@ def test_gates_take_the_digits_of_their_patterns(spark):
     assert found[True] == found[False] and {0, 1, 2, 3, 4, 5} == {k for k, _, _ in found[True]}
 
 
+def test_literals_pass_their_gates(spark):
+    """A literal's trait never keeps it from being found."""
+    traits = lambda t: F.struct(t.alias("t"), *[t.rlike("(?U)" + p).alias(n) for n, p in TRAITS.items()])
+    text = lambda g: F.lit(f"x {g} ７")
+    row = spark.range(1).select(*[detect._gate(c, p, gs)(traits(text(g))).alias(f"c{k}_{i}") for k, (c, _, p, gs) in enumerate(PRESETS) for i, g in enumerate(gs)]).first()
+    assert len(row) > 150 and all(row)
+
+
 def test_golden_cases(docs):
     out = {r["doc_id"]: r for r in mask.sanitize(docs).collect()}
     for k, (label, surface) in EXPECTED.items():

@@ -17,7 +17,7 @@ from maskwright.streaming import streams
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Queries that are quick enough for every test run; all others are compared by the driver.
-QUICK = ["sanitize_documents", "language_memos", "merge_pages", "needs_ocr", "file_kind", "redact_url", "classify_service", "first_seen_urls", "running_counts", "audit_windows", "merge_allowlist", "upsert_forcelist", "remove_forcelist", "new_entries", "list_audits", "allowed_audits", "bio_spans", "ner_labels", "piece_offsets", "mask_conversations", "text_segments", "parse_frames", "llm_answers", "rows_from_replacements", "rewrite_with_tags", "literal_force_list", "token_spans"]
+QUICK = ["sanitize_documents", "language_memos", "merge_pages", "needs_ocr", "file_kind", "redact_url", "classify_service", "first_seen_urls", "running_counts", "audit_windows", "merge_allowlist", "upsert_forcelist", "remove_forcelist", "new_entries", "list_audits", "allowed_audits", "bio_spans", "ner_labels", "piece_offsets", "mask_conversations", "text_segments", "parse_frames", "llm_answers", "rows_from_replacements", "rewrite_with_tags", "literal_force_list", "token_spans", "mask_stream", "list_updates", "audit_stream", "audit_table", "read_vectors"]
 MAIL = MaskConfig(disabled=[c for c in dict.fromkeys(p[0] for p in __import__("maskwright.functions.patterns", fromlist=["PRESETS"]).PRESETS) if c != "EMAIL_ADDRESS"])
 
 
