@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from maskwright.functions import labels
+from maskwright.functions import labels, presets
 from maskwright.functions import spans as S
 from maskwright.functions.patterns import CATEGORIES, PRESETS, TRAITS
 from maskwright.functions.udf import register
@@ -50,6 +50,21 @@ def test_presets_are_those_of_re(docs):
     assert found == want
 
 
+def test_presets_are_those_of_re_beside_odd_characters(spark):
+    """Borders and spaces are those of ``re`` also next to characters that Java takes otherwise; null texts and empty partitions have no spans."""
+    odd = ["²1234 5678 9012", "1234\x1c5678\x1c9012", "é10.0.0.1 10.0.0.1²", "ー〒651-0001 123-4567-8901 ２-1234", "x﹎070１２３４５６７８ 07012345678", "Ünc AB1234567é AB1234567", "Corp. ＡＢ株式会社Ｂ株式会社 Inc.", None, ""]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id int, text string")
+    found = sorted(tuple(r) for r in docs.select("doc_id", F.inline(detect.preset_spans(F.col("text")))).select("doc_id", "entity_type", "start", "end").collect())
+    assert found == sorted((k, label, m.start(), m.end()) for k, t in enumerate(odd) for _, label, p, _ in PRESETS for m in re.finditer(p, t or "") if m.end() > m.start())
+    assert docs.where("doc_id > 6").select(F.size(detect.preset_spans(F.col("text")))).collect() == [(0,), (0,)]
+    each = docs.groupBy().agg(F.collect_list("text").alias("t")).select(presets.spans_of_each(F.col("t"), range(len(PRESETS)), "gateway").alias("x")).first()[0]
+    assert sorted((s["entity_type"], s["text"]) for x in each for s in x) == sorted((label, odd[k][a:b]) for k, label, a, b in found)
+
+
+def test_presets_keep_plans_small(spark):
+    assert len(repr(detect.preset_spans(F.col("text")))) < 1000
+
+
 def test_gates_take_the_digits_of_their_patterns(spark):
     texts = ["番号 １２３４５６７８９０１２ です", "番号 １２３４ ５６７８ ９０１２", "免許証 １２-３４-５６７８９０-１２", "旅券 TK１２３４５６７ です", "旅券 TK1234567 です", "免許証 12-34-567890-12", "１２", "ab"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
