@@ -11,6 +11,7 @@ from maskwright.functions.udf import register
 from maskwright.operators import detect, enrich, filters, mask, triggers
 from maskwright.operators.surrogate import hash32, surrogate
 from maskwright.plans.config import MaskConfig
+from maskwright.plans.memos import memos
 
 TEXTS = [
     None, "", "連絡先 foo@example.com まで", "hoge.fuga.example.com", "兵庫県明石市大久保町に在住です", "電話は 09012345678 です", "番号: 123456789012 を入力", "免許証 12-34-567890-12 を提示", "希望年収1200万円です",
@@ -71,6 +72,16 @@ def test_table_function_gives_rows_without_a_join(spark):
     assert "Join" not in plan and "Broadcast" not in plan
 
 
+def test_memos_of_many_splits_are_dealt_out(spark, tmp_path):
+    """Rows of a split become many times as large, so they are dealt to as many times the tasks, also where there are splits enough."""
+    rows = "id AS o_orderkey, id AS o_custkey, 1.5D AS o_totalprice, TIMESTAMP '1996-01-01' AS o_orderdate"
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, 40 * cores, 1, 2 * cores).selectExpr(*rows.split(", ")).write.parquet(f"{tmp_path}/orders.parquet")
+    splits = spark.read.parquet(f"{tmp_path}/orders.parquet").rdd.getNumPartitions()
+    made = memos(spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() >= 16 * splits and sorted(r[0] for r in made.select("doc_id").collect()) == list(range(40 * cores))
+
+
 def test_presets_keep_plans_small(spark):
     assert len(repr(detect.preset_spans(F.col("text")))) < 1000
 
