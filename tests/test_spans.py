@@ -1,12 +1,14 @@
 import random
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from maskwright.functions import labels, presets
 from maskwright.functions import spans as S
-from maskwright.functions.patterns import CATEGORIES, PRESETS, TRAITS
+from maskwright.functions.patterns import CATEGORIES, FIRST, PRESETS, TRAITS
 from maskwright.functions.udf import register
 from maskwright.operators import detect, enrich, filters, mask, triggers
 from maskwright.operators.surrogate import hash32, surrogate
@@ -82,6 +84,32 @@ def test_memos_of_many_splits_are_dealt_out(spark, tmp_path):
     assert made.rdd.getNumPartitions() >= 16 * splits and sorted(r[0] for r in made.select("doc_id").collect()) == list(range(40 * cores))
 
 
+def test_filters_go_with_the_presets(spark):
+    """Spans are resolved, filtered and numbered in the function that finds them, with the results of the Columns."""
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string")
+    for cfg in (MaskConfig(blocklist=["東京都"], classes=["contact", "attribute"], min_score=0.5), MaskConfig(dialect="standalone"), MaskConfig(min_score=1.5)):
+        out = mask.sanitize(docs, cfg).select("doc_id", "spans")
+        want = docs.select("doc_id", S.numbered(filters.filtered(detect.default_chain(S.safe(F.col("text")), cfg), cfg)).alias("spans"))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambda" not in plan and sorted(out.collect()) == sorted(want.collect())
+
+
+def test_arrow_finds_all_that_may_match():
+    """What Arrow's matcher looks for first holds in each text with a match, whatever digits, spaces and letters it is made of."""
+    odd = ["１２３４\x1c５６７８\u2028９０１２", "٠٣-١٢-１２３４５６\u3000-12", "²ＡＢ 〒１２３-４５６７", "AAＡ株式会社", "x-apı-key\x85: abcdefghijklmnopq", "authorızation : ²²²²²²²²²²²²²²²²", "N" + "a٣" * 11 + "b.éé_-éé." + "ß" * 27, "２０２０年１月２日", "1.٢.３.4"]
+    for _, _, pattern, _ in PRESETS:
+        if pattern in FIRST:
+            assert all(re2.search(t) for t in TEXTS + odd if t and re.search(pattern, t) for re2 in [_Arrow(presets.re2(FIRST[pattern]))]), pattern
+
+
+class _Arrow:
+    def __init__(self, pattern):
+        self.pattern = pattern
+
+    def search(self, text):
+        return pc.match_substring_regex(pa.array([text]), self.pattern)[0].as_py()
+
+
 def test_presets_keep_plans_small(spark):
     assert len(repr(detect.preset_spans(F.col("text")))) < 1000
 
