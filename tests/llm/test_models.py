@@ -286,6 +286,17 @@ def test_html_runs_of_a_whole_host_against_brute_force(spark, monkeypatch):
     assert {r["page_id"]: r["text"] for r in html.extract(df).collect()} == {k: " ".join(t) for k, t in pages.items()}
 
 
+@pytest.mark.parametrize("batch", [1, 2048])
+def test_html_runs_in_articles_count(spark, monkeypatch, batch):
+    """The array holds whole pages: a run that articles of the host hold is repeated text in an open block, also over batches."""
+    monkeypatch.setattr(html, "BATCH", batch)
+    note = " ".join(f"note{k}" for k in range(20))
+    rows = [(0, "http://h.example/", f"<div>{note}</div><div>own text</div>")] + [(k, "http://h.example/", f"<article>{note} of{k}</article>") for k in range(1, 4)]
+    rows += [(9, "http://other.example/", f"<div>{note}</div>")]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "own text", **{k: f"{note} of{k}" for k in range(1, 4)}, 9: note}
+
+
 def test_suffix_ranks():
     rng = np.random.default_rng(2)
     codes = rng.integers(0, 3, 300).astype(np.uint64)
