@@ -367,3 +367,15 @@ def test_numbers_through_long_conversations(spark, monkeypatch, turns):
             number = lambda m: f"<W_{numbers.setdefault(m[0], len(numbers) + 1)}>"
             want.append((conv, turn, re.sub(r"W\d+", number, text) if text and role == "user" else text))
     assert sorted(repr(tuple(r)) for r in out.select("conv_id", "turn", "masked").collect()) == sorted(map(repr, want))
+
+
+def test_answers_are_cleaned_once(spark):
+    """However often a cleaned answer is used, its patterns stand in the plan once, and no filter reads it again."""
+    from maskwright.operators import answers
+
+    docs = spark.createDataFrame([(1, "user a", '{"rewritten_text":"x","replacements":[{"original":"user","replacement":"<A_1>"}]}'), (2, "b", None), (3, "c", "no")], "doc_id long, text string, answer string")
+    read = docs.withColumn("r", answers.parse_llm_replace(docs["answer"])["replacements"])
+    rows = answers.rows_from_replacements(read, replacements_col="r")
+    assert [(r["doc_id"], r["value"], r["count"]) for r in rows.collect()] == [(1, "user", 1)]
+    for df in (rows, docs.select(answers.llm_status(answers.parse_llm_detect(docs["answer"])))):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("</think>") <= 3
