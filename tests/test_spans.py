@@ -84,6 +84,20 @@ def test_memos_of_many_splits_are_dealt_out(spark, tmp_path):
     assert made.rdd.getNumPartitions() >= 16 * splits and sorted(r[0] for r in made.select("doc_id").collect()) == list(range(40 * cores))
 
 
+def test_presets_are_tried_where_they_may_begin():
+    """Patterns that begin with literals are not scanned for: they are tried where an automaton finds one of these, with the matches of ``re``."""
+    r, every = random.Random(3), range(len(PRESETS))
+    scanners = presets._scanners(tuple(every), False)
+    assert len(scanners.tried) == 79 and len(scanners.others) == 16
+    literals = sorted({h for p in PRESETS for h in presets.heads(p[2])}) + ["12345678", "a" * 24, "4f" * 16, "-", "_", ".", ": ", " ", "\n", "é", "²", "県", "Ａ"]
+    for ascii_only in (False, True):
+        for _ in range(300):
+            t = "".join(r.choice(literals) for _ in range(r.randint(1, 40)))
+            want = [(k, m.start(), m.end()) for k in every for m in re.finditer(PRESETS[k][2], t, re.ASCII if ascii_only else 0) if m.end() > m.start()]
+            assert presets._found(t, presets._scanners(tuple(every), ascii_only)) == want
+    assert presets.heads(r"\b(?:ab|a\.c)[_\-]\d") == {"ab_", "ab-", "a.c_", "a.c-"} and not presets.heads("(?i)abc") and not presets.heads("a?bc") and not presets.heads("(?:ab|.c)d")
+
+
 def test_filters_go_with_the_presets(spark):
     """Spans are resolved, filtered and numbered in the function that finds them, with the results of the Columns."""
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string")
