@@ -98,6 +98,22 @@ def test_presets_are_tried_where_they_may_begin():
     assert presets.heads(r"\b(?:ab|a\.c)[_\-]\d") == {"ab_", "ab-", "a.c_", "a.c-"} and not presets.heads("(?i)abc") and not presets.heads("a?bc") and not presets.heads("(?:ab|.c)d")
 
 
+def test_spans_of_chains_are_joined_as_by_columns(spark):
+    """Spans of several detectors are joined and resolved over Arrow batches, with the results of the Columns."""
+    r = random.Random(11)
+    some = lambda: [("T", a, a + r.randint(1, 5), r.choice([None, 0.5, 1.0]), "x", k, r.choice("pq")) for k in range(r.choice([0, 0, 1, 3, 90])) for a in [r.randint(0, 60)]]
+    rows = spark.createDataFrame([(k, some(), some()) for k in range(200)], f"id int, a array<{S.SPAN}>, b array<{S.SPAN}>").repartition(3)
+    both, flat = S.resolve_overlaps(F.concat("a", "b")), F.concat("a", "b")
+    want = rows.select("id", F.when(F.size("b") > 0, both).otherwise(F.col("a")), F.when((F.size("a") > 0) & (F.size("b") > 0), both).otherwise(flat))
+    found = rows.select("id", presets.joined([F.col("a"), F.col("b")], always=True), presets.joined([F.col("a"), F.col("b")], always=False))
+    assert sorted(found.collect(), key=lambda x: x[0]) == sorted(want.collect(), key=lambda x: x[0])
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string").withColumn("t", S.safe(F.col("text")))
+    number = presets.matches(F.col("t"), "NUMBER", "[0-9]+")
+    out = docs.select(detect.default_chain(F.col("t"), MaskConfig(), number).alias("x"), detect.language_chain(F.col("t"), MaskConfig(chains={"ja": [], "mixed": ["n"]}), {"n": number}).alias("y"))
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString() and docs.select(number).collect() == docs.select(S.regex_spans(F.col("t"), "NUMBER", "[0-9]+")).collect()
+    assert out.select(F.size("x")).agg(F.sum("size(x)")).first()[0] > 20
+
+
 def test_filters_go_with_the_presets(spark):
     """Spans are resolved, filtered and numbered in the function that finds them, with the results of the Columns."""
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string")
