@@ -379,3 +379,20 @@ def test_answers_are_cleaned_once(spark):
     assert [(r["doc_id"], r["value"], r["count"]) for r in rows.collect()] == [(1, "user", 1)]
     for df in (rows, docs.select(answers.llm_status(answers.parse_llm_detect(docs["answer"])))):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("</think>") <= 3
+
+
+def test_texts_of_bodies_are_tagged_as_by_the_column(spark):
+    """Texts of a body are masked over Arrow batches, with the results of ``tag_mask``: overlaps, equal spans and surfaces, null texts and lists."""
+    r = random.Random(7)
+
+    def spans(text, n):
+        at = [(a, min(len(text), a + r.randint(1, 6))) for a in (r.randrange(len(text)) for _ in range(n))]
+        return [(r.choice("XY"), a, b, 1.0, r.choice([text[a:b], "s"]), k, "regex") for k, (a, b) in enumerate(at)]
+
+    texts = ["".join(r.choice("ab😀県 ") for _ in range(r.randint(1, 40))) for _ in range(300)]
+    rows = [(k, [(t, spans(t, r.choice([0, 1, 2, 12]))) for t in texts[k : k + r.randint(0, 3)]]) for k in range(300)] + [(300, None), (301, [(None, [])])]
+    docs = spark.createDataFrame(rows, f"id int, found array<struct<t:string,s:array<{S.SPAN}>>>").repartition(3)
+    want = docs.select("id", F.transform("found", lambda x: F.when(F.size(x["s"]) > 0, mask.tag_mask(x["t"], x["s"])).otherwise(x["t"])).alias("m"))
+    found = payloads.masked_texts(docs, "found", MaskConfig(), "m").select("id", "m")
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(found.collect(), key=lambda x: x[0]) == sorted(want.collect(), key=lambda x: x[0])
