@@ -4,10 +4,12 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from maskwright.functions import arrow
 from maskwright.functions import spans as S
 from maskwright.operators import detect, filters, mask, payloads
 from maskwright.plans.config import MaskConfig
@@ -209,6 +211,27 @@ def test_a_long_list_with_one_prefix(spark, monkeypatch, parts):
         assert "NestedLoop" not in met and "Cartesian" not in met
 
 
+def test_batches_are_taken_up_in_slices(spark):
+    """A batch of many long texts isn't turned into Python objects at once; rows and results stay whole and in place."""
+    docs = spark.range(0, 3_000, numPartitions=1).select("id", F.concat(F.format_string("v%d ", "id"), F.repeat(F.lit("x"), F.when(F.col("id") == 7, 2_000_000).otherwise(2_000))).alias("text"))
+    together = arrow.appended(docs, ["text"], lambda: lambda t: pa.array([len(t)] * len(t), pa.int32()), "n", "int").select("id", "n").collect()
+    assert [r["id"] for r in together] == list(range(3_000)) and together[7]["n"] == 1
+    assert max(r["n"] for r in together) <= 600
+    listed = spark.range(3_000).select(F.format_string("v%d ", "id").alias("value"), F.lit("PERSON").alias("category"))
+    rows = detect.with_occurrences(docs, listed).selectExpr("id", "transform(found, f -> f.text) AS found").collect()
+    assert [r["id"] for r in rows] == list(range(3_000)) and all(r["found"] == [f"v{r['id']} "] for r in rows)
+
+
+def test_several_automata_over_slices(spark, monkeypatch):
+    monkeypatch.setattr(detect, "LIST_ROWS", 1_000)
+    docs = spark.range(0, 2_000, numPartitions=1).select("id", F.when(F.col("id") % 5 > 0, F.concat(F.format_string("v%d w%d ", "id", "id"), F.repeat(F.lit("x"), 2_000))).alias("text"))
+    listed = spark.range(4_000).select(F.format_string("%s%d ", F.when(F.col("id") < 2_000, "w").otherwise("v"), F.col("id") % 2_000).alias("value"), F.lit("PERSON").alias("category"))
+    rows = detect.with_occurrences(docs, listed).selectExpr("id", "transform(found, f -> (f.k, f.start, f.end, f.text)) AS found").collect()
+    n = lambda k: len(str(k)) + 2
+    want = lambda k: [(k, n(k), 2 * n(k), f"w{k} "), (2_000 + k, 0, n(k), f"v{k} ")] if k % 5 else []
+    assert all([tuple(x) for x in r["found"]] == want(r["id"]) for r in rows) and len(rows) == 2_000
+
+
 def test_piece_offsets_in_long_texts(spark):
     import random
 
