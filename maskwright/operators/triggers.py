@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +25,10 @@ def fired_by_tokens(docs: DataFrame, tokens: DataFrame, keywords: list[str], id_
     out = docs.withColumn("__latin", fired(F.col("text"), latin))
     if not other:
         return out.withColumnRenamed("__latin", "fired")
-    listed = docs.sparkSession.createDataFrame(list(enumerate(other)), "place int, keyword string")
-    hits = tokens.where(F.col("pos")[0] == "名詞").join(F.broadcast(listed), F.contains(F.col("surface"), F.col("keyword")))
-    per = hits.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_set(F.struct("place", "keyword"))), lambda x: x["keyword"]).alias("__other"))
+    holds = [F.contains(F.col("surface"), F.lit(k)) for k in other]
+    hits = tokens.where(F.col("pos")[0] == "名詞").select(id_col, "surface").where(reduce(lambda a, b: a | b, holds))
+    per = hits.groupBy(id_col).agg(*[F.bool_or(h).alias(f"__{n}") for n, h in enumerate(holds)])
+    per = per.select(id_col, F.array_compact(F.array(*[F.when(F.col(f"__{n}"), F.lit(k)) for n, k in enumerate(other)])).alias("__other"))
     return out.join(per, id_col, "left").withColumn("fired", F.concat("__latin", F.coalesce("__other", F.array().cast("array<string>")))).drop("__latin", "__other")
 
 

@@ -425,3 +425,10 @@ def test_customers_are_dealt_to_all_cores(spark):
     """A customer table of one split is worked on by all cores."""
     rows = __spark_entry__.queries()["surrogates_customers"](spark, SF)
     assert rows.rdd.getNumPartitions() >= max(10, spark.sparkContext.defaultParallelism)
+
+
+def test_triggers_by_tokens(spark, duck):
+    """Keywords are looked for without a join by keyword, and places of tokens aren't worked out where nothing asks for them."""
+    test_query_equals_sql(spark, duck, "triggers_by_tokens")
+    plan = __spark_entry__.queries()["triggers_by_tokens"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Generate posexplode(aggregate(" not in plan and "size(split(" not in plan
