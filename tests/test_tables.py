@@ -432,3 +432,12 @@ def test_triggers_by_tokens(spark, duck):
     test_query_equals_sql(spark, duck, "triggers_by_tokens")
     plan = __spark_entry__.queries()["triggers_by_tokens"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Generate posexplode(aggregate(" not in plan and "size(split(" not in plan
+
+
+def test_bodies_are_parsed_once(spark):
+    plan = __spark_entry__.queries()["text_segments"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(StructField(") == 2  # the body and the answer
+    texts = ["", " ", "　 a  b  ", "a \n", "\u0085 ", " a", "a\n\n b", "\x1fa\x1c", "​a "]
+    df = spark.createDataFrame([(i, json.dumps({"content": [{"type": "text", "text": t}, {"type": "tool", "text": "no"}]})) for i, t in enumerate(texts)], "id int, body string")
+    both = df.select("id", payloads.normalized_text(F.col("body")).alias("got"), F.regexp_replace(F.get_json_object("body", "$.content[0].text"), r"(?U)^\s+|\s+$", "").alias("want")).collect()
+    assert len(both) == len(texts) and all(r["got"] == r["want"] for r in both)
