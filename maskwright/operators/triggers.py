@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.functions.joins import grown
+
 
 def _ascii(keywords: list[str]) -> tuple[list[str], list[str]]:
     return [k for k in keywords if k.isascii()], [k for k in keywords if not k.isascii()]
@@ -29,7 +31,7 @@ def fired_by_tokens(docs: DataFrame, tokens: DataFrame, keywords: list[str], id_
     hits = tokens.where(F.col("pos")[0] == "名詞").select(id_col, "surface").where(reduce(lambda a, b: a | b, holds))
     per = hits.groupBy(id_col).agg(*[F.bool_or(h).alias(f"__{n}") for n, h in enumerate(holds)])
     per = per.select(id_col, F.array_compact(F.array(*[F.when(F.col(f"__{n}"), F.lit(k)) for n, k in enumerate(other)])).alias("__other"))
-    return out.join(per, id_col, "left").withColumn("fired", F.concat("__latin", F.coalesce("__other", F.array().cast("array<string>")))).drop("__latin", "__other")
+    return out.join(grown(per), id_col, "left").withColumn("fired", F.concat("__latin", F.coalesce("__other", F.array().cast("array<string>")))).drop("__latin", "__other")
 
 
 def forced_categories(hits: Column, categories: list[str]) -> Column:

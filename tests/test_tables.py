@@ -441,3 +441,10 @@ def test_bodies_are_parsed_once(spark):
     df = spark.createDataFrame([(i, json.dumps({"content": [{"type": "text", "text": t}, {"type": "tool", "text": "no"}]})) for i, t in enumerate(texts)], "id int, body string")
     both = df.select("id", payloads.normalized_text(F.col("body")).alias("got"), F.regexp_replace(F.get_json_object("body", "$.content[0].text"), r"(?U)^\s+|\s+$", "").alias("want")).collect()
     assert len(both) == len(texts) and all(r["got"] == r["want"] for r in both)
+
+
+@pytest.mark.parametrize("name", ["default_chain", "force_mask_applied", "decisions", "validated_proper_nouns", "triggers_by_tokens", "llm_rows", "merge_llm", "rewrite_with_tags"])
+def test_tables_that_grow_together_are_shuffled(spark, name):
+    """None is sent whole through the driver, however small Spark takes it for."""
+    plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
