@@ -562,6 +562,23 @@ def test_marks_and_left_out_end_tags(page, text):
     assert _text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><meta charset=utf-8><title>T</title><body><article><p>One<p>Two</article>", "One\nTwo"), ("<head><title>T</title><article><p>One<p>Two</article>", "One\nTwo"),
+    *[(f"<article><p>One</p>{part}<p>Two</p></article>", "One\nTwo") for part in ('<svg width="1"/>', "<svg><path>", "<object data=x>", "<video src=x>", "<noscript>", "<canvas>", "<iframe src=x>", "<!-->", "<!--->", "<!-- x --!>", "<script>a</script x>")],
+    ("<article><p>area <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math></p></article>", "area x=2"),
+    ('<article><p>One <span class="share">Share</p><p>Two</p></article>', "One Share\nTwo"), ('<article><p>One <span class="ad"><div>Buy</div></span></p><p>Two</article>', "One\nTwo"),
+    ('<article><p>One</p><div data-id="share">Two</div><div title="?id=menu">Three</div></article>', "One\nTwo\nThree"), ('<div><p>a</div><div><span class="ad"><p>Buy</p></span></div>', "a"),
+])
+def test_no_text_goes_with_what_has_no_end(page, text):
+    """End tags that may be or are left out, odd comments and marks on inline elements take no text of the page with them."""
+    assert _text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<svg>", "<svg/>", "<object/>", "<svg ", "<!-->", "<!--x--!", "<p><a class=ad>"])
+def test_open_elements_take_time_in_proportion(part):
+    test_broken_pages_take_time_in_proportion(part)
+
+
 @pytest.mark.parametrize("part", ["<a ", "<script ", '<a "', "<div>", "</x>", "<a '>", "<!--", "<article>", "<td>x", '<p class="', '<div class="ad"><article>', "<![", "<a b='\">", "</script"])
 def test_broken_pages_take_time_in_proportion(part):
     """Eight times as much takes about eight times as long, not 64 times."""
