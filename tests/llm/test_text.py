@@ -307,6 +307,20 @@ def test_search_against_brute_force(spark, monkeypatch, dense):
     assert len({(r["query_id"], r["rank"]) for r in rows}) == len(rows)
 
 
+def test_search_deals_documents_once(spark, monkeypatch):
+    """However many queries there are: what a task can't hold of them lies in its temporary file."""
+    monkeypatch.setattr(search, "QUERY_POSTINGS", 100)
+    docs = spark.createDataFrame([(i, f"alpha w{i} w{i // 2} w{i // 3}") for i in range(400)], "doc_id long, text string")
+    found = search.top_k(docs, F.lit(True))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 1  # only the queries go to every task
+    assert {r["query_id"] for r in found.where("rank = 1 and query_id = doc_id").collect()} == set(range(400))
+    grown = search.Growing(np.int64, 5)
+    for k in range(4):
+        grown.add(np.arange(3 * k, 3 * k + 3))
+    assert grown.file is not None and not grown.held and grown.whole().tolist() == list(range(12))
+
+
 def test_search_repeated_and_missing_ids(spark, monkeypatch):
     monkeypatch.setattr(search, "POSTINGS", 10)
     rows = [(20, "alpha beta gamma"), (20, "alpha delta"), (20, "alpha delta"), (None, "beta gamma epsilon"), (3, "delta " * 3), (None, "alpha"), (40, ""), (60, None)]
