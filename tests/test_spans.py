@@ -74,6 +74,16 @@ def test_table_function_gives_rows_without_a_join(spark):
     assert "Join" not in plan and "Broadcast" not in plan
 
 
+def test_little_text_is_looked_through_without_arrow(monkeypatch):
+    """Arrow's matcher compiles its patterns at each call, so a table function's single texts do without it; the spans are the same."""
+    texts = [t for t in TEXTS if t] + ["番号: 1234 5678 9012 AB1234567 03-1234-5678", "東京都渋谷区 アクメ株式会社 12-34-567890-12"]
+    want = presets.finder(range(len(PRESETS)), "gateway", False)(pa.array(texts * 1000))[: len(texts)].to_pylist()
+    monkeypatch.setattr(presets.pc, "match_substring_regex", None)
+    for text, spans in zip(texts, want):
+        text = text.replace(S.MARK, S.SPARE)
+        assert sorted((PRESETS[k][1], a, b) for k, a, b in presets._found(text, presets._scanners(tuple(range(len(PRESETS))), False))) == sorted((s["entity_type"], s["start"], s["end"]) for s in spans)
+
+
 def test_memos_of_many_splits_are_dealt_out(spark, tmp_path):
     """Rows of a split become many times as large, so they are dealt to as many times the tasks, also where there are splits enough."""
     rows = "id AS o_orderkey, id AS o_custkey, 1.5D AS o_totalprice, TIMESTAMP '1996-01-01' AS o_orderdate"
