@@ -99,6 +99,19 @@ def test_masks_over_batches_are_those_of_columns(spark):
     assert "lambda" not in mask.sanitize(docs.drop("spans"), MaskConfig(strategy="surrogate")).select("sanitized_text")._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_masks_without_report_are_those_with_it(spark, docs):
+    """Found and masked in one step, for texts and for lists of texts: one function, no spans between."""
+    for by in ("tag", "partial", "hash", "surrogate"):
+        cfg = MaskConfig(strategy=by)
+        want = {r["doc_id"]: r["sanitized_text"] for r in mask.sanitize(docs, cfg).collect()}
+        alone = mask.sanitize(docs, cfg, report=False)
+        assert {r["doc_id"]: r["sanitized_text"] for r in alone.collect()} == want and "spans" not in alone.columns
+        assert alone._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+        lists = docs.select("doc_id", F.when(F.col("doc_id") != 3, F.array("text", F.lit("x"), "text")).alias("t"))
+        got = mask.masked_lists(lists, "t", cfg, "m").collect()
+        assert all(r["m"] == (None if r["doc_id"] == 3 else [want[r["doc_id"]], "x", want[r["doc_id"]]]) for r in got) and len(got) == len(want)
+
+
 def test_fake_values_of_one_and_of_columns(spark):
     kinds = sorted({p[1] for p in PRESETS}) + "PERSON PROPER_NOUN_PERSON ORGANIZATION LOCATION CREDIT_CARD SECRET PROJECT_CODE SKU PHONE_NUMBER_JP".split() + ["", None]
     rows = [(k, s) for k in kinds for s in ("a@b.example", "x", "日本太郎 12", "😀@x", "user123456789@example.com", "\x00﷐", "", None)]
